@@ -84,7 +84,7 @@ def test_op5_odd_rows(spark):
 
 def test_assign_goes_to_the_lowest_cost():
     got = packing.assign([6, 5, 4, 3, 2], capacity=10)
-    assert got == [[(0, 6)], [(1, 5)], [(1, 4)], [(0, 3)], [(0, 1), (1, 1)]]
+    assert got == [[(0, 6)], [(1, 5)], [(1, 4)], [(0, 3)], [(1, 1), (0, 1)]]
 
 
 def test_sum_of_squares_identity():
