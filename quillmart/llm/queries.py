@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmart.llm import decontamination, neighbours, packing, quality, simhash, token_files
+from quillmart.llm import decontamination, lines, neighbours, packing, quality, simhash, token_files
 from quillmart.llm.common import scratch
 
 
@@ -39,6 +39,11 @@ def op6_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op10_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(_table(spark, sf_dir, "embeddings"))
 
@@ -61,7 +66,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_factorisation_machine, op2_token_files, op4_simhash_pigeonring, op5_cost_balanced_packing, op6_edit_decontamination, op10_block_matrix_neighbours)}
+    return {f.__name__: f for f in (op1_factorisation_machine, op2_token_files, op4_simhash_pigeonring, op5_cost_balanced_packing, op6_edit_decontamination, op7_fuzzy_lines, op10_block_matrix_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
