@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmart.llm import decontamination, lines, neighbours, packing, quality, repeats, simhash, token_files
+from quillmart.llm import decontamination, lines, neighbours, packing, quality, repeats, simhash, surrogates, token_files
 from quillmart.llm.common import scratch
 
 
@@ -44,6 +44,11 @@ def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op8_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = surrogates.replace(_table(spark, sf_dir, "documents"), key="documents-v1")
+    return out.select("doc_id", F.col("_found").alias("n_found"), "text")
+
+
 def op9_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove(_table(spark, sf_dir, "documents"), with_text=False)
 
@@ -70,7 +75,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_factorisation_machine, op2_token_files, op4_simhash_pigeonring, op5_cost_balanced_packing, op6_edit_decontamination, op7_fuzzy_lines, op9_radix_repeats, op10_block_matrix_neighbours)}
+    return {f.__name__: f for f in (op1_factorisation_machine, op2_token_files, op4_simhash_pigeonring, op5_cost_balanced_packing, op6_edit_decontamination, op7_fuzzy_lines, op8_keyed_surrogates, op9_radix_repeats, op10_block_matrix_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,0 +1,83 @@
+import re
+
+from pyspark.sql import functions as F
+
+from quillmart.llm import queries, surrogates
+
+DOCS = "doc_id long, text string, m string, entity string"
+EMAIL, IP, CARD, PHONE, TOKEN = r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w.])", r"(?<!\w)\d{16}(?!\w)", r"\+1 \(\d{3}\) \d{3}-\d{4}", r"[0-9a-f]{40}"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "x", "y") for i, t in rows], DOCS)
+
+
+def replaced(spark, *texts, key="k"):
+    rows = surrogates.replace(frame(spark, list(enumerate(texts))), key).collect()
+    return [r.text for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def luhn(s):
+    d = [int(c) for c in s if c.isdigit()][::-1]
+    return sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d)) % 10 == 0
+
+
+def test_op8_on_the_documents(spark, sf):
+    before = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    after = {r.doc_id: r for r in queries.op8_keyed_surrogates(spark, sf).collect()}
+    assert before.keys() == after.keys()
+    maps = {}
+    for p in (EMAIL, IP, CARD, PHONE, TOKEN):
+        one = maps[p] = {}
+        for d, t in before.items():
+            a, b = re.findall(p, t), re.findall(p, after[d].text)
+            assert len(a) == len(b), (p, d)
+            for x, y in zip(a, b, strict=True):
+                assert x != y and one.setdefault(x.lower(), y.lower()) == y.lower()
+        assert len(set(one.values())) == len(one) and not set(one.values()) & set(one)
+    assert sum(map(len, maps.values())) > 15
+    plain = [d for d, t in before.items() if not re.search(r"\d|@", t)]
+    assert plain and all(after[d].text == before[d] and after[d].n_found == 0 for d in plain)
+
+
+def test_formats_and_coreference(spark):
+    a, b, c = replaced(
+        spark,
+        "Call +1 (017) 555-7713 or 017-555-7713, card 4111 1111 1111 1111 = 4111111111111111; UND.34@MAIL7.EXAMPLE.COM, und.34@mail7.example.com, x@corp.co.uk",
+        "Mr. John Smith, Mrs Anna Smith, Herr Müller. господин Иван Петров; Dr Emma Stone; IBAN DE44 5001 0517 5407 3249 31, SSN 123-45-6789",
+        'at 10.0.255.7, token = "04DBEBAB91AB85687D33EEAAF9AC699E1188F962" v2.0 in 2021, 3.141592653 and 1.2.3.4.5',
+    )
+    one, two = re.search(r"\+1 \((\d{3})\) (\d{3})-(\d{4}) or (\d{3})-(\d{3})-(\d{4}), card", a).groups()[:3], re.search(r"or (\d{3})-(\d{3})-(\d{4}), card", a).groups()
+    assert one == two != ("017", "555", "7713")
+    card, same = re.search(r"card (\d{4} \d{4} \d{4} \d{4}) = (\d{16});", a).groups()
+    assert card.replace(" ", "") == same != "4111111111111111" and luhn(same)
+    up, low = re.search(r"([A-Z]{3}\.\d\d@[A-Z]{4}\d\.EXAMPLE\.COM), ([a-z]{3}\.\d\d@[a-z]{4}\d\.example\.com), [a-z]@[a-z]{4}\.[a-z]{2}\.example$", a).groups()
+    assert up.lower() == low != "und.34@mail7.example.com"
+    m = re.fullmatch(r"Mr\. (\w+) (\w+), Mrs (\w+) (\w+), Herr (\w+)\. господин (\w+) (\w+); Dr (\w+) (\w+); IBAN DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d, SSN \d{3}-\d\d-\d{4}", b)
+    assert m[1] in surrogates.GIVEN["latin", "m"] and m[3] in surrogates.GIVEN["latin", "f"] and m[6] in surrogates.GIVEN["cyrillic", "m"] and m[8] in surrogates.GIVEN["latin", "f"]
+    assert "Müller" not in b and "Smith" not in b and "DE44 5001" not in b
+    m = re.fullmatch(r'at (\d\d)\.(\d)\.(\d{3})\.(\d), token = "([0-9A-F]{40})" v2\.0 in 2021, 3\.141592653 and 1\.2\.3\.4\.5', c)
+    assert m and int(m[3]) < 256
+    assert replaced(spark, "x@corp.co.uk", key="k") != replaced(spark, "x@corp.co.uk", key="other")
+
+
+def test_collisions_draw_again(spark):
+    """One-digit octets and one-letter addresses collide; all entities stay apart, and from each other's originals."""
+    texts = [f"{i % 10}.{i // 10}.0.0 and {chr(97 + i % 26)}{i // 26}@e.example.com" for i in range(40)]
+    out = replaced(spark, *texts)
+    ips = [t.split(" ")[0] for t in out]
+    assert len(set(ips)) == 40 and not set(ips) & {t.split(" ")[0] for t in texts}
+    emails = [t.split(" ")[-1] for t in out]
+    assert len(set(emails)) == 40 and not set(emails) & {t.split(" ")[-1] for t in texts}
+
+
+def test_odd_rows(spark):
+    long = "a" * 200_000 + " 1" * 50_000 + " a.b@c.example.org " + "9" * 50_000 + "@" + "x." * 20_000
+    rows = [(1, None), (2, ""), (3, "x 1.2.3.4"), (3, "x 1.2.3.4"), (None, "1.2.3.4"), (4, long)]
+    out = surrogates.replace(frame(spark, rows), "k")
+    assert out.columns == ["doc_id", "text", "m", "entity", "_found"]
+    got = {(r.doc_id, r._found): r.text for r in out.collect()}
+    assert got[1, 0] is None and got[2, 0] == "" and got[3, 1] == "x " + got[None, 1] != "x 1.2.3.4"
+    assert out.count() == 6 and "a.b@c.example.org" not in got[4, 1]
+    assert surrogates.replace(frame(spark, []), "k").count() == 0
+    assert out.select(F.max("m")).first()[0] == "x"
