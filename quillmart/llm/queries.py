@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmart.llm import decontamination, lines, neighbours, packing, quality, repeats, simhash, surrogates, token_files
+from quillmart.llm import decontamination, lines, neighbours, packing, quality, repeats, shards, simhash, surrogates, token_files
 from quillmart.llm.common import scratch
 
 
@@ -26,6 +26,12 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest_rows(spark, path)
 
 
+def op3_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = shards.sharded(_table(spark, sf_dir, "documents"), scratch(spark, "shards"), arrivals=8, target_bytes=64 << 20, least_bytes=256 << 10)
+    rows = store.read()
+    return rows.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.col("_run").alias("run"), F.col("_shard").alias("shard"), F.col("_in_version").alias("version"))
+
+
 def op4_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(_table(spark, sf_dir, "documents"), simhash.NARROW)
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
@@ -74,8 +80,14 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_factorisation_machine, op2_token_files, op4_simhash_pigeonring, op5_cost_balanced_packing, op6_edit_decontamination, op7_fuzzy_lines, op8_keyed_surrogates, op9_radix_repeats, op10_block_matrix_neighbours)}
+    return {f.__name__: f for f in (op1_factorisation_machine, op2_token_files, op3_size_tiered_shards, op4_simhash_pigeonring, op5_cost_balanced_packing, op6_edit_decontamination, op7_fuzzy_lines, op8_keyed_surrogates, op9_radix_repeats, op10_block_matrix_neighbours, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -31,7 +31,7 @@ GIVEN = {
 SYLLABLES = {"latin": "ba be bo da do fa ga ka ko la le lo ma mi na no ra ri sa ta to va ve wi".split(), "cyrillic": "ба бе бо ва во га да до за ка ко ла ле ло ма ми на но ра ри са та то фа".split()}
 _NAME = r"\p{Lu}[\p{L}'’-]{1,30}"
 PATTERNS = {
-    "EMAIL": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++){1,8}",
+    "EMAIL": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+){1,8}",
     "SECRET": _B + r"(?=[a-fA-F]{0,31}[0-9])[0-9a-fA-F]{32,128}+" + _E,
     "IBAN": _B + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _E,
     "IP": _B + r"(?<!\.)(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?[0-9])" + _E,
