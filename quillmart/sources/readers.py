@@ -7,10 +7,11 @@ from collections.abc import Iterator
 from functools import reduce
 from urllib.request import urlopen
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quillmart.operators.checks import InputError
 
@@ -23,16 +24,32 @@ def csv(spark: SparkSession, path: str | list[str], schema: str | StructType, en
     return spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("encoding", encoding).csv(path)
 
 
-def csv_any_encoding(spark: SparkSession, path: str, schema: str | StructType, fallback: str = "x-windows-949") -> DataFrame:
+def redecoded(column: Column, encoding: str) -> Column:
+    """A text that was read byte by byte as Latin-1, decoded as what it is; Spark itself reads few encodings. Arrow batches."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else t.encode("latin-1").decode(encoding, "replace"))
+
+    return F.pandas_udf(run, StringType())(column)
+
+
+def csv_any_encoding(spark: SparkSession, path: str, schema: str | StructType, fallback: str = "cp949") -> DataFrame:
     """The CSV files that ``path`` matches, each in UTF-8 if it is valid UTF-8 throughout, else in ``fallback``; an error without any.
 
-    Which files are which is one job: a byte sequence that isn't UTF-8 decodes with a replacement character.
+    Which files are which is one job over their lines' bytes. The fallback's bytes must not contain those of a comma,
+    quote or line break within a character.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.contains("value", F.lit("�")).alias("bad"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), (~F.is_valid_utf8("value")).alias("bad"))
     files = lines.groupBy("file").agg(F.max("bad").alias("bad")).collect()  # one row a file
     if not files:
         raise InputError(f"no files match {path}")
-    parts = [csv(spark, [r["file"] for r in files if r["bad"] == bad], schema, enc) for bad, enc in ((False, "UTF-8"), (True, fallback)) if any(r["bad"] == bad for r in files)]
+    kinds = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    parts = []
+    if good := [r["file"] for r in files if not r["bad"]]:
+        parts.append(csv(spark, good, kinds))
+    if bad := [r["file"] for r in files if r["bad"]]:
+        raw = csv(spark, bad, StructType([StructField(f.name, StringType()) for f in kinds]), "ISO-8859-1")
+        parts.append(raw.select(*(redecoded(F.col(f"`{f.name}`"), fallback).try_cast(f.dataType).alias(f.name) for f in kinds)))
     return reduce(DataFrame.unionByName, parts)
 
 
