@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmart.functions.columns import quarter_days, quarter_end, quarter_label, quarter_start, shift_quarter
-from quillmart.operators import checks, panel, ranking
+from quillmart.operators import anomaly, checks, panel, ranking
 from quillmart.plans.bases import PANEL
 from quillmart.plans.registry import query
 from quillmart.sources import tables
@@ -334,3 +334,11 @@ def quarter_arithmetic(t: Tables) -> DataFrame:
 )
 def quarter_audit(t: Tables) -> DataFrame:
     return tables.panel(t).groupBy("quarter").agg(F.min("residents").alias("lo"), F.max("residents").alias("hi"), F.avg("residents").alias("mean"), F.count_distinct("district").alias("districts"), F.count(F.when(F.col("residents") < 0, 1)).alias("negative"))
+
+
+@query()
+def odd_cells(t: Tables) -> DataFrame:
+    """Isolation-forest scores of change features, checked by the tests on planted outliers."""
+    features = panel.anomaly_features(tables.panel(t))
+    rows = anomaly.anomalies(features, ["sales_qoq", "sales_yoy", "stores_qoq", "traffic_qoq"], trees=100)
+    return rows.select("district", "industry", "quarter", "score", "extremes", "odd")

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillmart.operators import counterfactual, policy, regression, survival
+from quillmart.operators import anomaly, counterfactual, policy, regression, survival
 
 ARMS = ["a", "b"]
 X = ["x1", "x2"]
@@ -161,3 +161,15 @@ def test_cox_recovers_the_hazard(spark):
     last = {b.bucket: b.survival for b in survival.survival_curves(cells).groupBy("bucket").agg(F.min("survival").alias("survival")).collect()}
     assert last[1] > last[5]
     assert survival.contributions(df.limit(5), m).count() >= 0
+
+
+def test_isolation_finds_planted_rows(spark):
+    r = np.random.default_rng(7)
+    x = r.normal(size=(800, 3))
+    x[:8] += 9
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b", "c"]).assign(k=range(800)))
+    got = anomaly.anomalies(df, ["a", "b", "c"], trees=50).orderBy(F.col("score").desc()).limit(8).collect()
+    assert {r.k for r in got} == set(range(8))
+    assert all(r.odd for r in got)
+    shocked = df.withColumn("a", F.col("a") + 12)
+    assert anomaly.detection_rate(df, ["a", "b", "c"], shocked, trees=50) > 0.7
