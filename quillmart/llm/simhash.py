@@ -34,7 +34,8 @@ class Scheme:
     """How texts become fingerprints and which of them link.
 
     ``words`` a shingle; ``blocks`` of ``width`` bits; candidates agree within ``radius`` bits in some block; links
-    differ in at most ``limit`` bits overall.
+    differ in at most ``limit`` bits overall. With ``step``, texts whose shingle counts differ by more than that factor
+    don't meet: sets of a similarity of 1 / step or more can't.
     """
 
     words: int = 3
@@ -42,6 +43,7 @@ class Scheme:
     width: int = 64
     radius: int = 2
     limit: int = 2
+    step: float | None = None
 
     @property
     def lanes(self) -> int:
@@ -58,7 +60,7 @@ class Scheme:
 NARROW = Scheme()
 #: Five-word shingles at a similarity of 0.8: the cosine of two sets is then 2 * 0.8 / 1.8 and 15.15 % of bits differ;
 #: 16 blocks of 24 bits find such a pair with a chance of 82 %, one of 0.85 with 94 %, one of 0.9 with 99 %.
-WIDE = Scheme(words=5, blocks=16, width=24, radius=1, limit=58)
+WIDE = Scheme(words=5, blocks=16, width=24, radius=1, limit=58, step=1.25)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -71,13 +73,17 @@ def shingles(text: str, words: int) -> list[bytes]:
 
 
 def fingerprint(text: str, scheme: Scheme) -> np.ndarray:
-    """``lanes`` 64-bit words; bit b of lane 0 is 1 if it is set in over half the shingles' XXH64 with seed 42.
+    return sized(text, scheme)[0]
+
+
+def sized(text: str, scheme: Scheme) -> tuple[np.ndarray, int]:
+    """``lanes`` 64-bit words and the number of shingles; bit b of lane 0 is 1 if it is set in over half the shingles' XXH64 with seed 42.
 
     Further lanes take the same from those hashes multiplied by odd constants and folded. No words: zero.
     """
     found = shingles(text, scheme.words)
     if not found:
-        return np.zeros(scheme.lanes, np.uint64)
+        return np.zeros(scheme.lanes, np.uint64), 0
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(s, 42) for s in found), np.uint64, len(found))
     total = np.zeros(64 * scheme.lanes, np.int64)
@@ -90,7 +96,7 @@ def fingerprint(text: str, scheme: Scheme) -> np.ndarray:
             part.append(x ^ (x >> np.uint64(29)))
         bits = np.unpackbits(np.stack(part, 1).view(np.uint8), axis=1, bitorder="little")
         total += bits.sum(0, dtype=np.int64)
-    return np.packbits(total * 2 > len(h), bitorder="little").view(np.uint64)
+    return np.packbits(total * 2 > len(h), bitorder="little").view(np.uint64), len(h)
 
 
 def _lanes(n: int) -> list[str]:
@@ -98,20 +104,27 @@ def _lanes(n: int) -> list[str]:
 
 
 def fingerprints(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """doc_id and the lanes f0, f1, ... of every whole text; a null text is empty."""
+    """doc_id, the lanes f0, f1, ... and the step that the shingle count stands on, of every whole text; a null text is empty."""
     names = _lanes(scheme.lanes)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            got = np.array([fingerprint(t, scheme) for t in f["text"]], np.uint64).reshape(-1, scheme.lanes).view(np.int64)
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64")} | {n: got[:, i] for i, n in enumerate(names)})
+            both = [sized(t, scheme) for t in f["text"]]
+            got = np.array([x for x, _ in both], np.uint64).reshape(-1, scheme.lanes).view(np.int64)
+            n = np.array([n for _, n in both], np.int64)
+            step = np.floor(np.log(np.maximum(n, 1)) / np.log(scheme.step)).astype(np.int32) if scheme.step else np.zeros(len(n), np.int32)
+            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64")} | {n: got[:, i] for i, n in enumerate(names)} | {"step": step})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInPandas(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return rows.mapInPandas(run, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", step int")
 
 
-def _keys(lanes: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key, 1 for a cleared bit) of every key."""
+def _keys(lanes: np.ndarray, scheme: Scheme, step: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, 1 for a cleared bit) of every key.
+
+    With steps, exact keys stand on their own step and both beside it and cleared ones on their own, so any two texts
+    at most a step apart meet as they would without.
+    """
     bits = np.unpackbits(np.ascontiguousarray(lanes).view(np.uint8), axis=1, bitorder="little")
     m = len(scheme.segments)
     rows, keys, cleared = [], [], []
@@ -121,9 +134,11 @@ def _keys(lanes: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray, np
             lo2, hi2 = scheme.segments[(i + 1) % m]
             both = np.concatenate([block[:, lo:hi], block[:, lo2:hi2]], 1).astype(np.int64)
             key = both @ (1 << np.arange(both.shape[1], dtype=np.int64)) | np.int64(b * m + i) << 48
-            rows.append(np.arange(len(lanes)))
-            keys.append(key)
-            cleared.append(np.zeros(len(lanes), np.int8))
+            for beside in (0,) if step is None else (-1, 0, 1):
+                rows.append(np.arange(len(lanes)))
+                keys.append(key if step is None else key | (step.astype(np.int64) + 1 + beside) << 32)
+                cleared.append(np.zeros(len(lanes), np.int8))
+            key = key if step is None else key | (step.astype(np.int64) + 1) << 32
             r, c = np.nonzero(both[:, hi - lo :])
             rows.append(r)
             keys.append(key[r] - (np.int64(1) << (c + hi - lo)))
@@ -210,15 +225,16 @@ def _linked(frames: Iterator[pd.DataFrame], scheme: Scheme) -> Iterator[pd.DataF
 
 
 def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """Links (a, b) between ids of ``nodes(id, f0, f1, ...)``, whose fingerprints are distinct, enough to connect all that link."""
+    """Links (a, b) between ids of ``nodes(id, f0, f1, ..., step)``, whose fingerprints are distinct, enough to connect all that link; without ``step`` all sizes meet."""
     spark, names = nodes.sparkSession, _lanes(scheme.lanes)
     carried = names if scheme.lanes == 1 else []
+    stepped = scheme.step is not None and "step" in nodes.columns
 
     def explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for s in range(0, len(f), 2048):
                 part = f.iloc[s : s + 2048]
-                rows, keys, cleared = _keys(part[names].to_numpy(np.int64), scheme)
+                rows, keys, cleared = _keys(part[names].to_numpy(np.int64), scheme, part["step"].to_numpy() if stepped else None)
                 yield pd.DataFrame({"key": keys, "id": part["id"].to_numpy()[rows], "cleared": cleared} | {n: part[n].to_numpy()[rows] for n in carried})
 
     columns = "key long, id long, cleared byte" + "".join(f", {n} long" for n in carried)
@@ -233,7 +249,7 @@ def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))
         shared = shared.withColumn("other", other).select("*", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
     if not carried:
-        shared = shared.join(nodes, "id")
+        shared = shared.join(nodes.drop("step"), "id")
     shared = shared.select("key", "x", "y", "id", "cleared", *names).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
     return shared.mapInPandas(lambda frames: _linked(frames, scheme), "a long, b long").distinct()
 
@@ -247,7 +263,7 @@ def classes(docs: DataFrame, scheme: Scheme = NARROW) -> DataFrame:
     """
     names = _lanes(scheme.lanes)
     prints = stored(fingerprints(docs, scheme), "fingerprints")
-    nodes = stored(prints.where(F.col("doc_id").isNotNull()).groupBy(*names).agg(F.min("doc_id").alias("id")), "nodes")
+    nodes = stored(prints.where(F.col("doc_id").isNotNull()).groupBy(*names).agg(F.min("doc_id").alias("id"), F.min("step").alias("step")), "nodes")
     # one doc_id with several texts stands for several fingerprints: it joins them
     several = prints.where(F.col("doc_id").isNotNull()).join(nodes, names).groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b")
     found = components(links(nodes, scheme).union(several.select("a", "b")))
