@@ -9,8 +9,9 @@ more, and one line of each component of links stays: the first by doc_id and pla
 
 Equal lines are merged before bands are made, so however common a line is it enters once. Within a band each line
 is first compared with the least one and its three predecessors, in proportion to the band; then, where a band
-still holds several components, all its pairs across components are compared. So no pair of a band is left out
-unless it is connected already.
+still holds several components, all its pairs across components that can be similar are found by the rarest of what
+tells each line from the band's least one, and compared. So no pair of a band is left out unless it is connected
+already, and no band is paired with itself.
 
 Documents are written once as a table bucketed by doc_id; signatures, texts of candidates and the final texts are
 taken from it without moving the documents again.
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 from quillmart.llm.common import components, stored
 
 SPAN, BANDS, ROWS, SIMILARITY = 12, 5, 3, 0.8
-_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}"
-_SHINGLE = rf"(?:(?<![^ ])|(?=[{_UNSPACED}]))(?=([{_UNSPACED}].{{0,3}}|[^ ]{{{SPAN},}}|.{{1,{SPAN}}}))"
+#: Thai, kana and Han, by range: a script property is looked up character by character, a range is compared.
+_UNSPACED = r"\u0E00-\u0E7F\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{323AF}"
+#: A shingle is looked at where it starts; then the match runs on to the next start, so no place between is tried.
+_SHINGLE = rf"(?=([{_UNSPACED}].{{0,3}}|[^ ]{{{SPAN},}}|.{{1,{SPAN}}}))(?:[{_UNSPACED}][^ {_UNSPACED}]*+|[^ {_UNSPACED}]++) ?+"
 
 
 def _masks(n: int) -> list[int]:
@@ -79,18 +82,46 @@ def _texts(table: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.where(F.xxhash64("norm") == F.col("h1")).groupBy("h1").agg(F.min("norm").alias("norm"))
 
 
-def _verified(table: DataFrame, lines: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Those of the distinct pairs (a, b) of h1 whose lines are similar."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
+def _sets(table: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """h1, s of the wanted h1: the distinct 64-bit shingle hashes of each line, made from its text once."""
     first = lines.groupBy("h1").agg(F.min("first").alias("first"))
-    texts = stored(_texts(table, first.join(ends, "h1")), "texts")
-    x = texts.select(F.col("h1").alias("a"), F.col("norm").alias("na"))
-    y = texts.select(F.col("h1").alias("b"), F.col("norm").alias("nb"))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", F.array_distinct(shingles(F.col("na"))).alias("sa"), F.array_distinct(shingles(F.col("nb"))).alias("sb"))
+    hashed = F.array_distinct(F.transform(shingles(F.col("norm")), lambda x: F.xxhash64(x)))
+    return stored(_texts(table, first.join(wanted.distinct(), "h1")).select("h1", hashed.alias("s")), "shingles")
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of the distinct pairs (a, b) of h1 whose whole shingle sets are similar."""
+    x = sets.select(F.col("h1").alias("a"), F.col("s").alias("sa"))
+    y = sets.select(F.col("h1").alias("b"), F.col("s").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
+    both = pairs.join(x, "a").join(y, "b")
     return stored(both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "similar")
 
 
+def _across(member: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different components within a band that can be similar, all of them, without pairing the band.
+
+    Each line is seen as its difference d from the band's least line. Similar lines A and B have differences that are
+    alike: |A xor B| = |dA| + |dB| - 2 |dA and dB| is at most e = (1 - t) / (1 + t) (|A| + |B|), and e is at most
+    (1 - t) / t of either size. Where they needn't share anything, |dA| + |dB| <= e, both are similar to the least line
+    and so in one component. Else, with |dA| <= |dB|, they share at least |dA| - e / 2 and at least |dB| - e elements,
+    so one of the floor(e / 2) + 1 rarest elements of dA is among the floor(e) + 1 rarest of dB.
+    """
+    least = member.groupBy("band").agg(F.min("h1").alias("h1")).join(sets, "h1").select("band", F.col("s").alias("s0"))
+    d = F.array_union(F.array_except("s", "s0"), F.array_except("s0", "s"))
+    rows = member.join(sets, "h1").join(least, "band").select("band", "h1", "c", F.size("s").alias("n"), d.alias("d"))
+    each = stored(rows.select("band", "h1", "c", "n", F.size("d").alias("k"), F.explode("d").alias("x")), "differences")
+    often = each.groupBy("band", "x").agg(F.count("*").alias("f"))
+    ranked = each.join(often, ["band", "x"]).groupBy("band", "h1", "c", "n", "k").agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("d"))
+    ranked = stored(ranked, "ranked")
+    most = (1 - similarity) / similarity * F.col("n") + 1e-9
+    few = lambda share: F.explode(F.slice("d", F.lit(1), F.floor(most * share).cast("int") + 1)).alias("e")
+    part = lambda share, i: ranked.select("band", F.col("h1").alias(f"h{i}"), F.col("c").alias(f"c{i}"), F.col("n").alias(f"n{i}"), F.col("k").alias(f"k{i}"), few(share)).withColumn("x", F.col("e.x")).drop("e")
+    pairs = part(0.5, 1).join(part(1.0, 2), ["band", "x"])
+    pairs = pairs.where("c1 <> c2 and (k1 < k2 or (k1 = k2 and h1 < h2))").where((F.col("n1") >= similarity * F.col("n2")) & (F.col("n2") >= similarity * F.col("n1")))
+    return pairs.select(F.greatest("h1", "h2").alias("a"), F.least("h1", "h2").alias("b")).distinct()
+
+
 def _decided(table: DataFrame, similarity: float) -> DataFrame:
     """_doc, _pos of every line that goes."""
     lines = stored(_distinct(table), "distinct")
@@ -99,16 +130,17 @@ def _decided(table: DataFrame, similarity: float) -> DataFrame:
     others = [F.first("h1").over(order), *(F.lag("h1", i).over(order) for i in (1, 2, 3))]
     near = banded.select("band", "h1", *(c.alias(f"o{i}") for i, c in enumerate(others)))
     near = near.where("o1 is not null").select(F.col("h1").alias("a"), F.explode(F.array("o0", "o1", "o2", "o3")).alias("b"))
-    links = _verified(table, lines, stored(near.where("b <> a").distinct(), "candidates"), similarity)
-    # a band with several components left: all its pairs across them
+    near = stored(near.where("b <> a").distinct(), "candidates")
+    sets = _sets(table, lines, near.select(F.explode(F.array("a", "b")).alias("h1")))
+    links = _verified(sets, near, similarity)
+    # a band of more than that with several components left: the rest of its pairs across them
     found = components(links)
     member = banded.join(found.withColumnRenamed("node", "h1"), "h1", "left").select("band", "h1", F.coalesce("component", "h1").alias("c"))
     split = member.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 4").select("band")
     member = stored(member.join(split, "band"), "bands")
-    x, y = (member.select("band", F.col("h1").alias(n), F.col("c").alias(f"c{n}")) for n in ("a", "b"))
-    across = stored(x.join(y, "band").where("a > b and ca <> cb").select("a", "b").distinct(), "candidates")
+    across = stored(_across(member, sets, similarity), "candidates")
     if not across.isEmpty():
-        links = links.union(_verified(table, lines, across, similarity))
+        links = links.union(_verified(sets, across, similarity))
         found = components(links)
     classes = lines.join(found.withColumnRenamed("node", "h1"), "h1", "left").select("h1", "h2", "first", F.coalesce("component", "h1").alias("c"), F.col("component").isNotNull().alias("linked"))
     least = classes.where("linked").groupBy("c").agg(F.min("first").alias("least"))
