@@ -6,7 +6,9 @@ share: the least hash of the ``GRAM``-byte strings inside the window, the leftmo
 window's bytes alone, so equal windows have the same digit at the same place, and the windows of one place, some
 forty in a row, travel as one row. A second digit, the hash of all bytes those windows cover, tells rows that are
 equal throughout: of these, all but the earliest are repeats. A place whose first digit recurs with other bytes
-around it goes one pass further: there each window stands alone under a 128-bit digit of its whole depth.
+around it goes one pass further, its windows in groups of ``STEP`` under the digits of what a group has in common and
+of all that it covers; and where that is still undecided, one more: there each window stands alone under a 128-bit
+digit of its whole depth.
 
 Each pass first settles what repeats within a task's own batch, so a string found in any share of all documents
 enters the exchange once a batch; the rest is streamed in sorted order with only the running group's first in
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quillmart.llm.common import stored, text_of
 
-LENGTH, GRAM, STEP_BYTES, BATCH_BYTES = 100, 20, 2 << 20, 40 << 20
+LENGTH, GRAM, STEP, STEP_BYTES, BATCH_BYTES = 100, 20, 9, 2 << 20, 40 << 20
 _ROWS = "kind byte, k1 long, k2 long, doc long, lo long, n long"
 PLACE, SPAN, ASKED = 0, 1, 2
 
@@ -173,10 +175,60 @@ def _first_pass(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInPandas(run, _ROWS)
 
 
-def _last_pass(table: DataFrame, asked: DataFrame, length: int) -> DataFrame:
+def _texts_of(table: DataFrame, asked: DataFrame) -> DataFrame:
     by_doc = asked.groupBy("doc").agg(F.collect_set(F.struct("lo", "n")).alias("at"))
-    rows = table.join(by_doc, "doc").select("doc", "text", F.col("at.lo").alias("los"), F.col("at.n").alias("ns"))
+    return table.join(by_doc, "doc").select("doc", "text", F.col("at.lo").alias("los"), F.col("at.n").alias("ns"))
+
+
+def parts(docs: list[int], los: list[int], spans: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(k1, k2, doc, lo, n): the windows of each span in groups of ``STEP`` successive starts, counted from the span's own place.
+
+    A group's windows all hold the bytes that the first digit is made of, whichever of them the span has; the second
+    is made of all that those cover and where they start. So a first digit that stands alone means that none recurs.
+    """
+    most = length - GRAM
+    data, size = b"".join(spans), np.array([len(b) for b in spans], np.int64)
+    first = np.cumsum(size) - size
+    lo = np.array(los, np.int64)
+    # where the place lies, as a start relative to the earliest window that can have it
+    rel = most - _gram_hashes(data)[first[:, None] + np.arange(most + 1)].argmin(1)
+    g0, g1 = rel // STEP, (rel + size - length) // STEP
+    k = np.repeat(np.arange(len(lo)), g1 - g0 + 1)
+    g = np.arange(len(k)) - np.repeat(np.cumsum(g1 - g0 + 1) - (g1 - g0 + 1), g1 - g0 + 1) + g0[k]
+    origin = first[k] - rel[k]
+    s0, s1 = np.maximum(first[k], origin + g * STEP), np.minimum(first[k] + size[k] - length, origin + g * STEP + STEP - 1)
+    core = origin + np.minimum(g * STEP + STEP - 1, most)
+    digest = xxhash.xxh3_64_intdigest
+    k1 = np.fromiter((digest(data[a:b], i) for a, b, i in zip(core.tolist(), (origin + g * STEP + length).tolist(), g.tolist(), strict=True)), np.uint64, len(k))
+    k2 = np.fromiter((digest(data[a : b + length], i) for a, b, i in zip(s0.tolist(), s1.tolist(), (s0 - origin).tolist(), strict=True)), np.uint64, len(k))
+    return k1.view(np.int64), k2.view(np.int64), np.array(docs, np.int64)[k], lo[k] + s0 - first[k], s1 - s0 + length
+
 
+def _middle_pass(table: DataFrame, asked: DataFrame, length: int) -> DataFrame:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        docs, starts, spans, got, size = [], [], [], [], 0
+        for f in frames:
+            for d, t, los, ns in f.itertuples(index=False):
+                b = t.encode("utf-8", "surrogatepass")
+                for a, n in zip(np.asarray(los).tolist(), np.asarray(ns).tolist(), strict=True):
+                    docs.append(d)
+                    starts.append(a)
+                    spans.append(b[a : a + n])
+                if len(spans) > 8_000:
+                    got.append(parts(docs, starts, spans, length))
+                    docs, starts, spans, size = [], [], [], size + len(got[-1][0])
+                if size > 600_000:
+                    yield from _settled(*(np.concatenate(x) for x in zip(*got, strict=True)))
+                    got, size = [], 0
+        if spans:
+            got.append(parts(docs, starts, spans, length))
+        if got:
+            yield from _settled(*(np.concatenate(x) for x in zip(*got, strict=True)))
+
+    return _texts_of(table, asked).mapInPandas(run, _ROWS)
+
+
+def _last_pass(table: DataFrame, asked: DataFrame, length: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, doc, lo = [], [], []
         digest = xxhash.xxh3_128_digest
@@ -192,7 +244,7 @@ def _last_pass(table: DataFrame, asked: DataFrame, length: int) -> DataFrame:
                     keys, doc, lo = [], [], []
         yield from _flush(keys, doc, lo, length)
 
-    return rows.mapInPandas(run, _ROWS)
+    return _texts_of(table, asked).mapInPandas(run, _ROWS)
 
 
 def _flush(keys: list[bytes], doc: list[int], lo: list[int], length: int) -> Iterator[pd.DataFrame]:
@@ -203,10 +255,11 @@ def _flush(keys: list[bytes], doc: list[int], lo: list[int], length: int) -> Ite
 
 def spans(table: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc, lo, n: spans of ``table(doc, text)`` that earlier strings of ``length`` bytes cover; they may overlap."""
+    asked = lambda rows: rows.where(F.col("kind") == ASKED).select("doc", "lo", "n")
     first = stored(_pass(_first_pass(table, length)), "places")
-    asked = first.where(F.col("kind") == ASKED).select("doc", "lo", "n")
-    last = stored(_pass(_last_pass(table, asked, length)), "windows")
-    return first.union(last).where(F.col("kind") == SPAN).select("doc", "lo", "n")
+    middle = stored(_pass(_middle_pass(table, asked(first), length)), "parts")
+    last = stored(_pass(_last_pass(table, asked(middle), length)), "windows")
+    return first.union(middle).union(last).where(F.col("kind") == SPAN).select("doc", "lo", "n")
 
 
 def remove(docs: DataFrame, length: int = LENGTH, with_text: bool = True) -> DataFrame:
