@@ -8,7 +8,7 @@ lines are linked if the Jaccard similarity of their shingle sets, computed from
 more, and one line of each component of links stays: the first by doc_id and place.
 
 Equal lines are merged before bands are made, so however common a line is it enters once. Within a band each line
-is first compared with the least one and its three predecessors, in proportion to the band; then, where a band
+is first compared with the least one and the one before it, in proportion to the band; then, where a band
 still holds several components, all its pairs across components that can be similar are found by the rarest of what
 tells each line from the band's least one, and compared. So no pair of a band is left out unless it is connected
 already, and no band is paired with itself.
@@ -127,16 +127,16 @@ def _decided(table: DataFrame, similarity: float) -> DataFrame:
     lines = stored(_distinct(table), "distinct")
     banded = lines.select("h1", F.explode("bands").alias("band"))
     order = Window.partitionBy("band").orderBy("h1")
-    others = [F.first("h1").over(order), *(F.lag("h1", i).over(order) for i in (1, 2, 3))]
+    others = [F.first("h1").over(order), F.lag("h1").over(order)]
     near = banded.select("band", "h1", *(c.alias(f"o{i}") for i, c in enumerate(others)))
-    near = near.where("o1 is not null").select(F.col("h1").alias("a"), F.explode(F.array("o0", "o1", "o2", "o3")).alias("b"))
+    near = near.where("o1 is not null").select(F.col("h1").alias("a"), F.explode(F.array("o0", "o1")).alias("b"))
     near = stored(near.where("b <> a").distinct(), "candidates")
     sets = _sets(table, lines, near.select(F.explode(F.array("a", "b")).alias("h1")))
     links = _verified(sets, near, similarity)
     # a band of more than that with several components left: the rest of its pairs across them
     found = components(links)
     member = banded.join(found.withColumnRenamed("node", "h1"), "h1", "left").select("band", "h1", F.coalesce("component", "h1").alias("c"))
-    split = member.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 4").select("band")
+    split = member.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 3").select("band")
     member = stored(member.join(split, "band"), "bands")
     across = stored(_across(member, sets, similarity), "candidates")
     if not across.isEmpty():
