@@ -126,7 +126,7 @@ g AS (SELECT district, (max(sales) FILTER (n = 1) - max(sales) FILTER (n = 2)) /
 leads AS (SELECT c_custkey AS lead, c_mktsegment AS industry, g.growth, g.traffic FROM customer LEFT JOIN g ON c_nationkey = district),
 p AS (SELECT quantile_cont(growth, 0.9) AS p90, quantile_cont(growth, 0.7) AS p70, avg(growth) AS m FROM leads),
 scored AS (SELECT lead, industry, growth, traffic, CASE WHEN growth IS NULL THEN 0.0::DOUBLE WHEN growth >= p90 THEN 100.0::DOUBLE WHEN growth >= p70 THEN 80.0::DOUBLE WHEN growth < 0 THEN 20.0::DOUBLE WHEN growth >= m THEN 60.0::DOUBLE ELSE 40.0::DOUBLE END AS growth_score,
-  CAST((rank() OVER (ORDER BY traffic) + (count(*) OVER (PARTITION BY traffic) - 1) / 2.0) / count(traffic) OVER () * 100 AS DOUBLE) AS traffic_score FROM leads, p)"""
+  CASE WHEN traffic IS NOT NULL THEN CAST((rank() OVER (ORDER BY traffic NULLS LAST) + (count(*) OVER (PARTITION BY traffic) - 1) / 2.0) / count(traffic) OVER () * 100 AS DOUBLE) END AS traffic_score FROM leads, p)"""
 
 
 def _leads(t: Tables) -> DataFrame:
@@ -140,7 +140,7 @@ def _leads(t: Tables) -> DataFrame:
     return leads.percentile_scores(leads.growth_scores(rows, "growth"), "traffic", "traffic_score")
 
 
-@query(f"WITH {LEADS} SELECT lead, growth, traffic, growth_score, traffic_score, growth_score * (0.30::DOUBLE / 0.8::DOUBLE) + traffic_score * (0.25::DOUBLE / 0.8::DOUBLE) + 50.0::DOUBLE * (0.25::DOUBLE / 0.8::DOUBLE) AS score FROM scored ORDER BY score DESC, lead LIMIT 50", "growth traffic growth_score traffic_score score")
+@query(f"WITH {LEADS} SELECT lead, growth, traffic, growth_score, traffic_score, growth_score * (0.30::DOUBLE / 0.8::DOUBLE) + traffic_score * (0.25::DOUBLE / 0.8::DOUBLE) + 50.0::DOUBLE * (0.25::DOUBLE / 0.8::DOUBLE) AS score FROM scored ORDER BY score DESC NULLS LAST, lead LIMIT 50", "growth traffic growth_score traffic_score score")
 def lead_scores(t: Tables) -> DataFrame:
     """Leads before reviews are known, without heroes: a similarity of 50 stands in."""
     score = leads.preliminary(F.col("growth_score"), F.col("traffic_score"), F.lit(50.0))
