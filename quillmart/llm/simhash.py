@@ -11,6 +11,10 @@ Equal fingerprints are merged first, before any key is made. Keys that no second
 before fingerprints are brought in. Groups of one key are streamed in sorted order; a group of more than ``GROUP``
 members is compared as pairs of parts of that size in different tasks. Of large groups only a spanning star of each
 set of linked members is returned, so links stay in proportion to members; no partner is ever left out.
+
+A scheme with a ``similarity`` takes fingerprints for candidates only: links are those whose whole shingle sets are
+that similar, computed from the texts. Of large groups the stars are verified first, then all near pairs across what
+is still apart.
 """
 
 from __future__ import annotations
@@ -34,8 +38,9 @@ class Scheme:
     """How texts become fingerprints and which of them link.
 
     ``words`` a shingle; ``blocks`` of ``width`` bits; candidates agree within ``radius`` bits in some block; links
-    differ in at most ``limit`` bits overall. With ``step``, texts whose shingle counts differ by more than that factor
-    don't meet: sets of a similarity of 1 / step or more can't.
+    differ in at most ``limit`` bits overall. With ``bits``, fingerprints have that many and the blocks are dealt from
+    them again and again, in another order each time. With ``similarity``, links need that Jaccard similarity of the
+    shingle sets too.
     """
 
     words: int = 3
@@ -43,11 +48,20 @@ class Scheme:
     width: int = 64
     radius: int = 2
     limit: int = 2
-    step: float | None = None
+    bits: int | None = None
+    similarity: float | None = None
 
     @property
     def lanes(self) -> int:
-        return self.blocks * self.width // 64
+        return (self.bits or self.blocks * self.width) // 64
+
+    @property
+    def places(self) -> np.ndarray:
+        """The bits of each block."""
+        bits, draw = 64 * self.lanes, np.random.default_rng(42)
+        each = bits // self.width
+        deals = [np.arange(bits)] + [draw.permutation(bits) for _ in range((self.blocks - 1) // each)]
+        return np.concatenate([d[: each * self.width].reshape(each, self.width) for d in deals])[: self.blocks]
 
     @property
     def segments(self) -> list[tuple[int, int]]:
@@ -58,9 +72,11 @@ class Scheme:
 
 #: Within 2 of 64 bits, over 3-word shingles.
 NARROW = Scheme()
-#: Five-word shingles at a similarity of 0.8: the cosine of two sets is then 2 * 0.8 / 1.8 and 15.15 % of bits differ;
-#: 16 blocks of 24 bits find such a pair with a chance of 82 %, one of 0.85 with 94 %, one of 0.9 with 99 %.
-WIDE = Scheme(words=5, blocks=16, width=24, radius=1, limit=58, step=1.25)
+#: Five-word shingles at a similarity of 0.8: the cosine of two sets is then 2 * 0.8 / 1.8 and 15.15 % of bits differ,
+#: 58.2 with a standard deviation of 7; 80 is three of them more. Equal blocks of 24 bits, 240 times, find candidates.
+WIDE = Scheme(words=5, blocks=240, width=24, radius=0, limit=80, bits=384, similarity=0.8)
+#: Two members of a small key group meet only if these few bits differ in no more than so many: 4.8 at 0.8, 16 by chance.
+SKETCH, SKETCHED = 32, 12
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -76,16 +92,21 @@ def fingerprint(text: str, scheme: Scheme) -> np.ndarray:
     return sized(text, scheme)[0]
 
 
+def hashes(text: str, words: int) -> np.ndarray:
+    """XXH64 with seed 42 of each shingle, repeats included."""
+    found = shingles(text, words)
+    return np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in found), np.uint64, len(found))
+
+
 def sized(text: str, scheme: Scheme) -> tuple[np.ndarray, int]:
-    """``lanes`` 64-bit words and the number of shingles; bit b of lane 0 is 1 if it is set in over half the shingles' XXH64 with seed 42.
+    """``lanes`` 64-bit words and a digest of the shingle set; bit b of lane 0 is 1 if it is set in over half the shingles' XXH64 with seed 42.
 
     Further lanes take the same from those hashes multiplied by odd constants and folded. No words: zero.
     """
-    found = shingles(text, scheme.words)
-    if not found:
+    h = hashes(text, scheme.words)
+    if not len(h):
         return np.zeros(scheme.lanes, np.uint64), 0
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, 42) for s in found), np.uint64, len(found))
+    digest = xxhash.xxh64_intdigest(np.unique(h).tobytes()) if scheme.similarity else 0
     total = np.zeros(64 * scheme.lanes, np.int64)
     for i in range(0, len(h), 1 << 14):
         part = [h[i : i + (1 << 14)]]
@@ -96,7 +117,7 @@ def sized(text: str, scheme: Scheme) -> tuple[np.ndarray, int]:
             part.append(x ^ (x >> np.uint64(29)))
         bits = np.unpackbits(np.stack(part, 1).view(np.uint8), axis=1, bitorder="little")
         total += bits.sum(0, dtype=np.int64)
-    return np.packbits(total * 2 > len(h), bitorder="little").view(np.uint64), len(h)
+    return np.packbits(total * 2 > len(h), bitorder="little").view(np.uint64), digest
 
 
 def _lanes(n: int) -> list[str]:
@@ -104,41 +125,40 @@ def _lanes(n: int) -> list[str]:
 
 
 def fingerprints(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """doc_id, the lanes f0, f1, ... and the step that the shingle count stands on, of every whole text; a null text is empty."""
+    """doc_id, the lanes f0, f1, ... and the digest of the shingle set (0 without a similarity) of every whole text; a null text is empty."""
     names = _lanes(scheme.lanes)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             both = [sized(t, scheme) for t in f["text"]]
             got = np.array([x for x, _ in both], np.uint64).reshape(-1, scheme.lanes).view(np.int64)
-            n = np.array([n for _, n in both], np.int64)
-            step = np.floor(np.log(np.maximum(n, 1)) / np.log(scheme.step)).astype(np.int32) if scheme.step else np.zeros(len(n), np.int32)
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64")} | {n: got[:, i] for i, n in enumerate(names)} | {"step": step})
+            digest = np.array([n for _, n in both], np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64")} | {n: got[:, i] for i, n in enumerate(names)} | {"digest": digest})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInPandas(run, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", step int")
-
+    return rows.mapInPandas(run, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", digest long")
 
-def _keys(lanes: np.ndarray, scheme: Scheme, step: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key, 1 for a cleared bit) of every key.
 
-    With steps, exact keys stand on their own step and both beside it and cleared ones on their own, so any two texts
-    at most a step apart meet as they would without.
-    """
+def _keys(lanes: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, 1 for a cleared bit) of every key. Without a radius a key's lower half is the sketch."""
     bits = np.unpackbits(np.ascontiguousarray(lanes).view(np.uint8), axis=1, bitorder="little")
     m = len(scheme.segments)
     rows, keys, cleared = [], [], []
-    for b in range(scheme.blocks):
-        block = bits[:, b * scheme.width : (b + 1) * scheme.width]
+    power = 1 << np.arange(scheme.width, dtype=np.int64)
+    for b, at in enumerate(scheme.places):
+        block = bits[:, at]
+        if not scheme.radius:
+            rows.append(np.arange(len(lanes)))
+            keys.append((block @ power | np.int64(b << scheme.width)) << 32 | lanes[:, 0] & ((1 << SKETCH) - 1))
+            cleared.append(np.zeros(len(lanes), np.int8))
+            continue
         for i, (lo, hi) in enumerate(scheme.segments):
             lo2, hi2 = scheme.segments[(i + 1) % m]
             both = np.concatenate([block[:, lo:hi], block[:, lo2:hi2]], 1).astype(np.int64)
             key = both @ (1 << np.arange(both.shape[1], dtype=np.int64)) | np.int64(b * m + i) << 48
-            for beside in (0,) if step is None else (-1, 0, 1):
-                rows.append(np.arange(len(lanes)))
-                keys.append(key if step is None else key | (step.astype(np.int64) + 1 + beside) << 32)
-                cleared.append(np.zeros(len(lanes), np.int8))
-            key = key if step is None else key | (step.astype(np.int64) + 1) << 32
+            rows.append(np.arange(len(lanes)))
+            keys.append(key)
+            cleared.append(np.zeros(len(lanes), np.int8))
             r, c = np.nonzero(both[:, hi - lo :])
             rows.append(r)
             keys.append(key[r] - (np.int64(1) << (c + hi - lo)))
@@ -186,8 +206,23 @@ def _shared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield f[shared]
 
 
+def _alike(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Shared rows but for those of small groups that are near no other of the group by their sketches."""
+    for f in frames:
+        key, sketch, keep = f["key"].to_numpy(), f["sketch"].to_numpy(), np.ones(len(f), bool)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(first, len(f)))
+        first, size = first[1:-1], size[1:-1]  # the outer two may go on in other frames
+        for n in np.unique(size[(size > 1) & (size <= SMALL)]):
+            at = first[size == n][:, None] + np.arange(n)
+            near = np.bitwise_count(sketch[at][:, :, None] ^ sketch[at][:, None, :]) <= SKETCHED
+            near[:, np.arange(n), np.arange(n)] = False
+            keep[at] = near.any(2)
+        yield f[keep].drop(columns="sketch")
+
+
 def _linked(frames: Iterator[pd.DataFrame], scheme: Scheme) -> Iterator[pd.DataFrame]:
-    """Verified links within each group of (key, x, y)."""
+    """Near pairs within each group of (key, x, y): of large ones spanning stars or, where rows have a component c, all pairs across components."""
     names = _lanes(scheme.lanes)
     by = ["key", "x", "y"]
     for f in _groups(frames, by):
@@ -207,8 +242,16 @@ def _linked(frames: Iterator[pd.DataFrame], scheme: Scheme) -> Iterator[pd.DataF
             ok = near(i, j)
             a.append(ids[i[ok]])
             b.append(ids[j[ok]])
+        apart = f["c"].to_numpy() if "c" in f else None
         for s, n in zip(first[size > SMALL], size[size > SMALL], strict=True):
             at = np.arange(s, s + n)
+            if apart is not None:
+                for i in at:
+                    others = at[(at > i) & (apart[at] != apart[i])]
+                    others = others[near(np.full(len(others), i), others)]
+                    a.append(np.maximum(ids[others], ids[i]))
+                    b.append(np.minimum(ids[others], ids[i]))
+                continue
             adjacent = np.stack([near(np.full(n, i), at) for i in at]) | np.eye(n, dtype=bool)
             root = np.arange(n)
             while True:
@@ -224,23 +267,32 @@ def _linked(frames: Iterator[pd.DataFrame], scheme: Scheme) -> Iterator[pd.DataF
             yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
-def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """Links (a, b) between ids of ``nodes(id, f0, f1, ..., step)``, whose fingerprints are distinct, enough to connect all that link; without ``step`` all sizes meet."""
-    spark, names = nodes.sparkSession, _lanes(scheme.lanes)
+def _keyed(nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """key, id, cleared, part (and the one lane of narrow fingerprints) of every key that several nodes have."""
+    names = _lanes(scheme.lanes)
     carried = names if scheme.lanes == 1 else []
-    stepped = scheme.step is not None and "step" in nodes.columns
 
     def explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for s in range(0, len(f), 2048):
                 part = f.iloc[s : s + 2048]
-                rows, keys, cleared = _keys(part[names].to_numpy(np.int64), scheme, part["step"].to_numpy() if stepped else None)
+                rows, keys, cleared = _keys(part[names].to_numpy(np.int64), scheme)
                 yield pd.DataFrame({"key": keys, "id": part["id"].to_numpy()[rows], "cleared": cleared} | {n: part[n].to_numpy()[rows] for n in carried})
 
     columns = "key long, id long, cleared byte" + "".join(f", {n} long" for n in carried)
     keyed = nodes.mapInPandas(explode, columns)
-    shared = keyed.repartition("key").sortWithinPartitions("key", "cleared", "id").mapInPandas(_shared, columns + ", part long")
-    shared = stored(shared, "keys")
+    if scheme.radius:
+        shared = keyed.repartition("key").sortWithinPartitions("key", "cleared", "id").mapInPandas(_shared, columns + ", part long")
+    else:
+        keyed = keyed.repartition(F.shiftright("key", 32)).sortWithinPartitions("key", "id")
+        keyed = keyed.select(F.shiftright("key", 32).alias("key"), "id", "cleared", *carried, F.col("key").bitwiseAND(F.lit((1 << SKETCH) - 1)).alias("sketch"))
+        shared = keyed.mapInPandas(lambda frames: _alike(_shared(frames)), columns + ", part long")
+    return stored(shared, "keys")
+
+
+def _near(shared: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """The near pairs (a, b) of ``_keyed`` rows."""
+    names = _lanes(scheme.lanes)
     large = shared.groupBy("key").agg(F.max("part").alias("last")).where("last > 0")
     if large.isEmpty():
         shared = shared.select("*", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
@@ -248,12 +300,54 @@ def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
         shared = shared.join(large, "key", "left").withColumn("last", F.coalesce("last", F.lit(0)))
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))
         shared = shared.withColumn("other", other).select("*", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
-    if not carried:
-        shared = shared.join(nodes.drop("step"), "id")
-    shared = shared.select("key", "x", "y", "id", "cleared", *names).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    if scheme.lanes > 1:
+        shared = shared.join(nodes.select("id", *names), "id")
+    component = ["c"] if "c" in shared.columns else []
+    shared = shared.select("key", "x", "y", "id", "cleared", *component, *names).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
     return shared.mapInPandas(lambda frames: _linked(frames, scheme), "a long, b long").distinct()
 
 
+def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """Near pairs (a, b) of ids of ``nodes(id, f0, f1, ...)``, each node another one, enough to connect all that are near."""
+    return _near(_keyed(nodes, scheme), nodes, scheme)
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """Those of the pairs (a, b) of node ids whose whole shingle sets are similar."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            sets = [np.unique(hashes(t, scheme.words)) for t in f["text"]]
+            digest = np.array([xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+            yield pd.DataFrame({"id": f["id"].to_numpy(), "digest": digest, "s": [s.view(np.int64) for s in sets]})
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text")).join(wanted, "id").distinct()
+    sets = texts.mapInPandas(run, "id long, digest long, s array<long>")
+    sets = stored(sets.join(nodes.select("id", "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]), "sets")
+    x, y = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    least, most = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    both = pairs.join(x, "a").join(y, "b").where(least >= scheme.similarity * most)
+    return stored(both.where(common >= scheme.similarity * (least + most - common)).select("a", "b").distinct(), "similar")
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """Links of nodes whose shingle sets are similar, enough to connect all candidates that are."""
+    shared = _keyed(nodes, scheme)
+    found = _similar(stored(_near(shared, nodes, scheme), "candidates"), docs, nodes, scheme)
+    # a star stands for its group only as far as it was verified: the rest are all pairs across what is apart
+    big = shared.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select("key")
+    big = stored(shared.join(big, "key"), "bunches")
+    if big.isEmpty():
+        return found
+    member = big.join(components(found).withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    split = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    rest = _near(stored(member.join(split, "key"), "bunches"), nodes, scheme)
+    rest = stored(rest, "candidates")
+    return found if rest.isEmpty() else found.union(_similar(rest, docs, nodes, scheme))
+
+
 def classes(docs: DataFrame, scheme: Scheme = NARROW) -> DataFrame:
     """doc_id, the lanes f0, ... and component_id, the smallest doc_id reachable over links, of every row.
 
@@ -262,13 +356,14 @@ def classes(docs: DataFrame, scheme: Scheme = NARROW) -> DataFrame:
     table gives no rows.
     """
     names = _lanes(scheme.lanes)
+    same = [*names, "digest"]
     prints = stored(fingerprints(docs, scheme), "fingerprints")
-    nodes = stored(prints.where(F.col("doc_id").isNotNull()).groupBy(*names).agg(F.min("doc_id").alias("id"), F.min("step").alias("step")), "nodes")
-    # one doc_id with several texts stands for several fingerprints: it joins them
-    several = prints.where(F.col("doc_id").isNotNull()).join(nodes, names).groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b")
-    found = components(links(nodes, scheme).union(several.select("a", "b")))
-    reached = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").select(*names, F.coalesce("component", "id").alias("component_id"))
-    known = prints.join(reached, names, "left")
+    nodes = stored(prints.where(F.col("doc_id").isNotNull()).groupBy(*same).agg(F.min("doc_id").alias("id")), "nodes")
+    # one doc_id with several texts stands for several nodes: it joins them
+    several = prints.where(F.col("doc_id").isNotNull()).join(nodes, same).groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b")
+    found = components((_verified(docs, nodes, scheme) if scheme.similarity else links(nodes, scheme)).union(several.select("a", "b")))
+    reached = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").select(*same, F.coalesce("component", "id").alias("component_id"))
+    known = prints.join(reached, same, "left")
     return known.select("doc_id", *names, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 

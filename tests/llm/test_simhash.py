@@ -122,3 +122,36 @@ def test_components_of_a_long_path(spark):
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == {i: 1 for i in range(1, 61)} | {100: 100, 101: 100}
     assert components(edges.limit(0)).count() == 0
+
+
+def similar_pairs(rows, t):
+    sets = {d: {x for x in simhash.shingles(text, 5)} for d, text in rows}
+    return {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b])}
+
+
+def test_wide_scheme_at_its_threshold(spark):
+    """Pairs of 0.8 to 0.85 are found, pairs just below aren't linked."""
+    draw = random.Random(4)
+    rows, alike = [], 0
+    for i in range(300):
+        w = [f"w{draw.randrange(10**6)}" for _ in range(300)]
+        cut = draw.choice([*range(28, 33), 40, 42])  # a tail of other words: (296 - cut) / (296 + cut)
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:-cut] + [f"v{draw.randrange(10**6)}" for _ in range(cut)]))]
+        alike += cut < 33
+    want = similar_pairs(rows, 0.8)
+    assert len(want) == alike > 150
+    got = {r.doc_id: r.component_id for r in simhash.classes(frame(spark, rows), WIDE).collect()}
+    found = {(a, b) for a, b in ((2 * i, 2 * i + 1) for i in range(300)) if got[a] == got[b]}
+    assert found <= want
+    assert len(found) >= 0.92 * len(want)
+
+
+def test_large_group_is_verified_across_its_star(spark, monkeypatch):
+    """Members near a group's least one but not similar to it are still linked with each other."""
+    monkeypatch.setattr(simhash, "SMALL", 2)
+    draw = random.Random(6)
+    w = [f"w{draw.randrange(10**6)}" for _ in range(300)]
+    tails = [[f"v{draw.randrange(10**6)}" for _ in range(40)] for _ in range(3)]
+    rows = [(0, " ".join(w))] + [(10 * k + i, " ".join(w[:-40] + t[:-i] + [f"u{k}{i}{j}" for j in range(i)])) for k, t in enumerate(tails, 1) for i in range(1, 5)]
+    got = {r.doc_id: r.component_id for r in simhash.classes(frame(spark, rows), WIDE).collect()}
+    assert got == {0: 0} | {10 * k + i: 10 * k + 1 for k in (1, 2, 3) for i in range(1, 5)}
