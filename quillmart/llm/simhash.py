@@ -101,12 +101,16 @@ def hashes(text: str, words: int) -> np.ndarray:
 def sized(text: str, scheme: Scheme) -> tuple[np.ndarray, int]:
     """``lanes`` 64-bit words and a digest of the shingle set; bit b of lane 0 is 1 if it is set in over half the shingles' XXH64 with seed 42.
 
-    Further lanes take the same from those hashes multiplied by odd constants and folded. No words: zero.
+    Further lanes take the same from those hashes multiplied by odd constants and folded. No words: zero. With a
+    similarity each shingle counts once, as in the sets, and a tied bit is that of the least hash.
     """
     h = hashes(text, scheme.words)
     if not len(h):
         return np.zeros(scheme.lanes, np.uint64), 0
-    digest = xxhash.xxh64_intdigest(np.unique(h).tobytes()) if scheme.similarity else 0
+    digest, tied = 0, 0
+    if scheme.similarity:
+        h = np.unique(h)
+        digest = xxhash.xxh64_intdigest(h.tobytes())
     total = np.zeros(64 * scheme.lanes, np.int64)
     for i in range(0, len(h), 1 << 14):
         part = [h[i : i + (1 << 14)]]
@@ -117,7 +121,9 @@ def sized(text: str, scheme: Scheme) -> tuple[np.ndarray, int]:
             part.append(x ^ (x >> np.uint64(29)))
         bits = np.unpackbits(np.stack(part, 1).view(np.uint8), axis=1, bitorder="little")
         total += bits.sum(0, dtype=np.int64)
-    return np.packbits(total * 2 > len(h), bitorder="little").view(np.uint64), digest
+        if i == 0 and scheme.similarity:
+            tied = bits[0]
+    return np.packbits(total * 2 + tied > len(h), bitorder="little").view(np.uint64), digest
 
 
 def _lanes(n: int) -> list[str]:

@@ -155,3 +155,17 @@ def test_large_group_is_verified_across_its_star(spark, monkeypatch):
     rows = [(0, " ".join(w))] + [(10 * k + i, " ".join(w[:-40] + t[:-i] + [f"u{k}{i}{j}" for j in range(i)])) for k, t in enumerate(tails, 1) for i in range(1, 5)]
     got = {r.doc_id: r.component_id for r in simhash.classes(frame(spark, rows), WIDE).collect()}
     assert got == {0: 0} | {10 * k + i: 10 * k + 1 for k in (1, 2, 3) for i in range(1, 5)}
+
+
+def test_wide_scheme_counts_sets_not_repeats(spark):
+    """Copies that differ in how often a passage stands in them meet; texts that share only a repeated passage don't."""
+    draw = random.Random(8)
+    words = lambda n: " ".join(f"w{draw.randrange(10**6)}" for _ in range(n))
+    rows, want = [], {}
+    for i in range(10):
+        text, passage = words(200), words(20)
+        near = text + " " + passage
+        rows += [(10 * i + 1, near), (10 * i + 2, near + " " + near), (10 * i + 3, near + (" " + passage) * 50), (10 * i + 4, words(60) + (" " + passage) * 50)]
+        want |= {10 * i + k: 10 * i + 1 for k in (1, 2, 3)} | {10 * i + 4: 10 * i + 4}
+    got = {r.doc_id: r.component_id for r in simhash.classes(frame(spark, rows), WIDE).collect()}
+    assert got == want
