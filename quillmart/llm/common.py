@@ -4,30 +4,81 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_made: list[tuple[str, str]] = []
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder named by ``spark.checkpoint.dir``.
 
-    Where that setting is empty (tests, a laptop) a temporary folder is made and set for the session.
+    Where that setting is empty and Spark runs on this machine alone (tests, a laptop) a temporary folder is made and
+    set for the session; on a cluster, whose machines don't share such a folder, it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillmart-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(("path", path))
+    return path
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside go with the end of each write: nothing reads them again."""
+    before = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_TIDY, before)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends at files that outlive executors."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    with tidy(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` written as a table bucketed by ``column``, so that later joins on it don't move its rows."""
+    spark = df.sparkSession
+    n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex}"
+    with tidy(spark):
+        df.repartition(n, column).write.bucketBy(n, column).option("compression", "zstd").saveAsTable(table)
+    _made.append(("table", table))
+    return spark.table(table)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the scratch folders and tables of this process; results that still read them must have been written."""
+    while _made:
+        kind, name = _made.pop()
+        if kind == "table":
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        else:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, with as many underscores more as keep it apart from the names ``taken``, whatever their case."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_of(column: str = "text"):
     """The text, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -38,8 +89,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Returns ``(node, component)`` for every node with an edge to another one, ``component`` being the smallest
     node reachable. Self loops and null ends are ignored. Each round shuffles the current edges once or twice,
-    is written to the shared folder, and pointers double, so rounds grow with the logarithm of the diameter.
-    Rows of one node are never gathered: minima and joins are the only operations.
+    is written to the shared folder, and pointers double, so rounds grow with the logarithm of the diameter; if
+    ``rounds`` don't suffice it is an error, never a partial result. Rows of one node are never gathered: minima and
+    joins are the only operations.
     """
     e = (
         edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
@@ -62,6 +114,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if state == last:
             break
         last = state
+    else:
+        raise RuntimeError(f"components have not settled after {rounds} rounds")
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -1,174 +1,403 @@
-"""Fuzzy line deduplication by MinHash, in DataFrame operations only.
+"""Fuzzy line deduplication by MinHash.
 
 Lines are compared in lower case with white space collapsed; blank lines are layout and always stay. A line's
-shingles start at each word (in scripts without spaces at each character) and run ``SPAN`` characters, or to the
-end of a longer word, so every character is in some shingle. Of each distinct line ``BANDS`` bands of ``ROWS``
-minima are made: the minima of one 64-bit hash under different masks. Lines that share a band are candidates, two
-lines are linked if the Jaccard similarity of their shingle sets, computed from the texts, is ``SIMILARITY`` or
-more, and one line of each component of links stays: the first by doc_id and place.
-
-Equal lines are merged before bands are made, so however common a line is it enters once. Within a band each line
-is first compared with the least one and the one before it, in proportion to the band; then, where a band
-still holds several components, all its pairs across components that can be similar are found by the rarest of what
-tells each line from the band's least one, and compared. So no pair of a band is left out unless it is connected
-already, and no band is paired with itself.
-
-Documents are written once as a table bucketed by doc_id; signatures, texts of candidates and the final texts are
-taken from it without moving the documents again.
+shingles are the ``SPAN`` characters from each of its characters on. ``BANDS`` bands of ``ROWS`` minima are made of
+them; lines that share a band are candidates, two lines are linked if the Jaccard similarity of their whole shingle
+sets, computed from the texts, is ``SIMILARITY`` or more, and one line of each component of links stays: the first by
+doc_id and place.
+
+Equal lines are merged before bands are compared, so however common a line is it enters once. A band is streamed in
+sorted order: each line is compared with the band's least one and with the one before it, which settles bands of up
+to three lines. A larger band whose lines still are in several components goes on: up to ``GROUP`` lines are compared
+in one task as a product of incidence matrices; more are banded anew by other minima, which tells apart what only
+seemed alike, and after ``LEVELS`` such rounds dealt out as pairs of parts. Tasks return links, never pairs, so rows
+stay in proportion to lines, and no pair of a band is left out unless it is connected already.
+
+Before texts are fetched, ``SKETCH`` one-bit minima must agree in at least ``AGREE``: 28.8 of 32 do at a similarity of
+0.8, 16 by chance.
+
+Signatures, sketches and comparisons are NumPy in Arrow batches; see the README for why they aren't native.
+Documents are written once as a table bucketed by doc_id; the texts of candidates and the final texts are taken from
+it without moving the documents again.
 """
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmart.llm.common import components, stored
-
-SPAN, BANDS, ROWS, SIMILARITY = 12, 5, 3, 0.8
-#: Thai, kana and Han, by range: a script property is looked up character by character, a range is compared.
-_UNSPACED = r"\u0E00-\u0E7F\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{323AF}"
-#: A shingle is looked at where it starts; then the match runs on to the next start, so no place between is tried.
-_SHINGLE = rf"(?=([{_UNSPACED}].{{0,3}}|[^ ]{{{SPAN},}}|.{{1,{SPAN}}}))(?:[{_UNSPACED}][^ {_UNSPACED}]*+|[^ {_UNSPACED}]++) ?+"
-
-
-def _masks(n: int) -> list[int]:
-    """Evenly spread 64-bit masks, as signed numbers."""
-    step = 0x9E3779B97F4A7C15
-    return [(x := step * (i + 1) % (1 << 64)) - (1 << 64) * (x >> 63) for i in range(n)]
-
-
-def normal(line):
-    return F.trim(F.regexp_replace(F.lower(line), r"[\s ]+", " "))
-
-
-def shingles(line):
-    """The shingles of a normalised line, repeats included."""
-    return F.regexp_extract_all(line, F.lit(_SHINGLE), F.lit(1))
-
-
-def _bucketed(docs: DataFrame) -> DataFrame:
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"lines_{uuid.uuid4().hex}"
-    docs.repartition(n, "_doc").write.bucketBy(n, "_doc").option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+from quillmart.llm.common import bucketed, components, free_name, stored
+
+SPAN, BANDS, ROWS, SIMILARITY = 5, 14, 5, 0.8
+SKETCH, AGREE = 32, 23
+GROUP, LEVELS, CHARS, STEP = 512, 6, 4_000_000, 1 << 16
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_BAND = "band long, h1 long, note long"
+
+
+def normal(line: str) -> str:
+    return " ".join(line.lower().split())
+
+
+def shingles(line: str) -> set[str]:
+    """The distinct shingles of a normalised line; one that is shorter is its own only one."""
+    line = line.ljust(SPAN, "\0")
+    return {line[i : i + SPAN] for i in range(len(line) - SPAN + 1)}
+
+
+def hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(h, start): a 64-bit hash of every shingle, repeats included; line i has those from start[i] on."""
+    lines = [x.ljust(SPAN, "\0") for x in lines]
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    n = len(codes) - SPAN + 1
+    h = codes[:n] * _A
+    for k in range(1, SPAN):
+        h ^= h >> np.uint64(29)
+        h += codes[k : k + n]
+        h *= _B
+    h ^= h >> np.uint64(32)
+    ends, count = np.cumsum(size), size - SPAN + 1
+    inside = np.ones(len(codes), bool)
+    for k in range(1, SPAN):
+        inside[ends - k] = False
+    return h[inside[:n]], np.cumsum(count) - count
+
+
+def signed(lines: list[str], level: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(bands, note) of normalised lines: 64-bit band keys, and the length in the upper and the sketch in the lower half."""
+    seeds = np.random.default_rng(1 + level).integers(0, 1 << 31, ROWS * BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    parts, part, chars = [], [], 0
+    for i, x in enumerate(lines):
+        part.append(x)
+        chars += len(x)
+        if chars >= STEP or i == len(lines) - 1:
+            h, start = hashes(part)
+            h = h.astype(np.uint32)
+            parts.append(np.stack([np.minimum.reduceat(h * m, start) for m in seeds], 1))
+            part, chars = [], 0
+    least = np.concatenate(parts) if parts else np.zeros((0, ROWS * BANDS), np.uint32)
+    keys = np.empty((len(lines), BANDS), np.uint64)
+    for b in range(BANDS):
+        k = np.full(len(lines), 1 + b + BANDS * level, np.uint64)
+        for r in range(ROWS):
+            k = (k ^ least[:, b * ROWS + r]) * _B
+            k ^= k >> np.uint64(31)
+        keys[:, b] = k
+    bits = np.packbits((least[:, : 2 * SKETCH : 2] >> np.uint32(16)).astype(np.uint8) & 1, axis=1)
+    note = np.fromiter(map(len, lines), np.int64, len(lines)) << 32 | bits.view(np.uint32)[:, 0].astype(np.int64)
+    return keys.view(np.int64), note
 
 
 def _lines(table: DataFrame) -> DataFrame:
-    """_doc, _pos, norm, h1, h2 of every line that isn't blank."""
-    rows = table.select("_doc", F.posexplode(F.split("_text", "\n")).alias("_pos", "line"))
-    rows = rows.select("_doc", "_pos", normal(F.col("line")).alias("norm")).where("norm <> ''")
-    return rows.select("_doc", "_pos", "norm", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(7), "norm").alias("h2"))
-
+    """_doc, _pos, h1, h2 of every line that isn't blank; its bands and note where it is the first such line of a batch."""
+    kind = table.schema["_doc"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, known, rows, chars = b.column("_text"), {}, [], 0
+            for i in range(len(texts)):
+                for p, x in enumerate(texts[i].as_py().split("\n")):
+                    if x := normal(x):
+                        chars += 0 if x in known else len(x)
+                        rows.append((i, p, known.setdefault(x, len(known))))
+                if rows and (chars >= CHARS or i == len(texts) - 1):
+                    yield _batch(b.column("_doc"), list(known), np.array(rows, np.int64))
+                    known, rows, chars = {}, [], 0
+            if rows:
+                yield _batch(b.column("_doc"), list(known), np.array(rows, np.int64))
+
+    return table.select("_doc", "_text").mapInArrow(run, f"_doc {kind}, _pos int, h1 long, h2 long, bands array<long>, note long")
+
+
+def _batch(docs: pa.Array, lines: list[str], rows: np.ndarray) -> pa.RecordBatch:
+    """rows: (place of the document, of the line in it, number of the line among ``lines``)."""
+    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines), "<i8").reshape(-1, 2)
+    bands, note = signed(lines)
+    which = rows[:, 2]
+    first = np.zeros(len(rows), bool)
+    first[np.unique(which, return_index=True)[1]] = True
+    ends = np.concatenate([[0], np.cumsum(first)]).astype(np.int32) * BANDS
+    at = which[first]
+    columns = [
+        docs.take(pa.array(rows[:, 0])), pa.array(rows[:, 1].astype(np.int32)), pa.array(digests[which, 0]), pa.array(digests[which, 1]),
+        pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[at].ravel())), pa.array(note[which]),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["_doc", "_pos", "h1", "h2", "bands", "note"])
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the sketches of two arrays of notes agree."""
+    return np.bitwise_count((x ^ y) & np.int64(0xFFFFFFFF)) <= SKETCH - AGREE
+
+
+def _grouped(banded: DataFrame) -> DataFrame:
+    """Every row of a band that several lines have, with its place there, the band's least line and the line before it.
+
+    ``near`` and ``near_last`` say whether the sketches allow a link with these.
+    """
 
-def _distinct(table: DataFrame) -> DataFrame:
-    """h1, h2, first (_doc, _pos) and bands of every distinct line."""
-    masks = _masks(BANDS * ROWS)
-    each = _lines(table).select("_doc", "_pos", "h1", "h2", F.explode(shingles(F.col("norm"))).alias("s"))
-    each = each.select("_doc", "_pos", "h1", "h2", F.xxhash64("s").alias("h"))
-    signed = each.groupBy("_doc", "_pos", "h1", "h2").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(masks)))
-    bands = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
-    signed = signed.select("h1", "h2", F.struct("_doc", "_pos").alias("at"), bands.alias("bands"))
-    return signed.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.min("bands").alias("bands"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = None  # band, h1, note of the latest row, its place and the least line of its band
+        for b in batches:
+            band, h1, note = (b.column(c).to_numpy() for c in ("band", "h1", "note"))
+            if head is not None:
+                band, h1, note = (np.concatenate([[x], y]) for x, y in zip(head[:3], (band, h1, note), strict=True))
+            fresh = np.concatenate([[True], (band[1:] != band[:-1]) | (h1[1:] != h1[:-1])])
+            band, h1, note = band[fresh], h1[fresh], note[fresh]
+            if not len(band):
+                continue
+            new = np.concatenate([[True], band[1:] != band[:-1]])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(band)), 0))
+            place, least, least_note = np.arange(len(band)) - first, h1[first], note[first]
+            if head is not None:
+                running = first == 0
+                place[running] += head[3]
+                least[running], least_note[running] = head[4:]
+            before = np.concatenate([[0], np.arange(len(band) - 1)])
+            out = place > 0
+            out[0] &= head is None
+            out[:-1] |= (place[:-1] == 0) & (place[1:] == 1)
+            near, near_last = _alike(note, least_note), _alike(note, note[before])
+            columns = (band, h1, note, place, least, h1[before], near, near_last)
+            yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in columns], ["band", "h1", "note", "place", "least", "last", "near", "near_last"])
+            head = (band[-1], h1[-1], note[-1], place[-1], least[-1], least_note[-1])
+
+    rows = banded.repartition("band").sortWithinPartitions("band", "h1")
+    return stored(rows.mapInArrow(run, _BAND + ", place long, least long, last long, near boolean, near_last boolean"), "bands")
+
+
+def _pairs(grouped: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) that the comparisons within the bands ask for."""
+    x = grouped.where("place > 0 and near").select(F.col("h1").alias("a"), F.col("least").alias("b"))
+    y = grouped.where("place > 1 and near_last").select(F.col("h1").alias("a"), F.col("last").alias("b"))
+    return x.union(y).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def _texts(table: DataFrame, wanted: DataFrame) -> DataFrame:
     """h1, norm of the wanted (h1, first): their documents are read in place."""
-    by_doc = wanted.groupBy(F.col("first._doc").alias("_doc")).agg(F.collect_set(F.struct(F.col("first._pos").alias("p"), "h1")).alias("at"))
-    found = table.select("_doc", "_text").join(by_doc, "_doc").select(F.split("_text", "\n").alias("l"), F.explode("at").alias("at"))
-    found = found.select("at.h1", normal(F.get("l", F.col("at.p"))).alias("norm"))
-    return found.where(F.xxhash64("norm") == F.col("h1")).groupBy("h1").agg(F.min("norm").alias("norm"))
+    by_doc = wanted.groupBy(F.col("first._doc").alias("_doc")).agg(F.collect_list(F.struct(F.col("first._pos").alias("p"), "h1")).alias("at"))
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            got = []
+            for text, at in f.itertuples(index=False):
+                lines = text.split("\n")
+                for p, h in ((x["p"], x["h1"]) for x in at):
+                    if p < len(lines) and xxhash.xxh3_128_digest(x := normal(lines[p]).encode("utf-8", "surrogatepass"))[:8] == int(h).to_bytes(8, "little", signed=True):
+                        got.append((h, x.decode("utf-8", "surrogatepass")))
+            yield pd.DataFrame(got, columns=["h1", "norm"]).astype({"h1": "int64"})
 
-def _sets(table: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h1, s of the wanted h1: the distinct 64-bit shingle hashes of each line, made from its text once."""
-    first = lines.groupBy("h1").agg(F.min("first").alias("first"))
-    hashed = F.array_distinct(F.transform(shingles(F.col("norm")), lambda x: F.xxhash64(x)))
-    return stored(_texts(table, first.join(wanted.distinct(), "h1")).select("h1", hashed.alias("s")), "shingles")
+    found = table.select("_doc", "_text").join(by_doc, "_doc").select("_text", "at").mapInPandas(run, "h1 long, norm string")
+    return stored(found.dropDuplicates(["h1"]), "texts")
 
 
-def _verified(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+def _verified(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """Those of the distinct pairs (a, b) of h1 whose whole shingle sets are similar."""
-    x = sets.select(F.col("h1").alias("a"), F.col("s").alias("sa"))
-    y = sets.select(F.col("h1").alias("b"), F.col("s").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    both = pairs.join(x, "a").join(y, "b")
-    return stored(both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "similar")
-
-
-def _across(member: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of different components within a band that can be similar, all of them, without pairing the band.
 
-    Each line is seen as its difference d from the band's least line. Similar lines A and B have differences that are
-    alike: |A xor B| = |dA| + |dB| - 2 |dA and dB| is at most e = (1 - t) / (1 + t) (|A| + |B|), and e is at most
-    (1 - t) / t of either size. Where they needn't share anything, |dA| + |dB| <= e, both are similar to the least line
-    and so in one component. Else, with |dA| <= |dB|, they share at least |dA| - e / 2 and at least |dB| - e elements,
-    so one of the floor(e / 2) + 1 rarest elements of dA is among the floor(e) + 1 rarest of dB.
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            sets, keep = {}, np.zeros(len(f), bool)
+            for i, (x, y) in enumerate(zip(f["x"], f["y"], strict=True)):
+                if len(sets) > 2_000:
+                    sets.clear()
+                both = []
+                for t in (x, y):
+                    if t not in sets:
+                        sets[t] = shingles(t)
+                    both.append(sets[t])
+                common = len(both[0] & both[1])
+                keep[i] = common >= similarity * (len(both[0]) + len(both[1]) - common)
+            yield f.loc[keep, ["a", "b"]]
+
+    x, y = (texts.select(F.col("h1").alias(k), F.col("norm").alias(t)) for k, t in (("a", "x"), ("b", "y")))
+    return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long"), "similar")
+
+
+def _streamed(frames: Iterator[pd.DataFrame], by: str) -> Iterator[pd.DataFrame]:
+    """Each group of frames sorted by ``by``; groups are small by construction."""
+    rest = None
+    for f in frames:
+        f = f if rest is None else pd.concat([rest, f], ignore_index=True)
+        if not len(f):
+            continue
+        key = f[by].to_numpy()
+        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+        for a, b in zip(np.concatenate([[0], cuts]), cuts, strict=False):
+            yield f.iloc[a:b]
+        rest = f.iloc[cuts[-1] if len(cuts) else 0 :]
+    if rest is not None and len(rest):
+        yield rest
+
+
+def common_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(inter, size): how many shingles each two of the lines share, and how many each has.
+
+    Shingles of few lines are counted by their pairs, the others as products of incidence matrices, block by block.
     """
-    least = member.groupBy("band").agg(F.min("h1").alias("h1")).join(sets, "h1").select("band", F.col("s").alias("s0"))
-    d = F.array_union(F.array_except("s", "s0"), F.array_except("s0", "s"))
-    rows = member.join(sets, "h1").join(least, "band").select("band", "h1", "c", F.size("s").alias("n"), d.alias("d"))
-    each = stored(rows.select("band", "h1", "c", "n", F.size("d").alias("k"), F.explode("d").alias("x")), "differences")
-    often = each.groupBy("band", "x").agg(F.count("*").alias("f"))
-    ranked = each.join(often, ["band", "x"]).groupBy("band", "h1", "c", "n", "k").agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("d"))
-    ranked = stored(ranked, "ranked")
-    most = (1 - similarity) / similarity * F.col("n") + 1e-9
-    few = lambda share: F.explode(F.slice("d", F.lit(1), F.floor(most * share).cast("int") + 1)).alias("e")
-    part = lambda share, i: ranked.select("band", F.col("h1").alias(f"h{i}"), F.col("c").alias(f"c{i}"), F.col("n").alias(f"n{i}"), F.col("k").alias(f"k{i}"), few(share)).withColumn("x", F.col("e.x")).drop("e")
-    pairs = part(0.5, 1).join(part(1.0, 2), ["band", "x"])
-    pairs = pairs.where("c1 <> c2 and (k1 < k2 or (k1 = k2 and h1 < h2))").where((F.col("n1") >= similarity * F.col("n2")) & (F.col("n2") >= similarity * F.col("n1")))
-    return pairs.select(F.greatest("h1", "h2").alias("a"), F.least("h1", "h2").alias("b")).distinct()
+    n = len(lines)
+    h, start = hashes(lines)
+    which = np.repeat(np.arange(n), np.diff(np.append(start, len(h))))
+    order = np.lexsort((which, h))
+    h, which = h[order], which[order]
+    fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (which[1:] != which[:-1])])
+    h, which = h[fresh], which[fresh]
+    size = np.bincount(which, minlength=n)
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    often = np.diff(np.append(first, len(h)))
+    inter = np.zeros((n, n), np.int64)
+    for d in np.unique(often[(often > 1) & (often <= 8)]):
+        at = which[first[often == d][:, None] + np.arange(d)]
+        u, v = np.triu_indices(d, 1)
+        inter += np.bincount((at[:, u] * n + at[:, v]).ravel(), minlength=n * n).reshape(n, n)
+    inter += inter.T
+    many = np.flatnonzero(often > 8)
+    for s in range(0, len(many), 2048):
+        part = many[s : s + 2048]
+        rows = np.concatenate([which[first[k] : first[k] + often[k]] for k in part])
+        x = np.zeros((n, len(part)), np.float32)
+        x[rows, np.repeat(np.arange(len(part)), often[part])] = 1
+        inter += (x @ x.T).astype(np.int64)
+    return inter, size
+
+
+def across(lines: list[str], apart: list[int], similarity: float) -> list[tuple[int, int]]:
+    """Links of lines of different components, as places (i, j): enough to connect all that are similar."""
+    n, root = len(lines), {c: c for c in apart}
+
+    def top(c):
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    if sum(map(len, lines)) <= CHARS:
+        inter, size = common_shingles(lines)
+        found = zip(*np.nonzero(np.triu(inter >= similarity * (size[:, None] + size - inter), 1)), strict=True)
+    else:  # few very long lines: one set beside the sorted hashes of each
+        each = [np.unique(hashes([x])[0]) for x in lines]
+
+        def similar(x, y):
+            common = len(np.intersect1d(x, y, assume_unique=True)) if similarity * max(len(x), len(y)) <= min(len(x), len(y)) else 0
+            return common >= similarity * (len(x) + len(y) - common)
+
+        found = ((i, j) for i in range(n) for j in range(i + 1, n) if top(apart[i]) != top(apart[j]) and similar(each[i], each[j]))
+    links = []
+    for i, j in found:
+        if (x := top(apart[i])) != (y := top(apart[j])):
+            root[max(x, y)] = min(x, y)
+            links.append((int(i), int(j)))
+    return links
+
+
+def _settled(member: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) across the components c of each small group of ``member(band, h1, note, c)``."""
+
+    def pruned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in _streamed(frames, "band"):
+            note, c = f["note"].to_numpy(), f["c"].to_numpy()
+            keep = (_alike(note[:, None], note) & (c[:, None] != c)).any(1)
+            if keep.any():
+                yield f[keep]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in _streamed(frames, "band"):
+            h = f["h1"].to_numpy()
+            if links := across(f["norm"].tolist(), f["c"].tolist(), similarity):
+                i, j = np.array(links).T
+                yield pd.DataFrame({"a": np.maximum(h[i], h[j]), "b": np.minimum(h[i], h[j])})
+
+    rows = member.select("band", "h1", "note", "c").repartition("band").sortWithinPartitions("band", "h1")
+    rows = stored(rows.mapInPandas(pruned, _BAND + ", c long"), "crowds").join(texts, "h1").select("band", "h1", "c", "norm")
+    return stored(rows.repartition("band").sortWithinPartitions("band", "h1").mapInPandas(run, "a long, b long").distinct(), "similar")
+
+
+def _banded_anew(member: DataFrame, texts: DataFrame, level: int) -> DataFrame:
+    """``member`` with its bands split by the bands of another level."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            bands, note = signed(f["norm"].tolist(), level)
+            yield pd.DataFrame({"h1": f["h1"], "anew": list(bands), "note": note})
+
+    lines = texts.join(member.select("h1").distinct(), "h1").select("h1", "norm").mapInPandas(run, "h1 long, anew array<long>, note long")
+    rows = member.select("band", "h1").join(stored(lines, "bands"), "h1").select("band", "h1", "note", F.explode("anew").alias("other"))
+    return rows.select(F.xxhash64("band", "other").alias("band"), "h1", "note")
+
+
+def _dealt(member: DataFrame) -> DataFrame:
+    """Large groups as pairs of parts of half the group size, each pair a group of its own."""
+    parts = F.ceil(F.col("n") / (GROUP // 2)).cast("int")
+    rows = member.select("*", F.pmod(F.xxhash64("h1"), parts).cast("int").alias("part"), parts.alias("parts"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.select(F.xxhash64("band", F.least("part", "other"), F.greatest("part", "other")).alias("band"), "h1", "note", "c")
+
+
+def _links(table: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of the h1 of similar lines, enough to connect them."""
+    banded = lines.where("size(bands) > 0").select(F.explode("bands").alias("band"), "h1", "note")
+    first = lines.groupBy("h1").agg(F.min(F.struct("_doc", "_pos")).alias("first"))
+    links, texts = None, None
+    for level in range(LEVELS + 1):
+        grouped = _grouped(banded)
+        if texts is None:
+            texts = _texts(table, first.join(grouped.select("h1").distinct(), "h1"))
+        found = _verified(texts, _pairs(grouped), similarity)
+        links = found if links is None else links.union(found)
+        member = grouped.join(components(links).withColumnRenamed("node", "h1"), "h1", "left").select("band", "h1", "note", F.coalesce("component", "h1").alias("c"))
+        size = member.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.shiftright("note", 32)).alias("chars"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+        member = stored(member.join(size.where("n > 3 and lo <> hi").select("band", "n", "chars"), "band"), "crowds")
+        fits = f"n <= {GROUP} and chars <= {CHARS}"
+        links = links.union(_settled(member.where(fits), texts, similarity))
+        large = member.where(f"not ({fits})")
+        if large.isEmpty():
+            return links
+        if level == LEVELS:
+            return links.union(_settled(_dealt(large), texts, similarity))
+        banded = _banded_anew(large, texts, level + 1)
 
 
 def _decided(table: DataFrame, similarity: float) -> DataFrame:
     """_doc, _pos of every line that goes."""
-    lines = stored(_distinct(table), "distinct")
-    banded = lines.select("h1", F.explode("bands").alias("band"))
-    order = Window.partitionBy("band").orderBy("h1")
-    others = [F.first("h1").over(order), F.lag("h1").over(order)]
-    near = banded.select("band", "h1", *(c.alias(f"o{i}") for i, c in enumerate(others)))
-    near = near.where("o1 is not null").select(F.col("h1").alias("a"), F.explode(F.array("o0", "o1")).alias("b"))
-    near = stored(near.where("b <> a").distinct(), "candidates")
-    sets = _sets(table, lines, near.select(F.explode(F.array("a", "b")).alias("h1")))
-    links = _verified(sets, near, similarity)
-    # a band of more than that with several components left: the rest of its pairs across them
-    found = components(links)
-    member = banded.join(found.withColumnRenamed("node", "h1"), "h1", "left").select("band", "h1", F.coalesce("component", "h1").alias("c"))
-    split = member.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 3").select("band")
-    member = stored(member.join(split, "band"), "bands")
-    across = stored(_across(member, sets, similarity), "candidates")
-    if not across.isEmpty():
-        links = links.union(_verified(sets, across, similarity))
-        found = components(links)
-    classes = lines.join(found.withColumnRenamed("node", "h1"), "h1", "left").select("h1", "h2", "first", F.coalesce("component", "h1").alias("c"), F.col("component").isNotNull().alias("linked"))
-    least = classes.where("linked").groupBy("c").agg(F.min("first").alias("least"))
-    kept = classes.join(least, "c", "left").select("h1", "h2", F.when(F.col("linked"), F.col("least")).otherwise(F.col("first")).alias("keep"))
-    every = _lines(table).select("_doc", "_pos", "h1", "h2")
+    lines = stored(_lines(table), "lines")
+    found = components(_links(table, lines, similarity)).withColumnRenamed("node", "h1")
+    own = lines.groupBy("h1", "h2").agg(F.min(F.struct("_doc", "_pos")).alias("first"), F.count("*").alias("n"))
+    classes = own.join(found, "h1", "left")
+    least = classes.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))
+    kept = classes.join(least, "component", "left").select("h1", "h2", "n", "first", F.coalesce("least", "first").alias("keep"))
+    # a line that stands alone and is the one kept has nothing to decide
+    kept = kept.where("n > 1 or keep <> first").select("h1", "h2", "keep")
+    every = lines.select("_doc", "_pos", "h1", "h2")
     return every.join(kept, ["h1", "h2"]).where((F.col("_doc") != F.col("keep._doc")) | (F.col("_pos") != F.col("keep._pos"))).select("_doc", "_pos")
 
 
-def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without repeated lines: all columns kept, and ``_lines``, ``_removed`` count each row's lines.
+def dedup(docs: DataFrame, similarity: float = SIMILARITY, lines: str = "_lines", removed: str = "_removed") -> DataFrame:
+    """``docs`` without repeated lines: all columns kept, and the columns ``lines``, ``removed`` count each row's lines.
 
     The text keeps its remaining lines as they were, joined by line breaks. A null text stays null and an empty one
     empty; rows of a repeated doc_id are one document, whose equal places share a decision; rows with a null doc_id
-    take no part and stay whole. An empty table gives no rows.
+    take no part and stay whole. Columns of ``docs`` may have any names, but those of the two counts are replaced by
+    them. An empty table gives no rows.
     """
     named = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"), docs["doc_id"].alias("_doc"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("_text"))
-    table = _bucketed(named.where("_doc is not null"))
-    gone = _decided(table, similarity).groupBy("_doc").agg(F.collect_set("_pos").alias("_gone"))
+    table = bucketed(named.where("_doc is not null"), "_doc", "lines")
+    gone = stored(_decided(table, similarity), "repeats").groupBy("_doc").agg(F.collect_set("_pos").alias("_gone"))
     rows = table.join(gone, "_doc", "left").select("_row", "_text", "_gone").unionByName(named.where("_doc is null").select("_row", "_text"), allowMissingColumns=True)
     split = F.split("_text", "\n")
     kept = F.filter(split, lambda x, i: ~F.array_contains(F.col("_gone"), i))
     text = F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(F.array_join(kept, "\n"))
-    columns = [text.alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
-    removed = F.coalesce(F.size("_gone"), F.lit(0))
-    return rows.select(*columns, F.size(split).cast("long").alias("_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(removed).cast("long").alias("_removed"))
+    columns = [text.alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c.lower() not in (lines.lower(), removed.lower())]
+    count = F.coalesce(F.size("_gone"), F.lit(0))
+    return rows.select(*columns, F.size(split).cast("long").alias(lines), F.when(F.col("_gone").isNull(), 0).otherwise(count).cast("long").alias(removed))
 
 
 def without_repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with its own columns; documents of which nothing but blank lines remains go."""
-    out = dedup(docs, similarity)
-    return out.where(~((F.col("_removed") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == ""))).select(*docs.columns)
+    """``docs`` with its own columns, whatever their names; documents of which nothing but blank lines remains go."""
+    lines, removed = free_name("_lines", docs.columns), free_name("_removed", docs.columns)
+    out = dedup(docs, similarity, lines, removed)
+    return out.where(~((F.col(removed) > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == ""))).select(*docs.columns)

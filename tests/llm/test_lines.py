@@ -11,16 +11,11 @@ def frame(spark, rows):
 
 
 def normal(s):
-    return re.sub(r"[\s ]+", " ", s.lower()).strip(" ")
+    return " ".join(s.lower().split())
 
 
 def shingles(n):
-    out = set()
-    for i, c in enumerate(n):
-        if i == 0 or n[i - 1] == " ":
-            word = n[i:].split(" ")[0]
-            out.add(word if len(word) >= 12 else n[i : i + 12])
-    return out
+    return {n[i : i + 5] for i in range(max(1, len(n) - 4))}
 
 
 def brute(docs, t=0.8):
@@ -69,7 +64,7 @@ def test_op7_against_all_pairs(spark):
     lost = sum(len(got[d].split("\n")) - len(t.split("\n")) for d, t in want.items())
     whole = sum(len(t.split("\n")) for t in want.values())
     assert all(set(want[d].split("\n")) <= set(got[d].split("\n")) for d in want)  # nothing that should stay goes
-    assert lost <= 0.02 * whole
+    assert lost <= 0.01 * whole
 
 
 def test_one_large_band_is_linked_whole(spark):
@@ -80,6 +75,49 @@ def test_one_large_band_is_linked_whole(spark):
     assert [r.doc_id for r in got] == [0]
 
 
+def test_large_groups_are_split_and_lose_no_link(spark, monkeypatch):
+    """Variants of one line that are about 0.7 alike, with near pairs among them; groups too large for one task."""
+    draw = random.Random(3)
+    words = ["".join(draw.choices("abcdefgh", k=6)) for _ in range(60)]
+    docs = []
+    for i in range(120):
+        w = [x if draw.random() < 0.94 else f"{i:06d}" for x in words]
+        docs.append((2 * i, " ".join(w)))
+        w[draw.randrange(60)] = "other"
+        docs.append((2 * i + 1, " ".join(w)))
+    want = sum(t == "" for t in brute(docs).values())
+    monkeypatch.setattr(lines, "LEVELS", 1)
+    for size in (512, 40):
+        monkeypatch.setattr(lines, "GROUP", size)
+        got = lines.dedup(frame(spark, docs)).where("_removed > 0").count()
+        assert abs(got - want) <= 0.01 * want, (size, got, want)
+
+
+def test_recall_at_the_threshold():
+    """Pairs of lines between 0.80 and 0.85 alike share a band and pass the sketch."""
+    draw = random.Random(5)
+    found = of = 0
+    while of < 400:
+        w = ["".join(draw.choices("abcdefghijkl", k=draw.randrange(3, 9))) for _ in range(50)]
+        v = list(w)
+        for k in draw.sample(range(50), 4):
+            v[k] = "".join(draw.choices("abcdefghijkl", k=5))
+        x, y = " ".join(w), " ".join(v)
+        if 0.8 <= len(shingles(x) & shingles(y)) / len(shingles(x) | shingles(y)) <= 0.85:
+            bands, note = lines.signed([x, y])
+            of, found = of + 1, found + bool((bands[0] == bands[1]).any() and lines._alike(note[:1], note[1:])[0])
+    assert found >= 0.98 * of
+
+
+def test_common_shingles():
+    draw = random.Random(2)
+    texts = ["".join(draw.choices("ab", k=draw.randrange(1, 90))) for _ in range(40)]
+    inter, size = lines.common_shingles(texts)
+    for i, x in enumerate(texts):
+        assert size[i] == len(lines.shingles(x))
+        assert all(inter[i, j] == len(lines.shingles(x) & lines.shingles(y)) for j, y in enumerate(texts) if i != j)
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "same line\n\nsame  LINE\n"), (4, "same line"), (None, "same line"), (5, "x" * 90000 + " y"), (5, "x" * 90000 + " y"), (6, "日本語の文章です。日本語の文章です。"), (7, "日本語の文章です。日本語の文章です。")]
     out = lines.dedup(frame(spark, rows))
@@ -87,6 +125,10 @@ def test_odd_rows(spark):
     got = sorted(((r.doc_id or 0), r.text if r.text is None else r.text[:20], r._removed) for r in out.collect())
     assert got == [(0, "same line", 0), (1, None, 0), (2, "", 0), (3, "same line\n\n", 1), (4, "", 1), (5, "x" * 20, 0), (5, "x" * 20, 0), (6, "日本語の文章です。日本語の文章です。", 0), (7, "", 1)]
     assert sorted(r.doc_id or 0 for r in lines.without_repeats(frame(spark, rows)).collect()) == [0, 1, 2, 3, 5, 5, 6]
+    clash = frame(spark, rows).withColumnsRenamed({"band": "_lines", "h1": "_removed"})
+    out = lines.without_repeats(clash)
+    assert out.columns == ["doc_id", "text", "_lines", "_removed"] and {(r._lines, r._removed) for r in out.collect()} == {("x", 1)}
+    assert lines.dedup(clash).columns == ["doc_id", "text", "_lines", "_removed"]
     assert lines.dedup(frame(spark, [])).count() == 0
 
 
