@@ -1,8 +1,9 @@
 """Fuzzy line deduplication by MinHash.
 
 Lines are compared in lower case with white space collapsed; blank lines are layout and always stay. A line's
-shingles are the ``SPAN`` characters from each of its characters on. ``BANDS`` bands of ``ROWS`` minima are made of
-them; lines that share a band are candidates, two lines are linked if the Jaccard similarity of their whole shingle
+shingles are the ``SPAN`` characters from each of its characters on. Bands of several minima are made of them (see
+``Bands``: wider for more lines, and more of them, so that a band holds few lines that only share common shingles and
+recall stays the same at every size); lines that share a band are candidates, two lines are linked if the Jaccard similarity of their whole shingle
 sets, computed from the texts, is ``SIMILARITY`` or more, and one line of each component of links stays: the first by
 doc_id and place.
 
@@ -17,13 +18,14 @@ Before texts are fetched, ``SKETCH`` one-bit minima must agree in at least ``AGR
 0.8, 16 by chance.
 
 Signatures, sketches and comparisons are NumPy in Arrow batches; see the README for why they aren't native.
-Documents are written once as a table bucketed by doc_id; the texts of candidates and the final texts are taken from
-it without moving the documents again.
+Whole documents move twice, to meet the places of candidate lines and of lines that go.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -32,9 +34,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmart.llm.common import bucketed, components, free_name, stored
+from quillmart.llm.common import components, free_name, stored
 
-SPAN, BANDS, ROWS, SIMILARITY = 5, 14, 5, 0.8
+SPAN, SIMILARITY = 5, 0.8
+#: The similarity of lines that have only common shingles in common, and the share of links that bands may miss at the threshold.
+BACKGROUND, MISSED = 0.02, 0.01
 SKETCH, AGREE = 32, 23
 GROUP, LEVELS, CHARS, STEP = 512, 6, 4_000_000, 1 << 16
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -70,9 +74,25 @@ def hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h[inside[:n]], np.cumsum(count) - count
 
 
-def signed(lines: list[str], level: int = 0) -> tuple[np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Bands:
+    """``bands`` bands of ``rows`` minima each."""
+
+    bands: int
+    rows: int
+
+    @classmethod
+    def of(cls, lines: int, similarity: float) -> Bands:
+        """Rows so that a line shares a band with less than half another of ``BACKGROUND`` similarity, bands so that at most ``MISSED`` links are missed."""
+        rows = max(3, math.ceil(math.log(2 * max(lines, 1)) / -math.log(BACKGROUND)))
+        return cls(math.ceil(math.log(MISSED) / math.log(1 - min(similarity, 0.99) ** rows)), rows)
+
+
+def signed(lines: list[str], scheme: Bands, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(bands, note) of normalised lines: 64-bit band keys, and the length in the upper and the sketch in the lower half."""
-    seeds = np.random.default_rng(1 + level).integers(0, 1 << 31, ROWS * BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    rows, bands = scheme.rows, scheme.bands
+    total = max(rows * bands, SKETCH)
+    seeds = np.random.default_rng(1 + level).integers(0, 1 << 31, total, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     parts, part, chars = [], [], 0
     for i, x in enumerate(lines):
         part.append(x)
@@ -82,20 +102,21 @@ def signed(lines: list[str], level: int = 0) -> tuple[np.ndarray, np.ndarray]:
             h = h.astype(np.uint32)
             parts.append(np.stack([np.minimum.reduceat(h * m, start) for m in seeds], 1))
             part, chars = [], 0
-    least = np.concatenate(parts) if parts else np.zeros((0, ROWS * BANDS), np.uint32)
-    keys = np.empty((len(lines), BANDS), np.uint64)
-    for b in range(BANDS):
-        k = np.full(len(lines), 1 + b + BANDS * level, np.uint64)
-        for r in range(ROWS):
-            k = (k ^ least[:, b * ROWS + r]) * _B
+    least = np.concatenate(parts) if parts else np.zeros((0, total), np.uint32)
+    keys = np.empty((len(lines), bands), np.uint64)
+    for b in range(bands):
+        k = np.full(len(lines), 1 + b + bands * level, np.uint64)
+        for r in range(rows):
+            k = (k ^ least[:, b * rows + r]) * _B
             k ^= k >> np.uint64(31)
         keys[:, b] = k
-    bits = np.packbits((least[:, : 2 * SKETCH : 2] >> np.uint32(16)).astype(np.uint8) & 1, axis=1)
-    note = np.fromiter(map(len, lines), np.int64, len(lines)) << 32 | bits.view(np.uint32)[:, 0].astype(np.int64)
+    spread = np.arange(SKETCH) * total // SKETCH
+    bits = np.packbits((least[:, spread] >> np.uint32(16)).astype(np.uint8) & 1, axis=1)
+    note = np.fromiter(map(len, lines), np.int64, len(lines)) << 32 | np.ascontiguousarray(bits).view(np.uint32)[:, 0].astype(np.int64)
     return keys.view(np.int64), note
 
 
-def _lines(table: DataFrame) -> DataFrame:
+def _lines(table: DataFrame, scheme: Bands) -> DataFrame:
     """_doc, _pos, h1, h2 of every line that isn't blank; its bands and note where it is the first such line of a batch."""
     kind = table.schema["_doc"].dataType.simpleString()
 
@@ -108,22 +129,22 @@ def _lines(table: DataFrame) -> DataFrame:
                         chars += 0 if x in known else len(x)
                         rows.append((i, p, known.setdefault(x, len(known))))
                 if rows and (chars >= CHARS or i == len(texts) - 1):
-                    yield _batch(b.column("_doc"), list(known), np.array(rows, np.int64))
+                    yield _batch(b.column("_doc"), list(known), np.array(rows, np.int64), scheme)
                     known, rows, chars = {}, [], 0
             if rows:
-                yield _batch(b.column("_doc"), list(known), np.array(rows, np.int64))
+                yield _batch(b.column("_doc"), list(known), np.array(rows, np.int64), scheme)
 
     return table.select("_doc", "_text").mapInArrow(run, f"_doc {kind}, _pos int, h1 long, h2 long, bands array<long>, note long")
 
 
-def _batch(docs: pa.Array, lines: list[str], rows: np.ndarray) -> pa.RecordBatch:
+def _batch(docs: pa.Array, lines: list[str], rows: np.ndarray, scheme: Bands) -> pa.RecordBatch:
     """rows: (place of the document, of the line in it, number of the line among ``lines``)."""
     digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines), "<i8").reshape(-1, 2)
-    bands, note = signed(lines)
+    bands, note = signed(lines, scheme)
     which = rows[:, 2]
     first = np.zeros(len(rows), bool)
     first[np.unique(which, return_index=True)[1]] = True
-    ends = np.concatenate([[0], np.cumsum(first)]).astype(np.int32) * BANDS
+    ends = np.concatenate([[0], np.cumsum(first)]).astype(np.int32) * scheme.bands
     at = which[first]
     columns = [
         docs.take(pa.array(rows[:, 0])), pa.array(rows[:, 1].astype(np.int32)), pa.array(digests[which, 0]), pa.array(digests[which, 1]),
@@ -181,7 +202,7 @@ def _pairs(grouped: DataFrame) -> DataFrame:
 
 
 def _texts(table: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h1, norm of the wanted (h1, first): their documents are read in place."""
+    """h1, norm of the wanted (h1, first): the documents move to them."""
     by_doc = wanted.groupBy(F.col("first._doc").alias("_doc")).agg(F.collect_list(F.struct(F.col("first._pos").alias("p"), "h1")).alias("at"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -317,12 +338,12 @@ def _settled(member: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return stored(rows.repartition("band").sortWithinPartitions("band", "h1").mapInPandas(run, "a long, b long").distinct(), "similar")
 
 
-def _banded_anew(member: DataFrame, texts: DataFrame, level: int) -> DataFrame:
+def _banded_anew(member: DataFrame, texts: DataFrame, scheme: Bands, level: int) -> DataFrame:
     """``member`` with its bands split by the bands of another level."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            bands, note = signed(f["norm"].tolist(), level)
+            bands, note = signed(f["norm"].tolist(), scheme, level)
             yield pd.DataFrame({"h1": f["h1"], "anew": list(bands), "note": note})
 
     lines = texts.join(member.select("h1").distinct(), "h1").select("h1", "norm").mapInPandas(run, "h1 long, anew array<long>, note long")
@@ -338,7 +359,7 @@ def _dealt(member: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("band", F.least("part", "other"), F.greatest("part", "other")).alias("band"), "h1", "note", "c")
 
 
-def _links(table: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+def _links(table: DataFrame, lines: DataFrame, scheme: Bands, similarity: float) -> DataFrame:
     """Links (a, b) of the h1 of similar lines, enough to connect them."""
     banded = lines.where("size(bands) > 0").select(F.explode("bands").alias("band"), "h1", "note")
     first = lines.groupBy("h1").agg(F.min(F.struct("_doc", "_pos")).alias("first"))
@@ -359,13 +380,15 @@ def _links(table: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
             return links
         if level == LEVELS:
             return links.union(_settled(_dealt(large), texts, similarity))
-        banded = _banded_anew(large, texts, level + 1)
+        banded = _banded_anew(large, texts, scheme, level + 1)
 
 
 def _decided(table: DataFrame, similarity: float) -> DataFrame:
     """_doc, _pos of every line that goes."""
-    lines = stored(_lines(table), "lines")
-    found = components(_links(table, lines, similarity)).withColumnRenamed("node", "h1")
+    count = table.agg(F.sum(F.length("_text") - F.length(F.replace("_text", F.lit("\n"))) + 1)).first()[0]
+    scheme = Bands.of(count or 0, similarity)
+    lines = stored(_lines(table, scheme), "lines")
+    found = components(_links(table, lines, scheme, similarity)).withColumnRenamed("node", "h1")
     own = lines.groupBy("h1", "h2").agg(F.min(F.struct("_doc", "_pos")).alias("first"), F.count("*").alias("n"))
     classes = own.join(found, "h1", "left")
     least = classes.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))
@@ -385,7 +408,7 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY, lines: str = "_lines"
     them. An empty table gives no rows.
     """
     named = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"), docs["doc_id"].alias("_doc"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("_text"))
-    table = bucketed(named.where("_doc is not null"), "_doc", "lines")
+    table = named.where("_doc is not null")
     gone = stored(_decided(table, similarity), "repeats").groupBy("_doc").agg(F.collect_set("_pos").alias("_gone"))
     rows = table.join(gone, "_doc", "left").select("_row", "_text", "_gone").unionByName(named.where("_doc is null").select("_row", "_text"), allowMissingColumns=True)
     split = F.split("_text", "\n")
