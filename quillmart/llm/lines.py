@@ -9,10 +9,11 @@ doc_id and place.
 
 Equal lines are merged before bands are compared, so however common a line is it enters once. A band is streamed in
 sorted order: each line is compared with the band's least one and with the one before it, which settles bands of up
-to three lines. A larger band whose lines still are in several components goes on: up to ``GROUP`` lines are compared
-in one task as a product of incidence matrices; more are banded anew by other minima, which tells apart what only
-seemed alike, and after ``LEVELS`` such rounds dealt out as pairs of parts. Tasks return links, never pairs, so rows
-stay in proportion to lines, and no pair of a band is left out unless it is connected already.
+to three lines. A larger band whose lines still are in several components goes on: of up to ``SMALL`` lines all pairs
+across components are compared; up to ``GROUP`` lines are compared in one task as a product of incidence matrices,
+which returns links, never pairs; more are banded anew by other minima, which tells apart what only seemed alike, and
+after ``LEVELS`` such rounds dealt out as pairs of parts. So rows stay in proportion to lines, and no pair of a band is
+left out unless it is connected already.
 
 Before texts are fetched, ``SKETCH`` one-bit minima must agree in at least ``AGREE``: 28.8 of 32 do at a similarity of
 0.8, 16 by chance.
@@ -40,7 +41,7 @@ SPAN, SIMILARITY = 5, 0.8
 #: The similarity of lines that have only common shingles in common, and the share of links that bands may miss at the threshold.
 BACKGROUND, MISSED = 0.02, 0.01
 SKETCH, AGREE = 32, 23
-GROUP, LEVELS, CHARS, STEP = 512, 6, 4_000_000, 1 << 16
+SMALL, GROUP, LEVELS, CHARS, STEP = 16, 2048, 6, 4_000_000, 1 << 16
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _BAND = "band long, h1 long, note long"
 
@@ -83,8 +84,8 @@ class Bands:
 
     @classmethod
     def of(cls, lines: int, similarity: float) -> Bands:
-        """Rows so that a line shares a band with less than half another of ``BACKGROUND`` similarity, bands so that at most ``MISSED`` links are missed."""
-        rows = max(3, math.ceil(math.log(2 * max(lines, 1)) / -math.log(BACKGROUND)))
+        """Rows so that one line in 20 shares a band with another of ``BACKGROUND`` similarity, bands so that at most ``MISSED`` links are missed."""
+        rows = max(3, math.ceil(math.log(20 * max(lines, 1)) / -math.log(BACKGROUND)))
         return cls(math.ceil(math.log(MISSED) / math.log(1 - min(similarity, 0.99) ** rows)), rows)
 
 
@@ -241,20 +242,18 @@ def _verified(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFram
     return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long"), "similar")
 
 
-def _streamed(frames: Iterator[pd.DataFrame], by: str) -> Iterator[pd.DataFrame]:
-    """Each group of frames sorted by ``by``; groups are small by construction."""
+def _groups(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """(frame, first, size): frames sorted by band that end with a band, where each band of them starts, and its rows."""
     rest = None
     for f in frames:
         f = f if rest is None else pd.concat([rest, f], ignore_index=True)
-        if not len(f):
-            continue
-        key = f[by].to_numpy()
-        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-        for a, b in zip(np.concatenate([[0], cuts]), cuts, strict=False):
-            yield f.iloc[a:b]
-        rest = f.iloc[cuts[-1] if len(cuts) else 0 :]
+        band = f["band"].to_numpy()
+        cuts = np.concatenate([[0] * bool(len(f)), np.flatnonzero(band[1:] != band[:-1]) + 1]).astype(np.int64)
+        if len(cuts) > 1:
+            yield f.iloc[: cuts[-1]], cuts[:-1], np.diff(cuts)
+        rest = f.iloc[cuts[-1] :] if len(cuts) else f
     if rest is not None and len(rest):
-        yield rest
+        yield rest, np.array([0]), np.array([len(rest)])
 
 
 def common_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -316,25 +315,42 @@ def across(lines: list[str], apart: list[int], similarity: float) -> list[tuple[
     return links
 
 
+def _small(member: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) across the components c of each group of ``member(band, h1, note, c)``, as sketches allow."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f, first, size in _groups(frames):
+            h, note, c = (f[x].to_numpy() for x in ("h1", "note", "c"))
+            for n in np.unique(size):
+                u, v = np.triu_indices(n, 1)
+                i, j = ((first[size == n][:, None] + x).ravel() for x in (u, v))
+                ask = _alike(note[i], note[j]) & (c[i] != c[j])
+                yield pd.DataFrame({"a": np.maximum(h[i[ask]], h[j[ask]]), "b": np.minimum(h[i[ask]], h[j[ask]])})
+
+    return member.repartition("band").sortWithinPartitions("band", "h1").mapInPandas(run, "a long, b long").distinct()
+
+
 def _settled(member: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) across the components c of each small group of ``member(band, h1, note, c)``."""
+    """Links (a, b) across the components c of each group of ``member(band, h1, note, c)`` of at most ``GROUP`` rows."""
 
     def pruned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in _streamed(frames, "band"):
-            note, c = f["note"].to_numpy(), f["c"].to_numpy()
-            keep = (_alike(note[:, None], note) & (c[:, None] != c)).any(1)
-            if keep.any():
-                yield f[keep]
+        for f, first, size in _groups(frames):
+            note, c, keep = f["note"].to_numpy(), f["c"].to_numpy(), np.zeros(len(f), bool)
+            for at, n in zip(first, size, strict=True):
+                x, k = note[at : at + n], c[at : at + n]
+                keep[at : at + n] = (_alike(x[:, None], x) & (k[:, None] != k)).any(1)
+            yield f[keep]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in _streamed(frames, "band"):
-            h = f["h1"].to_numpy()
-            if links := across(f["norm"].tolist(), f["c"].tolist(), similarity):
-                i, j = np.array(links).T
-                yield pd.DataFrame({"a": np.maximum(h[i], h[j]), "b": np.minimum(h[i], h[j])})
-
-    rows = member.select("band", "h1", "note", "c").repartition("band").sortWithinPartitions("band", "h1")
-    rows = stored(rows.mapInPandas(pruned, _BAND + ", c long"), "crowds").join(texts, "h1").select("band", "h1", "c", "norm")
+        for f, first, size in _groups(frames):
+            h, c, norm = f["h1"].to_numpy(), f["c"].tolist(), f["norm"].tolist()
+            for at, n in zip(first, size, strict=True):
+                if links := across(norm[at : at + n], c[at : at + n], similarity):
+                    i, j = np.array(links).T + at
+                    yield pd.DataFrame({"a": np.maximum(h[i], h[j]), "b": np.minimum(h[i], h[j])})
+
+    rows = member.repartition("band").sortWithinPartitions("band", "h1").mapInPandas(pruned, _BAND + ", c long")
+    rows = stored(rows, "crowds").join(texts, "h1").select("band", "h1", "c", "norm")
     return stored(rows.repartition("band").sortWithinPartitions("band", "h1").mapInPandas(run, "a long, b long").distinct(), "similar")
 
 
@@ -373,9 +389,11 @@ def _links(table: DataFrame, lines: DataFrame, scheme: Bands, similarity: float)
         member = grouped.join(components(links).withColumnRenamed("node", "h1"), "h1", "left").select("band", "h1", "note", F.coalesce("component", "h1").alias("c"))
         size = member.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.shiftright("note", 32)).alias("chars"), F.min("c").alias("lo"), F.max("c").alias("hi"))
         member = stored(member.join(size.where("n > 3 and lo <> hi").select("band", "n", "chars"), "band"), "crowds")
-        fits = f"n <= {GROUP} and chars <= {CHARS}"
-        links = links.union(_settled(member.where(fits), texts, similarity))
-        large = member.where(f"not ({fits})")
+        fits = (F.col("n") <= GROUP) & (F.col("chars") <= CHARS)
+        rows = member.select("band", "h1", "note", "c", "n")
+        links = links.union(_verified(texts, _small(rows.where(F.col("n") <= SMALL).drop("n")), similarity))
+        links = links.union(_settled(rows.where((F.col("n") > SMALL) & fits).drop("n"), texts, similarity))
+        large = rows.where((F.col("n") > SMALL) & ~fits)
         if large.isEmpty():
             return links
         if level == LEVELS:
@@ -407,11 +425,12 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY, lines: str = "_lines"
     take no part and stay whole. Columns of ``docs`` may have any names, but those of the two counts are replaced by
     them. An empty table gives no rows.
     """
-    named = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"), docs["doc_id"].alias("_doc"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("_text"))
+    named = docs.select(docs["doc_id"].alias("_doc"), F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"))
+    text = F.coalesce(F.col("_row.text").cast("string"), F.lit(""))
     table = named.where("_doc is not null")
-    gone = stored(_decided(table, similarity), "repeats").groupBy("_doc").agg(F.collect_set("_pos").alias("_gone"))
-    rows = table.join(gone, "_doc", "left").select("_row", "_text", "_gone").unionByName(named.where("_doc is null").select("_row", "_text"), allowMissingColumns=True)
-    split = F.split("_text", "\n")
+    gone = stored(_decided(table.select("_doc", text.alias("_text")), similarity), "repeats").groupBy("_doc").agg(F.collect_set("_pos").alias("_gone"))
+    rows = table.join(gone, "_doc", "left").select("_row", "_gone").unionByName(named.where("_doc is null").select("_row"), allowMissingColumns=True)
+    split = F.split(text, "\n")
     kept = F.filter(split, lambda x, i: ~F.array_contains(F.col("_gone"), i))
     text = F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(F.array_join(kept, "\n"))
     columns = [text.alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c.lower() not in (lines.lower(), removed.lower())]

@@ -87,7 +87,7 @@ def test_large_groups_are_split_and_lose_no_link(spark, monkeypatch):
         docs.append((2 * i + 1, " ".join(w)))
     want = sum(t == "" for t in brute(docs).values())
     monkeypatch.setattr(lines, "LEVELS", 1)
-    for size in (512, 40):
+    for size in (2048, 40):
         monkeypatch.setattr(lines, "GROUP", size)
         got = lines.dedup(frame(spark, docs)).where("_removed > 0").count()
         assert abs(got - want) <= 0.01 * want, (size, got, want)
