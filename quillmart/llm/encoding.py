@@ -2,8 +2,8 @@
 
 Both vocabularies split a text at white space before they merge, so the ids of a text are those of its chunks in
 order. Chunks are cut only where the library always cuts, are dictionary-encoded by Arrow, and each distinct one
-is encoded once and remembered. The memory holds at most ``LIMIT`` chunks a worker and is emptied when full;
-texts are taken ``PART`` characters at a time, so the working set doesn't grow with a batch.
+is encoded once and remembered. The memory holds about ``LIMIT`` bytes a worker and is emptied when full; texts are
+taken ``PART`` characters at a time, so the working set doesn't grow with a batch, only with its longest text.
 """
 
 from __future__ import annotations
@@ -11,13 +11,15 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-LIMIT, PART = 1_200_000, 6_000_000
+LIMIT, PART = 96 << 20, 2_000_000
+#: Of a remembered chunk besides its characters and ids: two objects and their place in the memory.
+_OVERHEAD = 180
 #: A byte-level vocabulary writes each byte as one printable character: printable Latin-1 bytes stand for
 #: themselves, the others, in order, for the characters from U+0100 on.
 _PLAIN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -36,6 +38,7 @@ class Chunks:
 
         self.library, self.spaces = Tokenizer.from_file(path), spaces
         self.known: dict[str, bytes] = {}
+        self.weight = 0
         self.tails: dict[str, bytes] = {}
 
     def _model(self, piece: str, lead: str = "") -> bytes:
@@ -79,13 +82,15 @@ class Chunks:
         ends = np.asarray(cut.offsets, dtype=np.int64)
         coded = cut.values.dictionary_encode()
         keys, at = coded.dictionary.to_pylist(), np.asarray(coded.indices)
-        if len(self.known) > LIMIT:
+        if self.weight > LIMIT:
             self.known.clear()
+            self.weight = 0
         found = list(map(self.known.get, keys))
         if missing := [i for i, b in enumerate(found) if b is None]:
             self._learn([keys[i] for i in missing])
             for i in missing:
                 found[i] = self.known[keys[i]]
+                self.weight += len(keys[i]) + len(found[i]) + _OVERHEAD
         if not self.spaces and "" in self.known:
             found = [b"" if k == "" else b for k, b in zip(keys, found, strict=True)]
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
@@ -100,15 +105,17 @@ class Chunks:
             ids, bounds = np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
         return ids, bounds
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def encode(self, texts: Iterable[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Yields (number of the first text, ids, bounds): text ``first + i`` has ``ids[bounds[i]:bounds[i + 1]]``."""
         part, n, first = [], 0, 0
-        for i, t in enumerate(texts):
+        for t in texts:
             part.append(t)
             n += len(t)
-            if n >= PART or i == len(texts) - 1:
+            if n >= PART:
                 yield first, *self._part(part)
-                part, n, first = [], 0, i + 1
+                part, n, first = [], 0, first + len(part)
+        if part:
+            yield first, *self._part(part)
 
     def each(self, texts: list[str]) -> Iterator[np.ndarray]:
         for _, ids, bounds in self.encode(texts):

@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmart.llm.common import text_of
+from quillmart.llm.common import text_of, tidy
 from quillmart.llm.encoding import chunks
 
-ROW_GROUP, PAGE, PAGE_ROWS, PART_BYTES = 16 << 20, 256 << 10, 2_000, 16 << 20
+#: Bytes of a row group and a page, rows of a page at most, bytes of text a file.
+ROW_GROUP, PAGE, PAGE_ROWS, PART_BYTES = 16 << 20, 256 << 10, 2_000, 128 << 20
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1, parts: int | None = None) -> None:
@@ -29,21 +30,20 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1, parts:
 
     Null text: empty, its end id alone. Rows are ordered by doc_id, nulls first, then by text, so repeated
     doc_ids keep a defined place; other columns are ignored. An empty table writes files without rows. ``parts``
-    defaults to the session's shuffle partitions. Ranges are cut on (doc_id, hash of text), so no doc_id can
-    fill a file alone unless its rows are equal.
+    defaults to a file for each ``PART_BYTES`` of text, but one a core at least. Ranges are cut on (doc_id, hash of
+    text), so no doc_id can fill a file alone unless its rows are equal.
     """
     coder_path = tokenizer
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = parts or max(docs.sparkSession.sparkContext.defaultParallelism, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
     # a range exchange samples its input, so the order is found on ids alone and texts move once
     ranged = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
         place, coder = 0, chunks(coder_path, spaces=False)
         for b in frames:
-            ids_of = b.column("doc_id")
-            texts, part = b.column("text").to_pylist(), b.column("part")
-            for first, ids, bounds in coder.encode(texts):
+            ids_of, part = b.column("doc_id"), b.column("part")
+            for first, ids, bounds in coder.encode(x.as_py() for x in b.column("text")):
                 k = len(bounds) - 1
                 ends = np.arange(1, k + 1)
                 full = np.insert(ids, bounds[1:], end_id).astype(np.int32)
@@ -55,7 +55,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1, parts:
                 place += k
 
     ranged = ranged.withColumn("part", F.spark_partition_id())
-    (
+    files = (
         ranged.mapInArrow(run, "part int, place long, doc_id long, n_tokens long, tokens array<int>")
         .write.option("parquet.writer.version", "PARQUET_2_0")
         .option("parquet.block.size", str(ROW_GROUP))
@@ -65,8 +65,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1, parts:
         .option("parquet.enable.dictionary#tokens.list.element", "true")
         .option("parquet.dictionary.page.size", str(1 << 20))
         .option("compression", "zstd")
-        .parquet(path)
     )
+    with tidy(docs.sparkSession):
+        files.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

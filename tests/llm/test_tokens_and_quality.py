@@ -1,11 +1,13 @@
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
-from quillmart.llm import packing, quality, queries, token_files
+from quillmart.llm import encoding, packing, quality, queries, token_files
 from quillmart.llm.common import scratch
 from quillmart.llm.encoding import Chunks
 
@@ -50,6 +52,37 @@ def test_op2_nulls_repeats_and_empty(spark):
     assert token_files.digest_rows(spark, path).count() == 0
 
 
+def test_op2_files_are_laid_out_for_selective_reads(spark, sf):
+    path = scratch(spark, "t")
+    token_files.write(spark.read.parquet(f"{sf}/documents.parquet"), path, public_tokenizers.path("word_bpe_49k.json"), parts=2)
+    files = sorted(Path(path.removeprefix("file://")).glob("part-*.parquet"))
+    assert len(files) == 2
+    last = None
+    for f in files:
+        groups = pq.ParquetFile(f).metadata
+        for g in range(groups.num_row_groups):
+            columns = {(c := groups.row_group(g).column(i)).path_in_schema: c for i in range(groups.num_columns)}
+            assert groups.row_group(g).total_byte_size <= 1.2 * token_files.ROW_GROUP
+            assert all(c.has_offset_index and c.has_column_index for c in columns.values())
+            assert "RLE_DICTIONARY" in columns["tokens.list.element"].encodings
+            for name in ("doc_id", "place", "n_tokens"):
+                assert "DELTA_BINARY_PACKED" in columns[name].encodings
+            low, high = columns["doc_id"].statistics.min, columns["doc_id"].statistics.max
+            assert last is None or low >= last  # files and row groups in order: a doc_id is in one or two of them
+            last = high
+    counts = spark.read.parquet(path).select("n_tokens")
+    assert "tokens" not in str(counts._jdf.queryExecution().executedPlan()).split("ReadSchema")[1]
+
+
+def test_the_memory_of_chunks_is_bounded(monkeypatch):
+    monkeypatch.setattr(encoding, "LIMIT", 2_000)
+    monkeypatch.setattr(encoding, "PART", 50)
+    c = Chunks(public_tokenizers.path("word_bpe_49k.json"), False)
+    texts = [f"word{i} and again" for i in range(300)]
+    assert [x.tolist() for x in c.each(texts)] == [c.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert c.weight < 4_000 and len(c.known) < 20
+
+
 def test_op5_each_id_once(spark, sf):
     check_pack(spark, spark.read.parquet(f"{sf}/documents.parquet"), queries.op5_cost_balanced_packing(spark, sf))
 
