@@ -50,14 +50,11 @@ def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def shingles(line: str) -> set[str]:
-    """The distinct shingles of a normalised line; one that is shorter is its own only one."""
-    line = line.ljust(SPAN, "\0")
-    return {line[i : i + SPAN] for i in range(len(line) - SPAN + 1)}
-
-
 def hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(h, start): a 64-bit hash of every shingle, repeats included; line i has those from start[i] on."""
+    """(h, start): a 64-bit hash of every shingle, repeats included; line i has those from start[i] on.
+
+    A line shorter than ``SPAN`` is its own only shingle.
+    """
     lines = [x.ljust(SPAN, "\0") for x in lines]
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -75,6 +72,22 @@ def hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h[inside[:n]], np.cumsum(count) - count
 
 
+def distinct(lines: list[str]) -> list[np.ndarray]:
+    """The sorted distinct hashes of each line's shingles."""
+    if not lines:
+        return []
+    h, start = hashes(lines)
+    return [np.unique(x) for x in np.split(h, start[1:])]
+
+
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have that Jaccard similarity."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common >= similarity * (len(x) + len(y) - common)
+
+
 @dataclass(frozen=True)
 class Bands:
     """``bands`` bands of ``rows`` minima each."""
@@ -224,19 +237,16 @@ def _verified(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFram
     """Those of the distinct pairs (a, b) of h1 whose whole shingle sets are similar."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sets: dict[str, np.ndarray] = {}
         for f in frames:
-            sets, keep = {}, np.zeros(len(f), bool)
-            for i, (x, y) in enumerate(zip(f["x"], f["y"], strict=True)):
+            for s in range(0, len(f), 512):
+                part = f.iloc[s : s + 512]
                 if len(sets) > 2_000:
                     sets.clear()
-                both = []
-                for t in (x, y):
-                    if t not in sets:
-                        sets[t] = shingles(t)
-                    both.append(sets[t])
-                common = len(both[0] & both[1])
-                keep[i] = common >= similarity * (len(both[0]) + len(both[1]) - common)
-            yield f.loc[keep, ["a", "b"]]
+                x, y = part["x"].tolist(), part["y"].tolist()
+                fresh = [t for t in dict.fromkeys(x + y) if t not in sets]
+                sets.update(zip(fresh, distinct(fresh), strict=True))
+                yield part.loc[[similar(sets[u], sets[v], similarity) for u, v in zip(x, y, strict=True)], ["a", "b"]]
 
     x, y = (texts.select(F.col("h1").alias(k), F.col("norm").alias(t)) for k, t in (("a", "x"), ("b", "y")))
     return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long"), "similar")
@@ -300,13 +310,8 @@ def across(lines: list[str], apart: list[int], similarity: float) -> list[tuple[
         inter, size = common_shingles(lines)
         found = zip(*np.nonzero(np.triu(inter >= similarity * (size[:, None] + size - inter), 1)), strict=True)
     else:  # few very long lines: one set beside the sorted hashes of each
-        each = [np.unique(hashes([x])[0]) for x in lines]
-
-        def similar(x, y):
-            common = len(np.intersect1d(x, y, assume_unique=True)) if similarity * max(len(x), len(y)) <= min(len(x), len(y)) else 0
-            return common >= similarity * (len(x) + len(y) - common)
-
-        found = ((i, j) for i in range(n) for j in range(i + 1, n) if top(apart[i]) != top(apart[j]) and similar(each[i], each[j]))
+        each = distinct(lines)
+        found = ((i, j) for i in range(n) for j in range(i + 1, n) if top(apart[i]) != top(apart[j]) and similar(each[i], each[j], similarity))
     links = []
     for i, j in found:
         if (x := top(apart[i])) != (y := top(apart[j])):
@@ -408,11 +413,12 @@ def _decided(table: DataFrame, similarity: float) -> DataFrame:
     lines = stored(_lines(table, scheme), "lines")
     found = components(_links(table, lines, scheme, similarity)).withColumnRenamed("node", "h1")
     own = lines.groupBy("h1", "h2").agg(F.min(F.struct("_doc", "_pos")).alias("first"), F.count("*").alias("n"))
-    classes = own.join(found, "h1", "left")
-    least = classes.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))
-    kept = classes.join(least, "component", "left").select("h1", "h2", "n", "first", F.coalesce("least", "first").alias("keep"))
-    # a line that stands alone and is the one kept has nothing to decide
-    kept = kept.where("n > 1 or keep <> first").select("h1", "h2", "keep")
+    linked = own.join(found, "h1")
+    least = linked.groupBy("component").agg(F.min("first").alias("least"))
+    linked = linked.join(least, "component").select("h1", "h2", "n", "first", F.col("least").alias("keep"))
+    alone = own.where("n > 1").join(found, "h1", "left_anti").select("h1", "h2", "n", "first", F.col("first").alias("keep"))
+    # a line that stands once and is the one kept has nothing to decide
+    kept = linked.union(alone).where("n > 1 or keep <> first").select("h1", "h2", "keep")
     every = lines.select("_doc", "_pos", "h1", "h2")
     return every.join(kept, ["h1", "h2"]).where((F.col("_doc") != F.col("keep._doc")) | (F.col("_pos") != F.col("keep._pos"))).select("_doc", "_pos")
 

@@ -22,7 +22,7 @@ from quillmart.llm.common import text_of, tidy
 from quillmart.llm.encoding import chunks
 
 #: Bytes of a row group and a page, rows of a page at most, bytes of text a file.
-ROW_GROUP, PAGE, PAGE_ROWS, PART_BYTES = 16 << 20, 256 << 10, 2_000, 128 << 20
+ROW_GROUP, PAGE, PAGE_ROWS, PART_BYTES = 16 << 20, 256 << 10, 2_000, 64 << 20
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1, parts: int | None = None) -> None:

@@ -119,8 +119,8 @@ def test_common_shingles():
     texts = ["".join(draw.choices("ab", k=draw.randrange(1, 90))) for _ in range(40)]
     inter, size = lines.common_shingles(texts)
     for i, x in enumerate(texts):
-        assert size[i] == len(lines.shingles(x))
-        assert all(inter[i, j] == len(lines.shingles(x) & lines.shingles(y)) for j, y in enumerate(texts) if i != j)
+        assert size[i] == len(shingles(x)) == len(lines.distinct([x])[0])
+        assert all(inter[i, j] == len(shingles(x) & shingles(y)) for j, y in enumerate(texts) if i != j)
 
 
 def test_odd_rows(spark):
