@@ -53,12 +53,16 @@ class Forest:
 
 
 def fit(df: DataFrame, features: list[str], trees: int = 300, sample: int = 256, seed: int = 42) -> Forest:
-    """Features are centred on their median and scaled by the width from the 10th to the 90th percentile; missing values are the median."""
+    """Features are centred on their median and scaled by the width from the 10th to the 90th percentile; missing values are the median.
+
+    Trees draw from at most ``trees * sample`` rows, chosen by a hash of all columns, the key among them: so equal
+    features of different rows are drawn in proportion, and the sample has a set bound whatever the table's size.
+    """
     marks = [quantiles(df, c, [0.1, 0.5, 0.9]) for c in features]
     fill = [0.0 if m[1] is None else m[1] for m in marks]
     spread = [1.0 if m[1] is None or m[2] == m[0] else m[2] - m[0] for m in marks]
     columns = [F.col(c).cast("double").alias(c) for c in features]
-    order = F.xxhash64(F.lit(seed), *(F.col(c).cast("string") for c in features))
+    order = F.xxhash64(F.lit(seed), *(df[f"`{c}`"].cast("string") for c in sorted(df.columns)))
     rows = df.select(*columns, order.alias("_o")).orderBy("_o", *features).limit(trees * sample).toPandas()[features].to_numpy(float)
     x = (np.where(np.isfinite(rows), rows, fill) - fill) / spread
     draw = np.random.default_rng(seed)

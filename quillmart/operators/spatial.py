@@ -105,17 +105,13 @@ def exposure(events: DataFrame, places: DataFrame, place: str, radius: float) ->
     )
 
 
-def exposure_details(events: DataFrame, places: DataFrame, place: str, radius: float, k: int = 1000) -> DataFrame:
-    """Per place and quarter: distinct events as JSON, in order; at most ``k`` of them, the nearest, are listed and ``n`` counts all."""
-    near = radius_join(interval_quarters(events, "start", "end"), places.select(place, "x", "y"), radius)
-    rows = near.select(place, "quarter", F.col("name"), F.col("start"), F.col("end"), F.round("distance", 1).alias("distance")).distinct()
-    from quillmart.operators.ranking import first_of
-
-    counted = rows.groupBy(place, "quarter").agg(F.count("*").alias("n"))
-    listed = first_of(rows, [place, "quarter"], [F.col("distance"), F.col("name"), F.col("start"), F.col("end")], k)
-    item = F.struct(F.col("distance"), F.col("name"), F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"))
-    details = listed.groupBy(place, "quarter").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("details"))
-    return counted.join(details, [place, "quarter"])
+def exposure_details(events: DataFrame, places: DataFrame, place: str, radius: float, event: str = "event") -> DataFrame:
+    """Per place and quarter: the distinct events whose nearest place it is, within ``radius``, as JSON in order of distance, and their number ``n``."""
+    near = nearest(events, places, event, place, radius, limit=radius)
+    rows = interval_quarters(events.drop("x", "y"), "start", "end").join(near, event)
+    item = F.struct(F.round("distance", 1).alias("distance"), F.col("name"), F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"))
+    listed = rows.select(place, "quarter", item.alias("e")).distinct().groupBy(place, "quarter")
+    return listed.agg(F.count("*").alias("n"), F.to_json(F.array_sort(F.collect_list("e"))).alias("details"))
 
 
 def openings(events: DataFrame, places: DataFrame, place: str, radius: float) -> DataFrame:

@@ -41,10 +41,10 @@ POINTS = """points AS (
   FROM customer)"""
 
 HAPPENINGS = """happenings AS (
-  SELECT o_orderkey AS event, CASE WHEN o_orderkey % 100 = 0 THEN 'open' ELSE 'close' END AS kind, o_orderpriority AS name,
+  SELECT o_orderkey AS event, CASE WHEN o_orderkey % 2 = 0 THEN 'open' ELSE 'close' END AS kind, o_orderpriority AS name,
     CAST(o_custkey * 7919 % 10000 AS DOUBLE) AS x, CAST(o_custkey * 104729 % 10000 AS DOUBLE) AS y, CAST(o_orderdate AS DATE) AS start,
-    CASE WHEN o_orderkey % 150 <> 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 120 - 2 AS INTEGER) END AS "end"
-  FROM orders WHERE o_orderkey % 50 = 0),
+    CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 120 - 2 AS INTEGER) END AS "end"
+  FROM orders),
 periods AS (SELECT event, kind, name, x, y, start, CASE WHEN "end" IS NULL OR "end" < start THEN start ELSE "end" END AS "end" FROM happenings),
 event_quarters AS (
   SELECT event, kind, name, x, y, start, "end", CAST(s // 4 * 10 + s % 4 + 1 AS INTEGER) AS quarter,

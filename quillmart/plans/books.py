@@ -91,14 +91,14 @@ def purchase_price_index(t: Tables) -> DataFrame:
 
 
 def _trend_sql(step: str, months: int) -> str:
-    return f"""WITH {RECEIPTS}, r AS (SELECT CAST(date_trunc('{step}', day) AS DATE) AS period, {SUM.format("total")} AS v FROM receipts WHERE category IN ('BUILDING', 'MACHINERY') AND receipt % 40 = 0 GROUP BY 1), e AS (SELECT CAST(date_trunc('{step}', day) AS DATE) AS period, {SUM.format("total")} AS v FROM receipts WHERE receipt % 41 = 0 GROUP BY 1),
+    return f"""WITH {RECEIPTS}, r AS (SELECT CAST(date_trunc('{step}', day) AS DATE) AS period, {SUM.format("total")} AS v FROM receipts WHERE category IN ('BUILDING', 'MACHINERY') GROUP BY 1), e AS (SELECT CAST(date_trunc('{step}', day) AS DATE) AS period, {SUM.format("total")} AS v FROM receipts WHERE category NOT IN ('BUILDING', 'MACHINERY') GROUP BY 1),
 rs AS (SELECT CAST(unnest(generate_series(min(period), max(period), INTERVAL {months} MONTH)) AS DATE) AS period FROM r), es AS (SELECT CAST(unnest(generate_series(min(period), max(period), INTERVAL {months} MONTH)) AS DATE) AS period FROM e)
 SELECT period, coalesce(r.v, 0.0) AS revenue, coalesce(e.v, 0.0) AS spending FROM (SELECT period FROM rs UNION SELECT period FROM es) LEFT JOIN r USING (period) LEFT JOIN e USING (period)"""
 
 
 def _sides(t: Tables) -> tuple[DataFrame, DataFrame]:
     r = tables.receipts(t)
-    return r.where("category in ('BUILDING', 'MACHINERY') and receipt % 40 = 0"), r.where("receipt % 41 = 0")
+    return r.where("category in ('BUILDING', 'MACHINERY')"), r.where("category not in ('BUILDING', 'MACHINERY')")
 
 
 @query(_trend_sql("month", 1), "revenue spending")
@@ -112,13 +112,14 @@ def quarterly_trend(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH {RECEIPTS}, new AS (SELECT receipt, replace(vendor, '#', ' ') AS vendor, day, total FROM receipts WHERE receipt % 10 = 0), known AS (SELECT replace(vendor, '#', '') AS vendor, day, total FROM receipts WHERE receipt % 30 = 0)
+    f"""WITH {RECEIPTS}, new AS (SELECT receipt, replace(vendor, '#', ' ') AS vendor, day, total FROM receipts), known AS (SELECT replace(vendor, '#', '') AS vendor, day, CASE WHEN receipt % 3 = 0 THEN total ELSE -total END AS total FROM receipts)
 SELECT receipt FROM new n WHERE EXISTS (SELECT 1 FROM known k WHERE k.vendor = replace(n.vendor, ' ', '') AND k.day = n.day AND k.total = n.total)"""
 )
 def duplicate_receipts(t: Tables) -> DataFrame:
     r = tables.receipts(t)
-    new = r.where("receipt % 10 = 0").withColumn("vendor", F.replace("vendor", F.lit("#"), F.lit(" ")))
-    known = r.where("receipt % 30 = 0").withColumn("vendor", F.replace("vendor", F.lit("#"), F.lit("")))
+    new = r.withColumn("vendor", F.replace("vendor", F.lit("#"), F.lit(" ")))
+    # of two receipts in three another total is known
+    known = r.withColumns({"vendor": F.replace("vendor", F.lit("#"), F.lit("")), "total": F.when(F.col("receipt") % 3 == 0, F.col("total")).otherwise(-F.col("total"))})
     return expenses.known_duplicates(new, known).select("receipt")
 
 

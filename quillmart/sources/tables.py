@@ -122,10 +122,10 @@ def happenings(t: Tables) -> DataFrame:
     """Events with a place and a period of days; some have no end, some end before they start."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     start = F.col("o_orderdate").cast("date")
-    return t.orders.where(k % 50 == 0).select(
-        k.alias("event"), F.when(k % 100 == 0, "open").otherwise("close").alias("kind"), F.col("o_orderpriority").alias("name"),
+    return t.orders.select(
+        k.alias("event"), F.when(k % 2 == 0, "open").otherwise("close").alias("kind"), F.col("o_orderpriority").alias("name"),
         (c * 7919 % 10000).cast("double").alias("x"), (c * 104729 % 10000).cast("double").alias("y"),
-        start.alias("start"), F.when(k % 150 != 0, F.date_add(start, (k % 120 - 2).cast("int"))).alias("end"),
+        start.alias("start"), F.when(k % 3 != 0, F.date_add(start, (k % 120 - 2).cast("int"))).alias("end"),
     )
 
 

@@ -138,6 +138,31 @@ def test_rows_items_discounts(spark):
     assert receipts.store_names(boxes(spark), heights).first().name == "가나 커피"
 
 
+def test_rows_keep_lines_apart(spark):
+    """Lines that touch stay apart, words that are a little off stay together, a tall box joins no two lines."""
+    draw = np.random.default_rng(4)
+    made = [("r", 40.0 * x, 22.0 * y + float(draw.uniform(-3, 3)), 40.0 * x + 30, 22.0 * y + 20.0, f"{y}:{x}", 0.9) for y in range(12) for x in range(5)]
+    made.append(("r", 300.0, 0.0, 320.0, 100.0, "tall", 0.9))
+    got = receipts.text_rows(spark.createDataFrame(made, receipts.BOX)).where("text <> 'tall'").collect()
+    lines = {}
+    for r in got:
+        lines.setdefault(r.row, []).append((r.place, r.text))
+    assert sorted(" ".join(t for _, t in sorted(x)) for x in lines.values()) == sorted(" ".join(f"{y}:{x}" for x in range(5)) for y in range(12))
+
+
+def test_discounts_and_the_end_of_items(spark):
+    rows = [(i, p, t) for i, line in enumerate(["-T 홍길동", "커피 4,000", "행사 할인 △500", "쿠폰 1,000", "회원 10% 할인", "tel 02-123-4567", "(300) 증정", "과세물품가액 3,000", "에누리 -200"]) for p, t in enumerate(line.split(" "))]
+    df = spark.createDataFrame([("r", i, p, t) for i, p, t in rows], "image string, row long, place long, text string")
+    assert [(r.item, r.total_price) for r in receipts.discounts(df).orderBy("row").collect()] == [("행사 할인", -500), ("쿠폰", -1000), ("증정", -300)]
+    assert [r.item for r in receipts.items(df).orderBy("row").collect()] == ["커피", "쿠폰"]  # a coupon's row is both
+
+
+def test_letters_are_the_same_at_both_ends():
+    assert receipts.letters("각나") == "ㄱㅏㄱㄴㅏ_" and receipts.letters("값 A") == "ㄱㅏㅄa"
+    assert round(receipts.SequenceMatcher(None, receipts.letters("각나"), receipts.letters("가간")).ratio(), 3) == 0.667
+    assert receipts.alike("아메리카노", "물", 0.5) == 0.0 and receipts.alike("커피", "커피", 0.9) == 1.0
+
+
 def test_heads(spark):
     texts = ["영수증", "2024/03/10 14:05", "123-45-67890", "과세금액", "9,091", "부가세", "909원", "합계금액", "10,000", "카카오페이", "카드"]
     lines = spark.createDataFrame([("r", i, t) for i, t in enumerate(texts)] + [("s", 0, "1,200"), ("s", 1, "3,400"), ("s", 2, "일시불")], "image string, pos int, text string")
