@@ -15,13 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmart.llm.common import text_of
 
 DIM, RANK, FIXED = 1 << 16, 8, 16
-#: At most so many labelled rows are fitted, chosen by a hash of doc_id.
+#: At most so many labelled rows are fitted, chosen by a hash of doc_id; of a repeated doc_id the text of least hash.
 SAMPLE = 8_000
 THRESHOLD = 0.7
 _SHAPE = str.maketrans({**{chr(c): "a" for c in range(97, 123)}, **{chr(c): "A" for c in range(65, 91)}, **{chr(c): "9" for c in range(48, 58)}})
@@ -30,7 +30,7 @@ _known: dict[str, tuple[int, int]] = {}
 
 
 def _slots(word: str) -> tuple[int, int]:
-    shape = _RUN.sub(r"\1", "".join("a" if c.islower() else "A" if c.isupper() else c for c in word[:64].translate(_SHAPE)))
+    shape = _RUN.sub(r"\1", "".join("a" if c.islower() else "A" if c.isupper() else c for c in word.translate(_SHAPE)))
     return FIXED + zlib.crc32(word.encode("utf-8", "replace")) % (DIM - FIXED), FIXED + zlib.crc32(b"\0" + shape.encode("utf-8", "replace")) % (DIM - FIXED)
 
 
@@ -121,6 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     chosen = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    rows = rows.withColumn("n", one).where("n = 1").drop("n")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

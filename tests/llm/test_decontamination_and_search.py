@@ -79,15 +79,38 @@ def test_op6_finds_every_verbatim_item(spark, sf):
     assert want and want <= got
 
 
-def test_int8_bounds_hold():
-    draw = np.random.default_rng(0)
-    for d_ in (3, 64):
-        q, x = draw.normal(size=(20, d_)), draw.normal(size=(300, d_)) * draw.lognormal(size=(300, 1))
-        i, j, s = neighbours.nearest(q, np.arange(20), x, np.arange(300), 7)
+def test_bounds_hold_and_keep_what_counts():
+    draw = np.random.default_rng(3)
+    for scale in (1.0, 1e-310, 1e150):
+        x = draw.normal(size=(300, 24)) * draw.choice([0.01, 1.0, 50.0], size=(300, 1)) * scale
+        q = x[:20]
+        tiles = [neighbours.Tile.of(np.arange(s, s + 100), x[s : s + 100]) for s in (0, 100, 200)]
+        packed = tiles[1].packed(3)
+        again = neighbours.Tile.unpacked(24, packed["ids"][0], packed["whole"][0], packed["marks"][0])
+        assert all((getattr(again, c) == getattr(tiles[1], c)).all() for c in ("ids", "rows", "scale", "size", "size_as"))
+        held = neighbours.Survivors(neighbours.Tile.of(np.arange(20), q), 7)
+        for t in tiles:
+            held.meet(t)
+        rows = held.rows()
+        with np.errstate(over="ignore"):
+            true = (q[:, None] * x[None]).sum(2)
         for r in range(20):
-            true = sorted(((-float(q[r] @ x[c]), c) for c in range(300) if c != r))[:7]
-            assert j[i == r].tolist() == [c for _, c in true]
-            assert s[i == r].tolist() == pytest.approx([-v for v, _ in true])
+            own = rows[rows["query_id"] == r]
+            assert set(sorted((c for c in range(300) if c != r), key=lambda c: -true[r, c])[:7]) <= set(own["vec_id"])
+            assert all(a <= true[r, c] <= b for c, a, b in zip(own["vec_id"], own["low"], own["high"], strict=True))
+            assert scale != 1.0 or len(own) < 100
+
+
+def test_op10_with_a_vector_that_many_rows_share(spark):
+    draw = np.random.default_rng(5)
+    v = {i: [1.0, 0.5, 0.25] if i % 3 else draw.normal(size=3).round(3).tolist() for i in range(300)}
+    df = spark.createDataFrame(list(v.items()), "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(df).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    for q in range(0, 300, 20):
+        want = sorted((-sum(a * b for a, b in zip(v[q], x, strict=True)), i) for i, x in v.items() if i != q)[:20]
+        assert sorted(got[q]) == [(n, i) for n, (_, i) in enumerate(want, 1)]
 
 
 def test_op10_against_brute_force(spark, sf, monkeypatch):

@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 
 from quillmart.llm import queries
@@ -45,7 +47,35 @@ def test_only_one_writer_commits_a_version(spark):
             done += 1
         except Conflict:
             pass
-    assert 1 <= done and len(store.manifest()[1]) == 2
+    assert done == 1 and len(store.manifest()[1]) == 2
+
+
+def test_of_writers_at_one_time_one_wins_and_stays(spark):
+    store = Store(spark, scratch(spark, "store"))
+    store.append(frame(spark, [(1, "a")]))
+
+    def write(i):
+        try:
+            store._claim(2, f"token{i}")
+            return i
+        except Conflict:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [i for i in pool.map(write, range(16)) if i is not None]
+    assert len(won) == 1 and store._claimed(2) == f"token{won[0]}"
+
+
+def test_expired_runs_go_and_the_rest_reads(spark):
+    store = Store(spark, scratch(spark, "store"), least_bytes=10, fan_in=2)
+    for i in range(5):
+        store.append(frame(spark, [(i, "x" * 50)]))
+        store.compact()
+    before = sorted(r.doc_id for r in store.read().collect())
+    assert len(store.expire()) >= 3 and store.expire() == []
+    assert sorted(r.doc_id for r in store.read().collect()) == before == [0, 1, 2, 3, 4]
+    with pytest.raises(ValueError, match="no rows"):
+        store.read(1)
 
 
 def test_a_failed_write_leaves_the_version_alone(spark):
