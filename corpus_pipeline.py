@@ -11,31 +11,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmart.llm import decontamination, lines, packing, quality, simhash
-from quillmart.llm.common import stored
+from quillmart.llm.common import free_name, stored
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches the threshold.
+    """Documents whose quality score reaches the threshold; null and empty texts are scored like any other.
 
-    The machine learns from the labelled rows of the whole ``documents`` table that aren't held out.
+    The machine learns from the labelled rows of the whole ``documents`` table that aren't held out. Repeated rows and
+    null doc_ids are decided row by row; columns may have any names and are kept.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     machine = quality.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels)
-    return quality.score(docs, machine, "_quality_score").where(F.col("_quality_score") >= quality.THRESHOLD).select(*docs.columns)
+    score = free_name("_quality_score", docs.columns)
+    return quality.score(docs, machine, score).where(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that stand earlier; those left without any go."""
+    """Documents without lines that stand earlier; those left without any go.
+
+    Null and empty texts and rows with a null doc_id stay; rows of a repeated doc_id are one document.
+    """
     return lines.without_repeats(docs)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: five-word shingles, a similarity of 0.8."""
+    """One document of each class of near-duplicates: five-word shingles, a similarity of 0.8.
+
+    The smallest doc_id stays, with all its rows. Null and empty texts are alike, so one of them stays; rows with a
+    null doc_id stay.
+    """
     return simhash.keep_one(docs, simhash.WIDE)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
+    """Documents that hold no benchmark passage; null and empty texts hold none, and each row is decided by itself."""
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
