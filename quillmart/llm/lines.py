@@ -41,7 +41,7 @@ SPAN, SIMILARITY = 5, 0.8
 #: The similarity of lines that have only common shingles in common, and the share of links that bands may miss at the threshold.
 BACKGROUND, MISSED = 0.02, 0.01
 SKETCH, AGREE = 32, 23
-SMALL, GROUP, LEVELS, CHARS, STEP = 16, 2048, 6, 4_000_000, 1 << 16
+SMALL, GROUP, LEVELS, CHARS, BATCH, STEP = 16, 2048, 6, 4_000_000, 1_000_000, 1 << 16
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _BAND = "band long, h1 long, note long"
 
@@ -142,7 +142,7 @@ def _lines(table: DataFrame, scheme: Bands) -> DataFrame:
                     if x := normal(x):
                         chars += 0 if x in known else len(x)
                         rows.append((i, p, known.setdefault(x, len(known))))
-                if rows and (chars >= CHARS or i == len(texts) - 1):
+                if rows and (chars >= BATCH or i == len(texts) - 1):
                     yield _batch(b.column("_doc"), list(known), np.array(rows, np.int64), scheme)
                     known, rows, chars = {}, [], 0
             if rows:

@@ -37,7 +37,7 @@ def _slots(word: str) -> tuple[int, int]:
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Slots and values of a whole text; an empty one has the fixed slots only."""
     words = text.split()
-    if len(_known) > 500_000:
+    if len(_known) > 200_000:
         _known.clear()
     pairs = []
     for w in words:

@@ -29,10 +29,10 @@ GIVEN = {
     ("cyrillic", "f"): ["Алла", "Вера", "Дарья", "Елена", "Жанна", "Ирина", "Лидия", "Нина"],
 }
 SYLLABLES = {"latin": "ba be bo da do fa ga ka ko la le lo ma mi na no ra ri sa ta to va ve wi".split(), "cyrillic": "ба бе бо ва во га да до за ка ко ла ле ло ма ми на но ра ри са та то фа".split()}
-_NAME = r"\p{Lu}[\p{L}'’-]{1,30}"
+_NAME = r"\p{Lu}[\p{L}'’-]++"
 PATTERNS = {
-    "EMAIL": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+){1,8}",
-    "SECRET": _B + r"(?=[a-fA-F]{0,31}[0-9])[0-9a-fA-F]{32,128}+" + _E,
+    "EMAIL": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
+    "SECRET": _B + r"(?=[a-fA-F]{0,31}[0-9])[0-9a-fA-F]{32,}+" + _E,
     "IBAN": _B + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _E,
     "IP": _B + r"(?<!\.)(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?[0-9])" + _E,
     "PHONE": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})" + _E,
@@ -75,6 +75,10 @@ def _bytes(key: str, what, attempt):
     return let(digest, lambda d: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(F.substring(d, i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
 
 
+#: Letters of the scripts but Latin, from which a letter's replacement comes; equal for both cases.
+ALPHABETS = {"Cyrillic": "абвгдежзиклмнопрстуфх", "Greek": "αβγδεζηθικλμνξοπρτυφχψω", "Hebrew": "אבגדהוזחטיכלמנסעפצקרשת", "Arabic": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "Hiragana": "あいうえおかきくけこさしすせそたちつてとなにぬねの", "Katakana": "アイウエオカキクケコサシスセソタチツテトナニヌネノ", "Hangul": "가나다라마바사아자차카타파하고노도로모보소오조", "Han": "山川田木林森水火土石金竹花草米麦東西南北"}
+
+
 def _at(numbers, i):
     return F.get(numbers, i % 64)
 
@@ -84,12 +88,11 @@ def _shaped(m, numbers, keep=0, letters: int = 26):
 
     def step(acc, c):
         x = _at(numbers, acc["i"])
-        new = (
-            F.when(c.between("0", "9"), (x % 10).cast("string"))
-            .when(c.between("A", "Z"), F.char(65 + x % letters))
-            .when(c.rlike(r"^\p{IsCyrillic}$"), F.substring(F.lit("абвгдежзиклмнопрстуфх"), 1 + x % 20, F.lit(1)))
-            .when(c.rlike(r"^\p{L}$"), F.char(97 + x % letters))
-        )
+        new = F.when(c.between("0", "9"), (x % 10).cast("string"))
+        for script, alphabet in ALPHABETS.items():
+            new = new.when(c.rlike(rf"^\p{{Is{script}}}$"), F.substring(F.lit(alphabet), 1 + x % len(alphabet), F.lit(1)))
+        new = new.when(c.rlike(r"^\p{L}$"), F.char(97 + x % letters))
+        new = F.when((c == F.upper(c)) & (c != F.lower(c)), F.upper(new)).otherwise(new)
         return let(F.when(acc["i"] >= keep, new), lambda n: F.struct(F.concat(acc["out"], F.coalesce(n, c)).alias("out"), (acc["i"] + F.when(n.isNotNull() | c.rlike(r"^[\p{L}0-9]$"), 1).otherwise(0)).alias("i")))
 
     return F.aggregate(F.split(m, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("i")), step, lambda acc: acc["out"])
@@ -109,7 +112,7 @@ def _less(m, n: int = 1):
     return F.substring(m, F.lit(1), F.length(m) - n)
 
 
-def _email(m, numbers, key: str):
+def _email(m, numbers, attempt, key: str):
     """The domain is an entity of its own, so addresses of one domain stay together; its last part is a reserved one."""
     reserved = r"(?:^|\.)(example\.(?:com|org|net))$"
 
@@ -119,12 +122,29 @@ def _email(m, numbers, key: str):
         moved = let(_bytes(key, F.concat(F.lit("DOMAIN:"), d), F.lit(0)), lambda x: _shaped(host, x))
         return F.concat(moved, F.when(host == "", "").otherwise("."), F.when(suffix == "", "example").otherwise(suffix))
 
-    return F.concat(_shaped(F.lower(F.substring_index(m, "@", 1)), numbers), F.lit("@"), let(F.lower(F.substring_index(m, "@", -1)), domain))
+    # a form with few surrogates gets longer as draws collide
+    longer = F.array_join(F.transform(F.sequence(F.lit(1), attempt), lambda i: F.char(97 + _at(numbers, 40 + i) % 26)), "")
+    return F.concat(_shaped(F.substring_index(m, "@", 1), numbers), F.when(attempt > 0, longer).otherwise(""), F.lit("@"), let(F.lower(F.substring_index(m, "@", -1)), domain))
 
 
-def _ip(m, numbers):
+def _ip(m, numbers, attempt):
+    """Octets of the lengths they had; after some draws that collided, of any."""
     octet = lambda o, i: F.when(F.length(o) == 1, _at(numbers, i) % 10).when(F.length(o) == 2, 10 + _at(numbers, i) % 90).otherwise(100 + _at(numbers, i) % 156)
-    return F.array_join(F.transform(F.split(m, r"\."), lambda o, i: octet(o, i).cast("string")), ".")
+    new = lambda o, i: F.when(attempt > 3, _at(numbers, i)).otherwise(octet(o, i)).cast("string")
+    return F.array_join(F.transform(F.split(m, r"\."), new), ".")
+
+
+def _iban(m, numbers):
+    """The country stays; the check digits are right for what follows."""
+
+    def checked(x):
+        flat = F.replace(x, F.lit(" "), F.lit(""))
+        turned = F.concat(F.substring(flat, F.lit(5), F.length(flat)), F.substring(flat, 1, 2), F.lit("00"))
+        step = lambda acc, c: F.when(c.between("0", "9"), (acc * 10 + c.cast("int")) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97)
+        check = 98 - F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), step)
+        return F.concat(F.substring(x, 1, 2), F.lpad(check.cast("string"), 2, "0"), F.substring(x, F.lit(5), F.length(x)))
+
+    return let(_shaped(m, numbers, 4), checked)
 
 
 def _phone(m, numbers):
@@ -149,7 +169,9 @@ def _name(m, numbers, attempt):
     def named(p):
         address, words = p["address"], p["words"]
         known = F.get(words, F.lit(0)).isin(*(n for (_, g), names in GIVEN.items() if g == "f" for n in names))
-        female = address.rlike(rf"^(?:{FEMALE})\.? $") | (address.rlike(rf"^(?:{ANY})\.? $") & known)
+        # after an address for either: a listed name, or the ending of most given names of women
+        likely = known | (F.get(words, F.lit(0)).rlike(r"(?:a|ah|ie|ine|elle|ette|а|я)$") & (F.size(words) > 1))
+        female = address.rlike(rf"^(?:{FEMALE})\.? $") | (address.rlike(rf"^(?:{ANY})\.? $") & likely)
         script = lambda make: F.when(F.get(words, F.lit(0)).rlike(r"^\p{IsCyrillic}"), make("cyrillic")).otherwise(make("latin"))
         of = lambda names, x: F.get(F.array(*map(F.lit, names)), x % len(names))
         first = script(lambda s: F.when(female, of(GIVEN[s, "f"], _at(numbers, F.lit(0)))).otherwise(of(GIVEN[s, "m"], _at(numbers, F.lit(0)))))
@@ -168,8 +190,8 @@ def surrogate(m, attempt, key: str):
     def drawn(m, k, numbers):
         upper = (m == F.upper(m)) & m.rlike("[A-Z]")
         return (
-            F.when(k == "EMAIL", let(_email(m, numbers, key), lambda x: F.when(upper, F.upper(x)).otherwise(x))).when(k == "SECRET", _shaped(m, numbers, 0, 6))
-            .when(k == "IBAN", _shaped(m, numbers, 2)).when(k == "IP", _ip(m, numbers)).when(k == "PHONE", _phone(m, numbers)).when(k == "CARD", _card(m, numbers))
+            F.when(k == "EMAIL", let(_email(m, numbers, attempt, key), lambda x: F.when(upper, F.upper(x)).otherwise(x))).when(k == "SECRET", _shaped(m, numbers, 0, 6))
+            .when(k == "IBAN", _iban(m, numbers)).when(k == "IP", _ip(m, numbers, attempt)).when(k == "PHONE", _phone(m, numbers)).when(k == "CARD", _card(m, numbers))
             .when(k == "SSN", _shaped(m, numbers)).otherwise(_name(m, numbers, attempt))
         )
 
@@ -180,8 +202,11 @@ def _mentions(text):
     return F.when(text.rlike(_QUICK), F.regexp_extract_all(text, F.lit(ALL), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def collisions(mentions: DataFrame, key: str, rounds: int = 20) -> DataFrame:
-    """entity, attempt of the entities among ``mentions(m)`` whose first surrogate another one has, or is an entity itself."""
+def collisions(mentions: DataFrame, key: str, rounds: int = 60) -> DataFrame:
+    """entity, attempt of the entities among ``mentions(m)`` whose first surrogate another one has, or is an entity itself.
+
+    Draws go on until no collision is left; forms with few surrogates widen. If ``rounds`` don't suffice it is an error.
+    """
     # one mention stands for its entity: the least
     entities = stored(mentions.select("m", canonical(F.col("m")).alias("entity")).groupBy("entity").agg(F.min("m").alias("m")), "entities")
     given = entities.select("entity", "m", F.lit(0).alias("attempt"))
@@ -197,11 +222,13 @@ def collisions(mentions: DataFrame, key: str, rounds: int = 20) -> DataFrame:
             break
         given = stored(given.join(again.withColumn("more", F.lit(1)), "entity", "left").select("entity", "m", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")), "draws")
         moved = given.where("attempt > 0").select("entity", "attempt")
+    else:
+        raise RuntimeError(f"surrogates still collide after {rounds} draws")
     return moved if moved is not None else given.where("attempt > 0").select("entity", "attempt").limit(0)
 
 
-def replace(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with every mention in ``text`` replaced; all columns kept, and ``_found`` counts the mentions.
+def replace(docs: DataFrame, key: str, found: str = "_found") -> DataFrame:
+    """``docs`` with every mention in ``text`` replaced; all columns kept, and the column ``found`` counts the mentions (one of ``docs`` of that name is replaced).
 
     Null texts stay null and empty ones empty; repeated rows and null doc_ids are treated like any other; an empty
     table gives no rows. Without the key the entities can't be recovered or matched.
@@ -220,5 +247,5 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
     between = F.split("_text", ALL)
     out = F.concat(F.get(between, F.lit(0)), F.array_join(F.transform(fresh, lambda s, i: F.concat(s, F.get(between, i + 1))), ""))
     new = F.when(F.size("_m") == 0, F.col("_row.text")).otherwise(out)
-    columns = [new.alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
-    return rows.select(*columns, F.size("_m").cast("long").alias("_found"))
+    columns = [new.alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c.lower() != found.lower()]
+    return rows.select(*columns, F.size("_m").cast("long").alias(found))

@@ -78,6 +78,29 @@ def test_odd_rows(spark):
     assert out.columns == ["doc_id", "text", "m", "entity", "_found"]
     got = {(r.doc_id, r._found): r.text for r in out.collect()}
     assert got[1, 0] is None and got[2, 0] == "" and got[3, 1] == "x " + got[None, 1] != "x 1.2.3.4"
-    assert out.count() == 6 and "a.b@c.example.org" not in got[4, 1]
+    assert out.count() == 6 and "a.b@c.example.org" not in got[4, 2]
     assert surrogates.replace(frame(spark, []), "k").count() == 0
     assert out.select(F.max("m")).first()[0] == "x"
+
+
+def test_long_mentions_other_scripts_and_check_digits(spark):
+    texts = {1: "key " + "a1" * 80, 2: "Mr " + "B" + "c" * 60, 3: "DE89 3704 0044 0532 0130 00", 4: "John.Smith@Example.com and john.smith@example.com", 5: "Ελλάδα.Αθήνα@mail.gr", 6: "Dr Anna Weber"}
+    rows = spark.createDataFrame([(i, t, 5) for i, t in texts.items()], "doc_id long, text string, _found int")
+    out = surrogates.replace(rows, "k")
+    assert out.columns == ["doc_id", "text", "_found"]
+    got = {r.doc_id: (r.text, r._found) for r in out.collect()}
+    assert "a1a1" not in got[1][0] and len(got[1][0]) == len(texts[1])
+    assert "c" * 5 not in got[2][0]
+    flat = got[3][0].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1 and got[3][0] != texts[3]
+    a, b = got[4][0].split(" and ")
+    assert a.split("@")[0] != a.split("@")[0].lower() and a.lower() == b
+    assert all("Ͱ" <= c <= "Ͽ" or c == "." for c in got[5][0].split("@")[0])
+    assert got[6][0].split()[1] in surrogates.GIVEN["latin", "f"]
+    assert all(n > 0 for _, n in got.values())
+
+
+def test_a_form_that_is_used_up_widens(spark):
+    rows = spark.createDataFrame([(i, f"{c}@example.com") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")], "doc_id long, text string")
+    got = [r.text for r in surrogates.replace(rows, "k").collect()]
+    assert len(set(got)) == 26 and not set(got) & {f"{c}@example.com" for c in "abcdefghijklmnopqrstuvwxyz"}
