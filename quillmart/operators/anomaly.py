@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from quillmart.operators.ranking import quantiles
+from quillmart.operators.ranking import quantiles, quantiles_of
 
 
 def _usual(n: int) -> float:
@@ -58,7 +58,7 @@ def fit(df: DataFrame, features: list[str], trees: int = 300, sample: int = 256,
     Trees draw from at most ``trees * sample`` rows, chosen by a hash of all columns, the key among them: so equal
     features of different rows are drawn in proportion, and the sample has a set bound whatever the table's size.
     """
-    marks = [quantiles(df, c, [0.1, 0.5, 0.9]) for c in features]
+    marks = list(quantiles_of(df, dict.fromkeys(features, [0.1, 0.5, 0.9])).values())
     fill = [0.0 if m[1] is None else m[1] for m in marks]
     spread = [1.0 if m[1] is None or m[2] == m[0] else m[2] - m[0] for m in marks]
     columns = [F.col(c).cast("double").alias(c) for c in features]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmart.functions.columns import exact_sum, ratio
@@ -22,6 +22,11 @@ class Periods:
     start: dt.date
     end: dt.date
 
+    def __post_init__(self) -> None:
+        """Either period ends no earlier than it starts, and the base ends before the current one starts."""
+        if not self.base_start <= self.base_end < self.start <= self.end:
+            raise InputError(f"periods out of order: {self.base_start} to {self.base_end}, {self.start} to {self.end}")
+
     def base(self, day: str = "day") -> Column:
         return F.col(day).between(F.lit(self.base_start), F.lit(self.base_end))
 
@@ -84,15 +89,24 @@ def _each_dimension(lines: DataFrame, dims: list[str], keep: list[str]) -> DataF
     return lines.select(*keep, F.explode(pairs).alias("_d")).select(*keep, "_d.dimension", "_d.value")
 
 
+def _with_whole(sums: DataFrame, **wholes: Column) -> DataFrame:
+    """``sums`` with figures of its dimension: a row a dimension, summed before the shuffle and broadcast back."""
+    return sums.join(F.broadcast(sums.groupBy("dimension").agg(*(x.alias(c) for c, x in wholes.items()))), "dimension")
+
+
+def _whole(amount: Column) -> Column:
+    return F.sum(amount.cast("decimal(18,4)")).cast("double")
+
+
 def contributions(lines: DataFrame, periods: Periods, dims: list[str]) -> DataFrame:
     """dimension, value, before, after, amount, share_pct of the whole change, direction; all dimensions in one pass."""
     rows = _each_dimension(periods.within(lines), dims, ["day", "bill"])
     sums = rows.groupBy("dimension", "value").agg(
         F.coalesce(exact_sum(F.when(periods.base(), F.col("bill"))), F.lit(0.0)).alias("before"), F.coalesce(exact_sum(F.when(periods.current(), F.col("bill"))), F.lit(0.0)).alias("after")
     )
-    amount = F.col("after") - F.col("before")
-    whole = F.sum(amount.cast("decimal(18,4)")).over(Window.partitionBy("dimension")).cast("double")
-    return sums.withColumns({"amount": amount, "share_pct": F.when(F.abs(whole) > 1e-8, amount / whole * 100), "direction": F.when(amount > 0, "positive").when(amount < 0, "negative").otherwise("neutral")})
+    amount, whole = F.col("amount"), F.col("_whole")
+    out = _with_whole(sums.withColumn("amount", F.col("after") - F.col("before")), _whole=_whole(amount))
+    return out.select("dimension", "value", "before", "after", "amount", F.when(F.abs(whole) > 1e-8, amount / whole * 100).alias("share_pct"), F.when(amount > 0, "positive").when(amount < 0, "negative").otherwise("neutral").alias("direction"))
 
 
 def price_and_quantity(lines: DataFrame, periods: Periods) -> DataFrame:
@@ -145,11 +159,12 @@ def top_category(lines: DataFrame, periods: Periods) -> DataFrame:
 
 def breakdown(lines: DataFrame, dims: list[str], k: int = 20) -> DataFrame:
     """Per dimension its ``k`` values with the most revenue: revenue, share_pct of the dimension, qty, transactions, order_value."""
-    rows = _each_dimension(lines, dims, ["bill", "qty", "transaction"])
-    sums = rows.groupBy("dimension", "value").agg(exact_sum("bill").alias("revenue"), F.sum("qty").alias("qty"), F.count_distinct("transaction").alias("transactions"))
-    whole = F.sum(F.col("revenue").cast("decimal(18,4)")).over(Window.partitionBy("dimension")).cast("double")
-    out = sums.withColumns({"share_pct": ratio(F.col("revenue"), whole) * 100, "order_value": ratio(F.col("revenue"), F.col("transactions"))})
-    return first_of(out, ["dimension"], [F.col("revenue").desc(), F.col("value")], k)
+    # lines meet by transaction once, before they are multiplied: a transaction's values are then told apart without a shuffle
+    rows = _each_dimension(lines.select(*dims, "bill", "qty", "transaction").repartition("transaction"), dims, ["bill", "qty", "transaction"])
+    each = rows.groupBy("dimension", "value", "transaction").agg(F.sum(F.col("bill").cast("decimal(18,4)")).alias("_r"), F.sum("qty").alias("_q"))
+    sums = each.groupBy("dimension", "value").agg(F.sum("_r").cast("double").alias("revenue"), F.sum("_q").alias("qty"), F.count("transaction").alias("transactions"))
+    out = _with_whole(sums, _whole=_whole(F.col("revenue"))).withColumns({"share_pct": ratio(F.col("revenue"), F.col("_whole")) * 100, "order_value": ratio(F.col("revenue"), F.col("transactions"))})
+    return first_of(out.drop("_whole"), ["dimension"], [F.col("revenue").desc(), F.col("value")], k)
 
 
 def breakdown_sets(lines: DataFrame, dims: list[str]) -> DataFrame:
@@ -187,12 +202,11 @@ def exposed_against_not(days: DataFrame, exposure: str) -> DataFrame:
 
 def top_drivers(contributed: DataFrame, k: int = 6, material: float = 0.05, least_share: float = 10.0) -> DataFrame:
     """The largest contributions that go with the change: at least ``material`` of it and ``least_share`` percent of what goes with it in their dimension."""
-    w = Window.partitionBy("dimension")
-    whole = F.sum(F.col("amount").cast("decimal(18,4)")).over(w).cast("double")
-    rows = contributed.withColumns({"_whole": whole, "_values": F.count(F.lit(1)).over(w)}).where((F.col("dimension") != "store") | (F.col("_values") > 1))
-    aligned = rows.where((F.col("amount") > 0) == (F.col("_whole") > 0))
-    share = F.abs("amount") / F.sum(F.abs("amount").cast("decimal(18,4)")).over(w).cast("double") * 100
-    kept = aligned.withColumn("dimension_share", share).where((F.abs("amount") >= F.abs("_whole") * material) & (F.col("dimension_share") >= least_share))
+    amount, size = F.col("amount"), F.abs("amount")
+    rows = _with_whole(contributed, _whole=_whole(amount), _up=_whole(F.when(amount > 0, size)), _down=_whole(F.when(amount <= 0, size)), _values=F.count(F.lit(1)))
+    aligned = rows.where(((F.col("dimension") != "store") | (F.col("_values") > 1)) & ((amount > 0) == (F.col("_whole") > 0)))
+    share = size / F.when(F.col("_whole") > 0, F.col("_up")).otherwise(F.col("_down")) * 100
+    kept = aligned.withColumn("dimension_share", share).where((size >= F.abs("_whole") * material) & (F.col("dimension_share") >= least_share))
     return kept.orderBy(F.abs("amount").desc(), "dimension", "value").limit(k).select("dimension", "value", "amount", "dimension_share")
 
 

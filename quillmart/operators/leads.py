@@ -76,8 +76,8 @@ def similarity(candidates: DataFrame, best: DataFrame, key: str, numbers: list[s
     """(key, similarity): mean cosine of the ``k`` most similar hero stores, on a scale from 0 to 100; 0 without heroes.
 
     A row's vector is one-hot industry and city and the percentiles of ``numbers`` over both tables, null read as 0. A
-    one-hot product is an equality, so vectors are never widened. Every candidate meets every hero: their number is
-    checked, and they are dealt over blocks joined on a block number, not broadcast.
+    one-hot product is an equality, so vectors are never widened. Every candidate meets every hero: heroes are dealt
+    over blocks of 512 and candidates over groups of 65,536, and a block meets a group in one task, whatever the sizes.
     """
     h_key = "_hero"
     a = candidates.select(F.col(key).cast("string").alias("_id"), F.lit(False).alias("_is"), "industry", "city", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numbers))
@@ -87,13 +87,15 @@ def similarity(candidates: DataFrame, best: DataFrame, key: str, numbers: list[s
         rows = ranking.global_percentile(rows, c, f"_{c}")
     norm = F.sqrt(F.lit(2.0) + sum((F.col(f"_{c}") * F.col(f"_{c}") for c in numbers), F.lit(0.0)))
     rows = stored(rows.select("_id", "_is", F.coalesce("industry", F.lit(UNKNOWN)).alias("_i"), F.coalesce("city", F.lit(UNKNOWN)).alias("_c"), F.array(*(f"_{c}" for c in numbers)).alias("_v"), norm.alias("_n")), "vectors")
-    n = rows.where("_is").count()
-    if not n:
+    size = rows.agg(F.count(F.when(F.col("_is"), 1)).alias("heroes"), F.count("*").alias("all")).first()
+    if not (n := size["heroes"]):
         return candidates.select(key, F.lit(0.0).alias("similarity"))
-    blocks = max(1, n // 512)
-    left = rows.where("not _is").select("_id", "_i", "_c", "_v", "_n", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
-    right = rows.where("_is").select(F.col("_id").alias(h_key), F.col("_i").alias("_hi"), F.col("_c").alias("_hc"), F.col("_v").alias("_hv"), F.col("_n").alias("_hn"), F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int").alias("_b"))
-    both = left.join(right, "_b")
+    blocks, groups = max(1, n // 512), max(1, (size["all"] - n) // 65_536)
+    dealt = lambda k: F.pmod(F.xxhash64("_id"), F.lit(k)).cast("int")
+    copied = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = rows.where("not _is").select("_id", "_i", "_c", "_v", "_n", dealt(groups).alias("_g"), copied(blocks).alias("_b"))
+    right = rows.where("_is").select(F.col("_id").alias(h_key), F.col("_i").alias("_hi"), F.col("_c").alias("_hc"), F.col("_v").alias("_hv"), F.col("_n").alias("_hn"), dealt(blocks).alias("_b"), copied(groups).alias("_g"))
+    both = left.join(right, ["_b", "_g"])
     dot = (F.col("_i") == F.col("_hi")).cast("double") + (F.col("_c") == F.col("_hc")).cast("double") + sum((F.col("_v")[i] * F.col("_hv")[i] for i in range(len(numbers))), F.lit(0.0))
     sims = both.select("_id", (dot / (F.col("_n") * F.col("_hn"))).alias("_s"))
     # the k best of a candidate as a bounded sum: ranks by window within the candidate
@@ -147,4 +149,5 @@ def hero_examples(rows: DataFrame, best: DataFrame, key: str, k: int = 3) -> Dat
 
 def score_medians(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One row: the batch's median of each score, nulls ignored."""
-    return rows.sparkSession.createDataFrame([tuple(ranking.quantiles(rows, c, [0.5])[0] for c in columns)], ", ".join(f"{c} double" for c in columns))
+    middle = ranking.quantiles_of(rows, dict.fromkeys(columns, [0.5]))
+    return rows.sparkSession.createDataFrame([tuple(middle[c][0] for c in columns)], ", ".join(f"{c} double" for c in columns))

@@ -76,44 +76,77 @@ def history(panel: DataFrame) -> DataFrame:
     })
 
 
-def trend(panel: DataFrame, by: list[str], value: str, serial: str, out: str = "trend") -> DataFrame:
-    """Theil and Sen's slope of log1p(value) over the position in the series, as a change per step; 0 for a single row.
+def _slope(series: Column, value: str) -> Column:
+    """Theil and Sen's slope of an ordered array of structs: the median over pairs, as a change per step; 0 without a pair."""
+    from_each = F.transform(series, lambda x, i: F.transform(F.slice(series, i + 2, F.size(series)), lambda y, j: (y[value] - x[value]) / (j + 1)))
+    slopes = F.array_sort(F.filter(F.flatten(from_each), lambda s: s.isNotNull()))
+    n = F.size(slopes)
+    middle = (F.get(slopes, F.floor((n - 1) / 2).cast("int")) + F.get(slopes, F.floor(n / 2).cast("int"))) / 2
+    return F.coalesce(F.expm1(F.when(n > 0, middle)), F.lit(0.0))
+
+
+def trends(panel: DataFrame, by: list[str], values: dict[str, str], serial: str) -> DataFrame:
+    """Each value's slope of log1p over the position in the series, under its name in ``values``; 0 for a single row.
 
-    Pairs are made within one series only, whose length is the number of quarters.
+    A series is one array, as long as the quarters are many; pairs are made inside it and all values share one shuffle.
     """
+    series = F.sort_array(F.collect_list(F.struct(serial, *(F.log1p(c).alias(name) for name, c in values.items()))))
+    return panel.groupBy(*by).agg(series.alias("_series")).select(*by, *(_slope(F.col("_series"), name).alias(name) for name in values))
+
+
+def trend(panel: DataFrame, by: list[str], value: str, serial: str, out: str = "trend") -> DataFrame:
+    """One value's slope; see ``trends``."""
+    return trends(panel, by, {out: value}, serial)
+
+
+def _steps(panel: DataFrame, by: list[str], value: str, serial: str) -> DataFrame:
+    """The panel with each row's place ``_i``, whether a value stands before it (``_step``) and whether it is less (``_down``)."""
     order = Window.partitionBy(*by).orderBy(serial)
-    rows = panel.select(*by, F.row_number().over(order).alias("_i"), F.log1p(value).alias("_y"))
-    later = rows.withColumnsRenamed({"_i": "_j", "_y": "_z"})
-    slopes = rows.join(later, by).where("_i < _j").select(*by, ((F.col("_z") - F.col("_y")) / (F.col("_j") - F.col("_i"))).alias("_s"))
-    found = slopes.groupBy(*by).agg(F.expm1(F.median("_s")).alias(out))
-    return rows.select(*by).distinct().join(found, by, "left").select(*by, F.coalesce(out, F.lit(0.0)).alias(out))
+    before = F.lag(value).over(order)
+    return panel.withColumns({"_i": F.row_number().over(order), "_step": before.isNotNull(), "_down": F.col(value) < before})
+
+
+def _decline_figures() -> list[Column]:
+    """decline_share and decline_run of a series of ``_steps``."""
+    stays = ~(F.col("_step") & F.coalesce("_down", F.lit(False)))
+    return [
+        F.coalesce(F.avg(F.when(F.col("_step"), F.col("_down").cast("double"))), F.lit(0.0)).alias("decline_share"),
+        (F.count("*") - F.max(F.when(stays, F.col("_i")))).cast("long").alias("decline_run"),
+    ]
 
 
 def declines(panel: DataFrame, by: list[str] = CELL, value: str = "sales", serial: str = "q") -> DataFrame:
     """Per series: ``decline_share`` of steps down, and ``decline_run``, the steps down in a row at its end."""
-    order = Window.partitionBy(*by).orderBy(serial)
-    rows = panel.select(*by, (F.col(value) < F.lag(value).over(order)).alias("_down"), F.row_number().over(Window.partitionBy(*by).orderBy(F.col(serial).desc())).alias("_back"), F.lag(value).over(order).isNotNull().alias("_step"))
-    down = F.col("_step") & F.col("_down")
-    return rows.groupBy(*by).agg(
-        F.coalesce(F.avg(F.when(F.col("_step"), F.col("_down").cast("double"))), F.lit(0.0)).alias("decline_share"),
-        (F.coalesce(F.min(F.when(~F.coalesce(down, F.lit(False)), F.col("_back"))), F.count("*") + 1) - 1).cast("long").alias("decline_run"),
-    )
+    return _steps(panel, by, value, serial).groupBy(*by).agg(*_decline_figures())
+
+
+def _end_values(columns: list[str], serial: str) -> list[Column]:
+    return [f(c, serial).alias(f"{c}_{n}") for c in columns for n, f in (("first", F.min_by), ("last", F.max_by))]
 
 
 def ends(panel: DataFrame, columns: list[str], by: list[str] = CELL, serial: str = "q") -> DataFrame:
     """``<c>_first`` and ``<c>_last`` of each series."""
-    return panel.groupBy(*by).agg(*(f(c, serial).alias(f"{c}_{n}") for c in columns for n, f in (("first", F.min_by), ("last", F.max_by))))
+    return panel.groupBy(*by).agg(*_end_values(columns, serial))
 
 
-def structure(panel: DataFrame) -> DataFrame:
-    """Per cell: long-run changes, market state, who left, transactions against ticket size.
+def moved(column: str) -> Column:
+    """The relative change of ``<column>_first`` to ``<column>_last``; null on a zero base."""
+    return change(F.col(f"{column}_first"), F.col(f"{column}_last"))
 
-    A rate would be compared by difference, amounts are by relative change; both are null on a zero base.
-    """
-    rows = panel.withColumns({"per_store": ratio(F.col("sales"), F.col("stores")), "ticket": ratio(F.col("sales"), F.col("txns"))})
-    e = ends(rows, ["sales", "stores", "per_store", "txns", "ticket", "residents", "traffic", "workers"])
-    moved = lambda c: change(F.col(f"{c}_first"), F.col(f"{c}_last"))
-    out = e.select(*CELL, *(moved(c).alias(f"{c}_change") for c in ("sales", "stores", "per_store", "txns", "ticket", "residents", "traffic", "workers")))
+
+def moves(panel: DataFrame, amounts: list[str], rates: list[str], by: list[str] = CELL, serial: str = "q") -> DataFrame:
+    """Per series, first against last: ``<amount>_change``, relative and null on a zero base, and ``<rate>_points``, in percentage points."""
+    e = ends(panel, [*amounts, *rates], by, serial)
+    return e.select(*by, *(moved(c).alias(f"{c}_change") for c in amounts), *(((F.col(f"{c}_last") - F.col(f"{c}_first")) * 100).alias(f"{c}_points") for c in rates))
+
+
+def _per_unit(panel: DataFrame) -> DataFrame:
+    return panel.withColumns({"per_store": ratio(F.col("sales"), F.col("stores")), "ticket": ratio(F.col("sales"), F.col("txns"))})
+
+
+def structure(panel: DataFrame) -> DataFrame:
+    """Per cell: long-run relative changes, market state, who left, transactions against ticket size. Rates are compared by ``moves``."""
+    out = moves(_per_unit(panel), ["sales", "stores", "per_store", "txns", "ticket", "residents", "traffic", "workers"], [])
     return out.withColumns({
         "state": classify.market_state(F.col("sales_change"), F.col("stores_change"), F.col("per_store_change")),
         "who_left": classify.traffic_source(F.col("residents_change"), F.col("traffic_change"), F.col("workers_change")),
@@ -121,30 +154,49 @@ def structure(panel: DataFrame) -> DataFrame:
 
 
 def severity(panel: DataFrame) -> DataFrame:
-    """Per cell, at its last quarter: growth, peak and drawdown, declines, severity points, urgency, and the response they call for."""
-    last = latest(growth(panel), CELL, "q", ["quarter", "sales", "qoq", "yoy"])
-    peak = panel.groupBy(*CELL).agg(F.max("sales").alias("_peak"), F.max_by("quarter", F.struct("sales", -F.col("q"))).alias("peak_quarter"))
-    out = last.join(peak, CELL).join(declines(panel), CELL).join(structure(panel).select(*CELL, "state"), CELL)
-    out = out.withColumn("from_peak", ratio(F.col("sales") - F.col("_peak"), F.col("_peak"))).drop("_peak")
+    """Per cell, at its last quarter: growth, peak and drawdown, declines, severity points, urgency, and the response they call for.
+
+    Windows and the aggregate all stand on the cell: the panel is shuffled by it once.
+    """
+    rows = _steps(_per_unit(growth(panel)), CELL, "sales", "q")
+    out = rows.groupBy(*CELL).agg(
+        *(F.max_by(c, "q").alias(c) for c in ("quarter", "sales", "qoq", "yoy")),
+        F.max("sales").alias("_peak"), F.max_by("quarter", F.struct("sales", -F.col("q"))).alias("peak_quarter"),
+        *_decline_figures(), *_end_values(parts := ["sales", "stores", "per_store"], "q"),
+    )
+    out = out.withColumn("state", classify.market_state(*map(moved, parts))).withColumn("from_peak", ratio(F.col("sales") - F.col("_peak"), F.col("_peak")))
+    out = out.drop("_peak", *(f"{c}_{n}" for c in parts for n in ("first", "last")))
     out = out.withColumn("points", classify.severity(F.col("qoq"), F.col("yoy"), F.col("from_peak"), F.col("decline_share")))
     return out.withColumns({"urgency": F.when(F.col("state").isin("shrinking", "compound_slump"), "high").when((F.col("state") == "normal") & (F.col("points") < 2), "low").otherwise(classify.urgency(F.col("points"))), "grade": classify.grade(F.col("state"), F.col("points"))})
 
 
 def cause(panel: DataFrame) -> DataFrame:
     """Per cell: its trend against those of its district and its industry, and the verdict."""
-    rows = with_totals(panel)
-    own, area, trade = (trend(rows, CELL, c, "q", n) for c, n in (("sales", "own_trend"), ("district_sales", "district_trend"), ("industry_sales", "industry_trend")))
-    out = own.join(area, CELL).join(trade, CELL)
+    out = trends(with_totals(panel), CELL, {"own_trend": "sales", "district_trend": "district_sales", "industry_trend": "industry_sales"}, "q")
     base = (F.col("district_trend") + F.col("industry_trend")) / 2
     return out.withColumns({"gap": F.col("own_trend") - base, "verdict": classify.decline_cause(F.col("own_trend"), F.col("district_trend"), F.col("industry_trend"))})
 
 
+def what_if(panel: DataFrame, change_of: Column) -> DataFrame:
+    """The panel with ``change_of`` added to a row's sales where it isn't null, and ``district_sales`` and ``industry_sales`` made of the new figures.
+
+    Features made of the result are those of the changed market. Sales don't fall below 0.
+    """
+    return with_totals(panel.withColumn("sales", F.greatest(F.col("sales") + F.coalesce(change_of, F.lit(0.0)), F.lit(0.0))))
+
+
 def as_of(panel: DataFrame, quarter: int, by: list[str] = CELL) -> DataFrame:
     """History up to ``quarter`` of the series that have that quarter."""
     there = panel.where(F.col("quarter") == quarter).select(*by).distinct()
     return panel.where(F.col("quarter") <= quarter).join(there, by, "left_semi")
 
 
+def as_of_ledger(panel: DataFrame, quarter: int, by: list[str] = CELL) -> DataFrame:
+    """Per series: ``n``, its quarters up to ``quarter``, and ``error``, ``quarter_missing`` where it doesn't have that quarter, else null."""
+    there = F.coalesce(F.max(F.col("quarter") == quarter), F.lit(False))
+    return panel.groupBy(*by).agg(F.count(F.when(F.col("quarter") <= quarter, 1)).alias("n"), F.when(~there, "quarter_missing").alias("error"))
+
+
 def warnings(panel: DataFrame) -> DataFrame:
     """Per cell: quality warnings at its last quarter, not exclusive, and ``usable`` where there is none."""
     order = Window.partitionBy(*CELL).orderBy("q")
@@ -227,8 +279,7 @@ def anomaly_features(panel: DataFrame, min_txns: int = 1) -> DataFrame:
 def extremes(features: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """The rows with ``extremes``, how many features lie outside the columns' quantiles, nulls read as the median; two make an anomaly, or one of growth."""
     out, counts, sales = features, F.lit(0), F.lit(False)
-    for c in columns:
-        lo, mid, hi = ranking.quantiles(features, c, [low, 0.5, high])
+    for c, (lo, mid, hi) in ranking.quantiles_of(features, dict.fromkeys(columns, [low, 0.5, high])).items():
         if mid is None:
             continue
         v = F.coalesce(F.col(c), F.lit(mid))

@@ -6,6 +6,8 @@ distinct values dealt over ranges, so no task ever holds all rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,32 +73,53 @@ def global_percentile(df: DataFrame, value: str, out: str) -> DataFrame:
 
 
 def quantiles(df: DataFrame, value: str, probs: list[float], accuracy: int = 10_000) -> list[float | None]:
-    """Exact quantiles with linear interpolation, in two passes and without gathering the column.
+    """Exact quantiles of one column with linear interpolation; see ``quantiles_of``."""
+    return quantiles_of(df, {value: probs}, accuracy)[value]
+
 
-    An approximate pass brackets each order statistic; the exact one counts what lies below the bracket and sorts the
+def quantiles_of(df: DataFrame, wanted: dict[str, list[float]], accuracy: int = 10_000) -> dict[str, list[float | None]]:
+    """Exact quantiles of several columns with linear interpolation, in two jobs and without gathering a column.
+
+    An approximate pass brackets each order statistic; the exact one counts what lies below each bracket and sorts the
     bracket's distinct values alone, some ``2 / accuracy`` of the rows. Nulls are ignored; an empty column gives None.
     """
-    known = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-    around = [min(1.0, max(0.0, p + d)) for p in probs for d in (-2 / accuracy, 2 / accuracy)]
-    row = known.agg(F.count("*").alias("n"), F.percentile_approx("v", around, accuracy).alias("b"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    n = row["n"]
-    if not n:
-        return [None] * len(probs)
-    out = []
-    for i, p in enumerate(probs):
-        at = p * (n - 1)
-        first, share = int(at), at - int(at)
-        lo = row["lo"] if first <= 2 * n / accuracy + 1 else row["b"][2 * i]
-        hi = row["hi"] if first + 1 >= n - 2 * n / accuracy - 1 else row["b"][2 * i + 1]
-        while True:
-            below = known.where(F.col("v") < lo).count()
-            inside = known.where(F.col("v").between(lo, hi)).groupBy("v").agg(F.count("*").alias("k"))
-            upto = inside.withColumn("upto", F.sum("k").over(Window.orderBy("v")) + below)
-            got = upto.agg(F.min(F.when(F.col("upto") > first, F.col("v"))).alias("a"), F.min(F.when(F.col("upto") > min(first + 1, n - 1), F.col("v"))).alias("b")).first()
-            if below <= first and got["a"] is not None and got["b"] is not None:
-                break
-            lo, hi = row["lo"], row["hi"]  # the bracket missed: take all
-        out.append(got["a"] + share * (got["b"] - got["a"]))
+    columns = list(wanted)
+    known = df.select(*(F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(columns)))
+    row = known.agg(*(
+        made.alias(f"{name}{i}")
+        for i, c in enumerate(columns)
+        for name, made in (
+            ("n", F.count(f"v{i}")), ("lo", F.min(f"v{i}")), ("hi", F.max(f"v{i}")),
+            ("b", F.percentile_approx(f"v{i}", [min(1.0, max(0.0, p + d)) for p in wanted[c] for d in (-2 / accuracy, 2 / accuracy)], accuracy)),
+        )
+    )).first()
+    out: dict[str, list[float | None]] = {c: [None] * len(wanted[c]) for c in columns}
+    todo = {}
+    for i, c in enumerate(columns):
+        n = row[f"n{i}"]
+        for j, p in enumerate(wanted[c]) if n else ():
+            first = int(p * (n - 1))
+            lo = row[f"lo{i}"] if first <= 2 * n / accuracy + 1 else row[f"b{i}"][2 * j]
+            hi = row[f"hi{i}"] if first + 1 >= n - 2 * n / accuracy - 1 else row[f"b{i}"][2 * j + 1]
+            todo[i, j] = first, min(first + 1, n - 1), lo, hi
+    while todo:
+        # one row a distinct value inside a bracket, and one, with a null value, for all below it
+        numbered = list(todo)
+        v = [F.col(f"v{i}") for i, _ in numbered]
+        inside = [F.struct(F.lit(at).alias("at"), F.when(x >= F.lit(todo[k][2]), x).alias("v"), (x <= F.lit(todo[k][3])).alias("in")) for at, (k, x) in enumerate(zip(numbered, v, strict=True))]
+        values = known.select(F.explode(F.array(*inside)).alias("e")).where("e.in").groupBy("e.at", "e.v").agg(F.count("*").alias("k"))
+        upto = values.withColumn("upto", F.sum("k").over(Window.partitionBy("at").orderBy(F.col("v").asc_nulls_first())))
+        rank = lambda n: F.element_at(F.array(*(F.lit(todo[k][n]) for k in numbered)), F.col("at") + 1)  # noqa: E731, B023
+        got = upto.groupBy("at").agg(F.max(F.when(F.col("v").isNull(), F.col("k"))).alias("below"), *(F.min(F.when(F.col("upto") > rank(n), F.col("v"))).alias(name) for n, name in ((0, "a"), (1, "b"))))
+        for g in got.collect():
+            i, j = k = numbered[g["at"]]
+            first, second, lo, hi = todo[k]
+            if (g["below"] or 0) <= first and g["a"] is not None and g["b"] is not None:
+                share = wanted[columns[i]][j] * (row[f"n{i}"] - 1) - first
+                out[columns[i]][j] = g["a"] + share * (g["b"] - g["a"])
+                del todo[k]
+            else:
+                todo[k] = first, second, row[f"lo{i}"], row[f"hi{i}"]  # the bracket missed: take all
     return out
 
 
@@ -109,16 +132,24 @@ def quantile_bucket(df: DataFrame, value: str, k: int, out: str) -> DataFrame:
     return df.withColumn(out, F.when(F.col(value).isNotNull(), sum((F.when(F.col(value) > e, 1).otherwise(0) for e in inner), F.lit(1))))
 
 
-def leave_one_out(value: str, by: list[str]) -> tuple[Column, Column, Column]:
-    """(number, mean, sample deviation) of the other non-null values of the group, from centred moments."""
-    w = Window.partitionBy(*by)
-    n, mean, sd = F.count(value).over(w), F.avg(value).over(w), F.stddev_samp(value).over(w)
+def _with_moments(df: DataFrame, values: list[str], by: list[str], tag: str) -> DataFrame:
+    """``df`` with its group's rows, and each value's count, mean and sample deviation: combined before they are shuffled, joined back.
+
+    A group however large is one row; null keys make a group like any other.
+    """
+    made = {f"{tag}": F.count(F.lit(1))} | {f"{tag}{m}{i}": f(v) for i, v in enumerate(values) for m, f in (("n", F.count), ("m", F.avg), ("s", F.stddev_samp))}
+    groups = df.groupBy(*by).agg(*(x.alias(c) for c, x in made.items())).withColumnsRenamed({c: f"{tag}_{c}" for c in by})
+    same = [df[c].eqNullSafe(groups[f"{tag}_{c}"]) for c in by]
+    return df.join(groups, reduce(lambda a, b: a & b, same)).drop(*(f"{tag}_{c}" for c in by))
+
+
+def _others(value: str, tag: str) -> tuple[Column, Column]:
+    """(mean, sample deviation) of the other non-null values of the group, from centred moments."""
+    n, mean, sd = (F.col(f"{tag.format(m)}") for m in "nms")
     off = F.col(value) - mean
-    others = n - F.when(F.col(value).isNotNull(), 1).otherwise(0)
     m = F.when(F.col(value).isNull(), mean).when(n > 1, mean - off / (n - 1))
     rest = F.pow(sd, 2) * (n - 1) - F.pow(off, 2) * n / (n - 1)
-    s = F.when(F.col(value).isNull(), sd).when(n > 2, F.sqrt(F.greatest(rest, F.lit(0.0)) / (n - 2)))
-    return others, m, s
+    return m, F.when(F.col(value).isNull(), sd).when(n > 2, F.sqrt(F.greatest(rest, F.lit(0.0)) / (n - 2)))
 
 
 def peer_z(df: DataFrame, values: list[str], wide: list[str], narrow: list[str], least: int = 20) -> DataFrame:
@@ -127,18 +158,12 @@ def peer_z(df: DataFrame, values: list[str], wide: list[str], narrow: list[str],
     Adds ``<value>_z`` and ``peers``. Null where the value or the deviation is null, the deviation is below 1e-4 or below
     one hundredth of the mean.
     """
-    sizes = {"_wide": F.count(F.lit(1)).over(Window.partitionBy(*wide)) - 1, "_narrow": F.count(F.lit(1)).over(Window.partitionBy(*narrow)) - 1}
-    moments = {}
-    for v in values:
-        for name, by in (("w", wide), ("n", narrow)):
-            _, m, s = leave_one_out(v, by)
-            moments |= {f"_{v}_{name}m": m, f"_{v}_{name}s": s}
-    out = df.withColumns(sizes | moments)
-    near = F.col("_narrow") >= least
-    made = {"peers": F.when(near, F.col("_narrow")).otherwise(F.col("_wide"))}
-    for v in values:
-        m = F.when(near, F.col(f"_{v}_nm")).otherwise(F.col(f"_{v}_wm"))
-        s = F.when(near, F.col(f"_{v}_ns")).otherwise(F.col(f"_{v}_ws"))
+    out = _with_moments(_with_moments(df, values, wide, "_wide"), values, narrow, "_narrow")
+    near = F.col("_narrow") - 1 >= least
+    made = {"peers": F.when(near, F.col("_narrow")).otherwise(F.col("_wide")) - 1}
+    for i, v in enumerate(values):
+        (wm, ws), (nm, ns) = (_others(v, f"{tag}{{}}{i}") for tag in ("_wide", "_narrow"))
+        m, s = F.when(near, nm).otherwise(wm), F.when(near, ns).otherwise(ws)
         flat = (s < 1e-4) | ((m != 0) & (s / F.nullif(m, F.lit(0.0)) < 0.01))
         made[f"{v}_z"] = F.when(~flat & F.col(v).isNotNull(), (F.col(v) - m) / F.nullif(s, F.lit(0.0)))
     return out.withColumns(made).select(*df.columns, "peers", *(f"{v}_z" for v in values))

@@ -94,12 +94,14 @@ def concordance(each: DataFrame) -> DataFrame:
 
     A cell with an event at T is compared with all that last longer, or as long without an event. No pairs are made:
     for each T all that outlast it stand in order of risk beside the events, and counts below are running sums. Risks
-    are counted by (duration, event, risk) first.
+    are counted by (duration, event, risk) first. The distinct times of events, quarters since a cell began and so as
+    few as the quarters there are, pass through the driver.
     """
     counts = each.groupBy("duration", "event", "risk").agg(F.count("*").alias("n"))
-    times = counts.where("event = 1").select(F.col("duration").alias("T")).distinct()
+    times = F.array(*(F.lit(r["duration"]) for r in counts.where("event = 1").select("duration").distinct().collect())).cast("array<long>")
     events = counts.where("event = 1").select(F.col("duration").alias("T"), "risk", F.col("n").alias("dead"), F.lit(0).cast("long").alias("alive"))
-    later = counts.join(times, (F.col("duration") > F.col("T")) | ((F.col("duration") == F.col("T")) & (F.col("event") == 0))).select("T", "risk", F.lit(0).cast("long").alias("dead"), F.col("n").alias("alive"))
+    outlasted = F.filter(times, lambda t: (F.col("duration") > t) | ((F.col("duration") == t) & (F.col("event") == 0)))
+    later = counts.select(F.explode(outlasted).alias("T"), "risk", F.lit(0).cast("long").alias("dead"), F.col("n").alias("alive"))
     both = events.union(later).groupBy("T", "risk").agg(F.sum("dead").alias("dead"), F.sum("alive").alias("alive"))
     below = F.sum("alive").over(Window.partitionBy("T").orderBy("risk")) - F.col("alive")
     total = F.sum("alive").over(Window.partitionBy("T"))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillmart.operators.storage import shared_path
 
@@ -74,19 +72,8 @@ class ArmStatistics:
 
 
 def running_totals(events: DataFrame, key: str) -> DataFrame:
-    """(key, n, total) after each batch, state kept per key without bound in time; update mode.
+    """(key, n, total) of the keys each batch has touched, after it; for update mode, state kept per key without bound in time.
 
-    ``events`` has ``value``. A key's rows of a batch come in Arrow batches and are summed as they come.
+    ``events`` has ``value``. A batch's rows are summed before they are shuffled.
     """
-    out, state = f"{key} string, n long, total double", "n long, total double"
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], s: GroupState) -> Iterator[pd.DataFrame]:
-        n, total = s.get if s.exists else (0, 0.0)
-        for f in frames:
-            n, total = n + len(f), total + float(f["value"].sum())
-        s.update((n, total))
-        yield pd.DataFrame({key: [k[0]], "n": [n], "total": [total]})
-
-    return events.select(F.col(key).cast("string").alias(key), "value").groupBy(key).applyInPandasWithState(step, out, state, "update", GroupStateTimeout.NoTimeout)
-
-
+    return events.groupBy(F.col(key).cast("string").alias(key)).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("value").cast("double")), F.lit(0.0)).alias("total"))
