@@ -104,6 +104,36 @@ def dangling(df: DataFrame, ref: str, known: DataFrame, key: str) -> DataFrame:
     return df.where(F.col(ref).isNotNull()).join(known.select(F.col(key).alias(ref)).distinct(), ref, "left_anti")
 
 
+def out_of_order(df: DataFrame, periods: list[tuple[str, str]]) -> DataFrame:
+    """Rows where a period ends before it starts, with ``period``, its first column, of the first such period; an open end is in order."""
+    return df.withColumn("period", first_failure([(start, F.col(end) < F.col(start)) for start, end in periods])).where(F.col("period").isNotNull())
+
+
+#: Fixed value: the share of sales below which a problem isn't worth a measure.
+LEAST_SHARE = 0.03
+
+
+def checked_recommendations(recs: DataFrame, problems: DataFrame, by: str) -> DataFrame:
+    """``recs(by, measure, problem, evidence, score)`` against ``problems(by, problem, evidence, share)`` of the same report: each with ``findings``.
+
+    A reference to no problem ends the checks of a row but for repeats; otherwise evidence has to be the problem's own, a
+    known share at least 3 %, a score there. ``repeated``: the measure's name stands twice in its report.
+    """
+    known = problems.select(by, "problem", F.col("evidence").alias("_e"), "share", F.lit(True).alias("_there"))
+    counts = recs.groupBy(by, "measure").agg(F.count("*").alias("_n"))
+    rows = recs.join(known, [by, "problem"], "left").join(counts, [by, "measure"], "left")
+    there = F.coalesce("_there", F.lit(False))
+    checks = [
+        (~there, "dangling"),
+        (there & ~F.col("evidence").eqNullSafe(F.col("_e")), "other_evidence"),
+        (there & (F.col("share") < LEAST_SHARE), "small_share"),
+        (there & F.col("score").isNull(), "no_score"),
+        (F.col("_n") > 1, "repeated"),
+    ]
+    found = F.array_compact(F.array(*(F.when(bad, F.lit(name)) for bad, name in checks)))
+    return rows.select(*recs.columns, F.array_join(found, ",").alias("findings"))
+
+
 def join_rate(df: DataFrame, columns: list[str], least: float = 0.8) -> DataFrame:
     """factor, rate, low: the share of rows that a join found a value for."""
     row = df.agg(*(F.avg(F.col(c).isNotNull().cast("double")).alias(c) for c in columns))

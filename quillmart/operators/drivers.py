@@ -23,9 +23,10 @@ class Periods:
     end: dt.date
 
     def __post_init__(self) -> None:
-        """Either period ends no earlier than it starts, and the base ends before the current one starts."""
-        if not self.base_start <= self.base_end < self.start <= self.end:
-            raise InputError(f"periods out of order: {self.base_start} to {self.base_end}, {self.start} to {self.end}")
+        """Neither period ends before it starts."""
+        for first, last in ((self.base_start, self.base_end), (self.start, self.end)):
+            if last < first:
+                raise InputError(f"a period ends on {last}, before it starts on {first}")
 
     def base(self, day: str = "day") -> Column:
         return F.col(day).between(F.lit(self.base_start), F.lit(self.base_end))

@@ -181,16 +181,16 @@ def weekday_shares(t: Tables) -> DataFrame:
     return panel.shares(tables.panel(t), WEEK).select("district", "industry", "quarter", *(f"{d}_share" for d in WEEK))
 
 
-@query(
-    f"""WITH {SHARES}, p AS (
+PEERS = f"""{SHARES}, p AS (
   SELECT a.district, a.industry, a.quarter, count(b.district) AS n, count(b.district) FILTER (b.district_type = a.district_type) AS n2,
     {", ".join(f"any_value(a.{d}_share) AS {d}, avg(b.{d}_share) AS {d}_m, stddev_samp(b.{d}_share) AS {d}_s, avg(b.{d}_share) FILTER (b.district_type = a.district_type) AS {d}_m2, stddev_samp(b.{d}_share) FILTER (b.district_type = a.district_type) AS {d}_s2" for d in WEEK)}
   FROM shares a LEFT JOIN shares b ON a.industry = b.industry AND a.quarter = b.quarter AND a.district <> b.district GROUP BY 1, 2, 3),
 c AS (SELECT district, industry, quarter, CAST(CASE WHEN n2 >= 20 THEN n2 ELSE n END AS BIGINT) AS peers,
-    {", ".join(f"{d}, CASE WHEN n2 >= 20 THEN {d}_m2 ELSE {d}_m END AS {d}_m, CASE WHEN n2 >= 20 THEN {d}_s2 ELSE {d}_s END AS {d}_s" for d in WEEK)} FROM p)
-SELECT district, industry, quarter, peers, {", ".join(f"CASE WHEN {d} IS NOT NULL AND NOT ({d}_s < 1e-4 OR ({d}_m <> 0 AND {d}_s / nullif({d}_m, 0) < 0.01)) THEN ({d} - {d}_m) / nullif({d}_s, 0) END AS {d}_share_z" for d in WEEK)} FROM c""",
-    " ".join(f"{d}_share_z" for d in WEEK),
-)
+    {", ".join(f"{d}, CASE WHEN n2 >= 20 THEN {d}_m2 ELSE {d}_m END AS {d}_m, CASE WHEN n2 >= 20 THEN {d}_s2 ELSE {d}_s END AS {d}_s" for d in WEEK)} FROM p),
+scores AS (SELECT district, industry, quarter, peers, {", ".join(f"CASE WHEN {d} IS NOT NULL AND NOT ({d}_s < 1e-4 OR ({d}_m <> 0 AND {d}_s / nullif({d}_m, 0) < 0.01)) THEN ({d} - {d}_m) / nullif({d}_s, 0) END AS {d}_share_z" for d in WEEK)} FROM c)"""
+
+
+@query(f"WITH {PEERS} SELECT * FROM scores", " ".join(f"{d}_share_z" for d in WEEK))
 def peer_scores(t: Tables) -> DataFrame:
     """z among the other districts of the industry and quarter, of the same type where that has twenty of them."""
     rows = panel.shares(tables.panel(t), WEEK)
@@ -198,7 +198,13 @@ def peer_scores(t: Tables) -> DataFrame:
     return z.select("district", "industry", "quarter", "peers", *(f"{d}_share_z" for d in WEEK))
 
 
-@query()
+@query(
+    f"""WITH {PEERS}, parts AS ({" UNION ALL ".join(f"SELECT district, industry, quarter, peers, '{d}' AS part, {d}_share_z AS z FROM scores WHERE {d}_share_z IS NOT NULL" for d in WEEK)}),
+r AS (SELECT *, row_number() OVER (w ORDER BY z DESC, part) AS up, row_number() OVER (w ORDER BY z, part DESC) AS down, row_number() OVER (w ORDER BY abs(z) DESC, part DESC) AS size FROM parts WINDOW w AS (PARTITION BY district, industry, quarter))
+SELECT district, industry, quarter, 'weekday' AS axis, any_value(peers) AS peers, coalesce(string_agg(part, ',' ORDER BY up) FILTER (up <= 3 AND z >= 1), '') AS strong,
+  coalesce(string_agg(part, ',' ORDER BY down) FILTER (down <= 3 AND z <= -1), '') AS weak, avg(abs(z)) AS intensity, max(part) FILTER (size = 1) AS largest FROM r GROUP BY 1, 2, 3""",
+    "intensity",
+)
 def axis_strengths(t: Tables) -> DataFrame:
     return panel.axis_strengths(tables.panel(t), WEEK, "weekday")
 
@@ -344,3 +350,54 @@ def odd_cells(t: Tables) -> DataFrame:
     features = panel.anomaly_features(tables.panel(t))
     rows = anomaly.anomalies(features, ["sales_qoq", "sales_yoy", "stores_qoq", "traffic_qoq"], trees=100)
     return rows.select("district", "industry", "quarter", "score", "extremes", "odd")
+
+
+@query(
+    f"""WITH {SHARES}, e AS (SELECT district, industry, {", ".join(f"arg_min({c}, q) AS {c}_0, arg_max({c}, q) AS {c}_1" for c in ("sales", "txns"))}, {", ".join(f"first({d}_share ORDER BY q) AS {d}_0, last({d}_share ORDER BY q) AS {d}_1" for d in WEEK)} FROM shares GROUP BY 1, 2)
+SELECT district, industry, {", ".join(f"({c}_1 - {c}_0) / nullif({c}_0, 0) AS {c}_change" for c in ("sales", "txns"))}, {", ".join(f"({d}_1 - {d}_0) * 100 AS {d}_share_points" for d in WEEK)} FROM e""",
+    "sales_change txns_change " + " ".join(f"{d}_share_points" for d in WEEK),
+)
+def structure_moves(t: Tables) -> DataFrame:
+    """First quarter against last: amounts by relative change, shares by percentage points."""
+    return panel.moves(panel.shares(tables.panel(t), WEEK), ["sales", "txns"], [f"{d}_share" for d in WEEK])
+
+
+@query(f"WITH {PANEL} SELECT district, industry, CAST(count(*) FILTER (quarter <= 19964) AS BIGINT) AS n, CASE WHEN NOT bool_or(quarter = 19964) THEN 'quarter_missing' END AS error FROM panel GROUP BY 1, 2")
+def as_of_errors(t: Tables) -> DataFrame:
+    """The history of every cell as of a quarter, or the error that it doesn't have that quarter."""
+    return panel.as_of_ledger(tables.panel(t), 19964)
+
+
+@query(
+    f"""WITH {PANEL}, moved AS (SELECT * REPLACE (CASE WHEN quarter = 19964 AND district % 3 = 0 THEN sales * 1.1 ELSE sales END AS sales) FROM panel)
+SELECT district, industry, quarter, sales, CAST(sum(CAST(sales AS DECIMAL(18,4))) OVER (PARTITION BY district, quarter) AS DOUBLE) AS district_sales,
+  CAST(sum(CAST(sales AS DECIMAL(18,4))) OVER (PARTITION BY industry, quarter) AS DOUBLE) AS industry_sales FROM moved""",
+    "sales district_sales industry_sales",
+    digits=3,
+)
+def what_if_totals(t: Tables) -> DataFrame:
+    """A tenth more in one quarter in some districts: their sales, and what their districts and industries then sell."""
+    more = F.when((F.col("quarter") == 19964) & (F.col("district") % 3 == 0), F.col("sales") * 0.1)
+    return panel.what_if(tables.panel(t), more).select("district", "industry", "quarter", "sales", "district_sales", "industry_sales")
+
+
+@query(
+    """WITH recs AS (SELECT o_custkey AS report, 'm' || CAST(o_orderkey % 5 AS VARCHAR) AS measure, CAST(o_orderkey % 8 AS INTEGER) AS problem, 'e' || CAST(CASE WHEN o_orderkey % 9 = 0 THEN 0 ELSE o_orderkey % 8 END AS VARCHAR) AS evidence,
+    CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice END AS score FROM orders),
+problems AS (SELECT c_custkey AS report, k AS problem, 'e' || CAST(k AS VARCHAR) AS evidence, k * 0.02::DOUBLE AS share FROM customer, (SELECT CAST(unnest(range(7)) AS INTEGER) AS k)),
+n AS (SELECT report, measure, count(*) AS n FROM recs GROUP BY 1, 2)
+SELECT r.report, r.measure, r.problem, r.evidence, r.score, array_to_string(list_filter([CASE WHEN p.report IS NULL THEN 'dangling' END, CASE WHEN r.evidence IS DISTINCT FROM p.evidence AND p.report IS NOT NULL THEN 'other_evidence' END,
+  CASE WHEN share < 0.03 THEN 'small_share' END, CASE WHEN p.report IS NOT NULL AND r.score IS NULL THEN 'no_score' END, CASE WHEN n > 1 THEN 'repeated' END], lambda x: x IS NOT NULL), ',') AS findings
+FROM recs r LEFT JOIN problems p ON r.report = p.report AND r.problem = p.problem JOIN n ON n.report = r.report AND n.measure = r.measure""",
+    "score",
+)
+def recommendation_findings(t: Tables) -> DataFrame:
+    """Recommendations held against the problems of the report they belong to."""
+    k, name = F.col("o_orderkey"), lambda letter, n: F.concat(F.lit(letter), n.cast("string"))
+    recs = t.orders.select(
+        F.col("o_custkey").alias("report"), name("m", k % 5).alias("measure"), (k % 8).cast("int").alias("problem"),
+        name("e", F.when(k % 9 == 0, F.lit(0)).otherwise(k % 8)).alias("evidence"), F.when(k % 11 != 0, F.col("o_totalprice")).alias("score"),
+    )
+    of = t.customer.select(F.col("c_custkey").alias("report"), F.explode(F.array(*map(F.lit, range(7)))).alias("problem"))
+    problems = of.select("report", "problem", name("e", F.col("problem")).alias("evidence"), (F.col("problem") * 0.02).alias("share"))
+    return checks.checked_recommendations(recs, problems, "report")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from urllib.request import urlopen
 
@@ -14,6 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
 from quillmart.operators.checks import InputError
+from quillmart.operators.storage import stored
 
 #: Quality marks of an observation that may be used.
 GOOD_MARKS = ["0", "1", "4", "5"]
@@ -149,26 +150,31 @@ def passages(spark: SparkSession, chunks: str, vectors: str, key: str) -> DataFr
     return rows.join(v, key)
 
 
-# a paged service: a partition a quarter, pages until a short one
+# a paged service: quarters dealt over a few partitions, pages until a short one
 
 
 class QuarterPartition(InputPartition):
-    def __init__(self, quarter: str):
-        self.quarter = quarter
+    def __init__(self, quarters: list[str]):
+        self.quarters = quarters
 
 
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict[str, str], schema: StructType):
         self.url, self.size, self.names = options["url"], int(options.get("pagesize", "1000")), schema.fieldNames()
         self.quarters = [q for q in options.get("quarters", "").split(",") if q] or [""]
+        self.parallel = int(options.get("parallel", "5"))
 
     def partitions(self) -> list[QuarterPartition]:
-        return [QuarterPartition(q) for q in self.quarters]
+        return [QuarterPartition(self.quarters[i :: self.parallel]) for i in range(min(self.parallel, len(self.quarters)))]
 
     def read(self, partition: QuarterPartition) -> Iterator[tuple]:
+        for quarter in partition.quarters:
+            yield from self._pages(quarter)
+
+    def _pages(self, quarter: str) -> Iterator[tuple]:
         start = 1
         while True:
-            url = self.url.format(start=start, end=start + self.size - 1, page=(start - 1) // self.size + 1, quarter=partition.quarter)
+            url = self.url.format(start=start, end=start + self.size - 1, page=(start - 1) // self.size + 1, quarter=quarter)
             with urlopen(url) as answer:
                 rows = find_rows(json.load(answer))
             for r in rows:
@@ -181,8 +187,8 @@ class PagedReader(DataSourceReader):
 class Paged(DataSource):
     """``spark.read.format("paged")``: a service that answers pages of rows in JSON.
 
-    Options: ``url`` with {start}, {end}, {page} and {quarter}, ``pagesize``, ``quarters`` (comma-separated, a partition
-    each). All columns are text, as services send them; cast them afterwards. Register with ``spark.dataSource.register``.
+    Options: ``url`` with {start}, {end}, {page} and {quarter}, ``pagesize``, ``quarters`` (comma-separated), ``parallel``,
+    the requests at a time (5): quarters are dealt over so many partitions. All columns are text, as services send them; cast them afterwards. Register with ``spark.dataSource.register``.
     """
 
     @classmethod
@@ -196,6 +202,59 @@ class Paged(DataSource):
         return PagedReader(self.options, schema)
 
 
+def cached_quarters(spark: SparkSession, path: str, quarters: list[int], fetch: Callable[[list[int]], DataFrame]) -> DataFrame:
+    """The rows of ``quarters``, the cache at ``path`` first: only what it lacks is fetched, and the newest quarter always, as it may still grow.
+
+    ``fetch`` gives rows with ``quarter``; fetched quarters but the newest are added to the cache, a folder each, an
+    empty one too. A quarter that is fetched again replaces its folder.
+    """
+    newest = max(quarters)
+    folders = {q: f"{path.rstrip('/')}/quarter={q}" for q in quarters if q != newest}
+    at = lambda name: spark._jvm.org.apache.hadoop.fs.Path(name)
+    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    lacking = [q for q, folder in folders.items() if not files.exists(at(f"{folder}/_SUCCESS"))]
+    fresh = stored(fetch([*lacking, newest]), "quarters")
+    for q in lacking:
+        fresh.where(F.col("quarter") == q).drop("quarter").write.mode("overwrite").parquet(folders[q])
+    kind = fresh.schema["quarter"].dataType
+    bare = fresh.drop("quarter").schema
+    old = [spark.read.schema(bare).parquet(folder).withColumn("quarter", F.lit(q).cast(kind)) for q, folder in folders.items() if q not in lacking]
+    return reduce(lambda a, b: a.unionByName(b), old, fresh)
+
+
+#: The services' names, and the fields of each with the names and types they get here.
+SERVICES: dict[str, tuple[str, dict[str, str]]] = {
+    "sales": ("VwsmTrdarSelngQq", {"STDR_YYQU_CD": "quarter int", "TRDAR_CD": "district long", "TRDAR_SE_CD_NM": "district_type string", "SVC_INDUTY_CD": "industry string", "SVC_INDUTY_CD_NM": "industry_name string", "THSMON_SELNG_AMT": "sales double", "THSMON_SELNG_CO": "txns long"}),
+    "stores": ("VwsmTrdarStorQq", {"STDR_YYQU_CD": "quarter int", "TRDAR_CD": "district long", "SVC_INDUTY_CD": "industry string", "STOR_CO": "stores long"}),
+    "foot_traffic": ("VwsmTrdarFlpopQq", {"STDR_YYQU_CD": "quarter int", "TRDAR_CD": "district long", "TOT_FLPOP_CO": "traffic double"}),
+    "residents": ("VwsmTrdarRepopQq", {"STDR_YYQU_CD": "quarter int", "TRDAR_CD": "district long", "TOT_REPOP_CO": "residents double"}),
+    "workers": ("VwsmTrdarWrcPopltnQq", {"STDR_YYQU_CD": "quarter int", "TRDAR_CD": "district long", "TOT_WRC_POPLTN_CO": "workers double"}),
+    "events": ("culturalEventInfo", {"CODENAME": "kind string", "TITLE": "name string", "STRTDATE": "start date", "END_DATE": "end date", "LAT": "lat double", "LOT": "lon double"}),
+    "stations": ("TaimsKsccDvSubwayStationGeom", {"stnKrNm": "station string", "convX": "x double", "convY": "y double"}),
+    "big_stores": ("LOCALDATA_082501", {"APVPERMYMD": "opened date", "DCBYMD": "closed date", "X": "x double", "Y": "y double"}),
+    "districts": ("TbgisTrdarRelm", {"TRDAR_CD": "district long", "TRDAR_CD_NM": "name string", "TRDAR_SE_CD_NM": "district_type string", "XCNTS_VALUE": "x double", "YDNTS_VALUE": "y double", "RELM_AR": "area double"}),
+}
+
+
+def service_schema(service: str) -> str:
+    """The schema to read a service's text fields with."""
+    return ", ".join(f"`{field}` string" for field in SERVICES[service][1])
+
+
+def service_rows(raw: DataFrame, service: str) -> DataFrame:
+    """A service's text fields under their names and types here; what can't be cast is null, a missing field is null."""
+    there = {c.lower(): c for c in raw.columns}
+    text_of = lambda field: F.trim(F.col(f"`{there[field.lower()]}`")) if field.lower() in there else F.lit(None).cast("string")
+
+    def one(field: str, kind: str) -> Column:
+        text = text_of(field)
+        if kind == "date":
+            return F.coalesce(F.substring(text, 1, 10).try_cast("date"), F.try_to_timestamp(F.substring(text, 1, 8), F.lit("yyyyMMdd")).cast("date"))
+        return text.try_cast(kind)
+
+    return raw.select(*(one(field, kind).alias(name) for field, (name, kind) in ((f, v.split()) for f, v in SERVICES[service][1].items())))
+
+
 def quarter_codes(spark: SparkSession, first: int, last: int) -> DataFrame:
     """Every quarter code from ``first`` to ``last``."""
     from quillmart.functions.columns import code_of

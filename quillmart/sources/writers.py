@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quillmart.operators.checks import insert_ignore, upsert
-from quillmart.operators.storage import stored
+from quillmart.operators.storage import exclusive, replace, stored
 
 
 def csv_with_mark(df: DataFrame, path: str) -> None:
@@ -47,30 +47,34 @@ def append_receipts(heads: DataFrame, items: DataFrame, head_path: str, item_pat
     """Append receipts and their items under running ids, one after the largest that is there; returns the heads with ids.
 
     ``heads`` and ``items`` share the column ``image``. Items are written first: a failure between the two leaves items
-    without a receipt, which readers that join from receipts never see.
+    without a receipt, which readers that join from receipts never see. The lock of ``head_path`` is held throughout, so
+    two writers never give one id.
     """
     spark = heads.sparkSession
-    known = _present(spark, head_path, StructType.fromDDL("receipt long"))
-    last = known.agg(F.max("receipt").alias("m")).first()["m"] or 0
-    numbered = stored(with_ids(heads, "receipt", last, order), "receipts")
-    kept = items.join(numbered.select("image", "receipt"), "image").drop("image")
-    append(kept, item_path)
-    append(numbered, head_path)
+    with exclusive(spark, head_path):
+        known = _present(spark, head_path, StructType.fromDDL("receipt long"))
+        last = known.agg(F.max("receipt").alias("m")).first()["m"] or 0
+        numbered = stored(with_ids(heads, "receipt", last, order), "receipts")
+        kept = items.join(numbered.select("image", "receipt"), "image").drop("image")
+        append(kept, item_path)
+        append(numbered, head_path)
     return numbered
 
 
 def upsert_into(new: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """The table at ``path`` with the new rows in place of those of their keys, as a new folder; returns it read back."""
-    return stored(upsert(_present(new.sparkSession, path, new.schema), new, keys), "upserted")
+    """The table at ``path`` with the new rows in place of those of their keys, under its lock; returns it read back."""
+    with exclusive(spark := new.sparkSession, path):
+        return replace(spark, upsert(_present(spark, path, new.schema), new, keys), path)
 
 
 def insert_new(new: DataFrame, path: str, keys: list[str]) -> int:
-    """Append the rows whose key isn't at ``path`` yet; the number appended. Delivering a batch again appends nothing."""
-    base = _present(new.sparkSession, path, new.schema)
-    fresh = stored(insert_ignore(base.limit(0), new.join(base.select(*keys).distinct(), keys, "left_anti"), keys), "fresh")
-    n = fresh.count()
-    if n:
-        append(fresh, path)
+    """Append the rows whose key isn't at ``path`` yet, under its lock; the number appended. Delivering a batch again appends nothing."""
+    with exclusive(new.sparkSession, path):
+        base = _present(new.sparkSession, path, new.schema)
+        fresh = stored(insert_ignore(base.limit(0), new.join(base.select(*keys).distinct(), keys, "left_anti"), keys), "fresh")
+        n = fresh.count()
+        if n:
+            append(fresh, path)
     return n
 
 

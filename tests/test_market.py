@@ -166,3 +166,45 @@ def test_days_and_columns(spark):
     df = spark.createDataFrame([("31-12-2024", None), ("2024-02-30", None), ("2024-02-03", None)], "d string, empty string")
     assert [r.x for r in df.select(checks.parse_day(F.col("d")).alias("x")).collect()] == [dt.date(2024, 12, 31), None, dt.date(2024, 2, 3)]
     assert checks.without_null_columns(df).columns == ["d"]
+
+
+def test_moves_tell_rates_from_amounts(spark):
+    df = spark.createDataFrame([(1, "a", 1, 10.0, 0.25), (1, "a", 3, 15.0, 0.10), (2, "a", 1, 0.0, None), (2, "a", 2, 1.0, 0.5)], "district int, industry string, q int, sales double, share double")
+    got = {r.district: (r.sales_change, r.share_points) for r in panel.moves(df, ["sales"], ["share"]).collect()}
+    assert got[1] == (0.5, pytest.approx(-15.0))
+    assert got[2] == (None, None)
+
+
+def test_missing_quarter_is_an_error_row(spark):
+    df = spark.createDataFrame([(1, "a", 20241), (1, "a", 20242), (2, "a", 20241), (2, "a", 20243)], "district int, industry string, quarter int")
+    assert {r.district: (r.n, r.error) for r in panel.as_of_ledger(df, 20242).collect()} == {1: (2, None), 2: (1, "quarter_missing")}
+
+
+def test_what_if_moves_the_totals(spark):
+    df = spark.createDataFrame([(1, "a", 1, 10.0), (1, "b", 1, 5.0), (2, "a", 1, 7.0)], "district int, industry string, quarter int, sales double")
+    rows = panel.what_if(df, F.when((F.col("district") == 1) & (F.col("industry") == "a"), F.lit(-20.0))).collect()
+    assert {(r.district, r.industry): (r.sales, r.district_sales, r.industry_sales) for r in rows} == {(1, "a"): (0.0, 5.0, 7.0), (1, "b"): (5.0, 5.0, 5.0), (2, "a"): (7.0, 7.0, 7.0)}
+
+
+def test_quantiles_of_several_columns(spark):
+    x, y = [float(i * 37 % 101) for i in range(400)], [None if i % 3 else float(i) for i in range(400)]
+    df = spark.createDataFrame([(a, b, None) for a, b in zip(x, y, strict=True)], "x double, y double, z double")
+    probs = [0.0, 0.01, 0.5, 0.99, 1.0]
+    got = ranking.quantiles_of(df, {"x": probs, "y": [0.3], "z": [0.5]}, accuracy=50)
+    assert got["x"] == pytest.approx(list(np.quantile(x, probs)))
+    assert got["y"] == pytest.approx([np.quantile([v for v in y if v is not None], 0.3)])
+    assert got["z"] == [None]
+
+
+def test_peers_with_null_keys_are_a_group(spark):
+    df = spark.createDataFrame([(i, None, "t", float(i)) for i in range(5)], "k int, g string, h string, v double")
+    got = {r.k: (r.peers, r.v_z) for r in ranking.peer_z(df, ["v"], ["g"], ["g", "h"], least=3).collect()}
+    others = [1.0, 2.0, 3.0, 4.0]
+    assert got[0] == (4, pytest.approx((0 - np.mean(others)) / np.std(others, ddof=1)))
+
+
+def test_slopes_of_short_and_broken_series(spark):
+    df = spark.createDataFrame([(1, "a", 1, 3.0), (2, "a", 1, 1.0), (2, "a", 2, None), (2, "a", 4, 7.0)], "district int, industry string, q int, sales double")
+    got = {r.district: r.trend for r in panel.trend(df, panel.CELL, "sales", "q").collect()}
+    assert got[1] == 0.0
+    assert got[2] == pytest.approx(np.exp((np.log(8) - np.log(2)) / 2) - 1)

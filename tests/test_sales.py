@@ -9,7 +9,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillmart.operators import drivers, effects, expenses, receipts, spatial
+from quillmart.operators import checks, drivers, effects, expenses, leads, receipts, spatial
+from quillmart.operators.checks import InputError
 from quillmart.sources import tables
 
 DAY = dt.date(2024, 3, 10)
@@ -206,3 +207,31 @@ def test_forecast_by_hand(spark):
     df = spark.createDataFrame(pd.DataFrame({"item": ["a"] * 30 + ["b"], "value": [10.0] * 30 + [np.nan]})).replace(float("nan"), None)
     got = {r.item: (r.quantity, r.low, r.high, round(r.confidence, 2)) for r in expenses.forecast(df, None, 7).collect()}
     assert got == {"a": (70, 59, 81, 0.8), "b": (0, 0, 0, 0.7)}
+
+
+def test_periods_end_after_they_start():
+    day = dt.date(2024, 1, 10)
+    with pytest.raises(InputError):
+        drivers.Periods(day, day - dt.timedelta(1), day, day)
+    with pytest.raises(InputError):
+        drivers.Periods(day, day, day, day - dt.timedelta(1))
+
+
+def test_rows_out_of_order(spark):
+    df = spark.createDataFrame([(1, 1, 2, 5, 4), (2, 1, None, 5, 5), (3, 3, 2, 9, 1)], "k int, a int, b int, c int, d int")
+    assert {r.k: r.period for r in checks.out_of_order(df, [("a", "b"), ("c", "d")]).collect()} == {1: "c", 3: "a"}
+
+
+def test_dangling_references(spark):
+    df = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "k int, ref string")
+    assert [r.k for r in checks.dangling(df, "ref", spark.createDataFrame([("x",), ("x",)], "id string"), "id").collect()] == [2]
+
+
+def test_leads_that_are_handed_on(spark):
+    df = spark.createDataFrame([("a", "b", 1.0, None, "L"), (None, "b", 1.0, "M", "L"), ("a", None, 1.0, "M", "L"), ("a", "b", float("nan"), "M", "L"), ("c", "b", 2.0, "M", "L")], "name string, address string, final_score double, middle_class string, large_class string")
+    assert sorted((r.name, r.trade) for r in leads.to_records(df).collect()) == [("a", "L"), ("c", "M")]
+
+
+def test_score_medians(spark):
+    df = spark.createDataFrame([(1.0, None), (2.0, None), (4.0, None), (None, None)], "a double, b double")
+    assert tuple(leads.score_medians(df, ["a", "b"]).first()) == (2.0, None)

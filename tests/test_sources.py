@@ -57,6 +57,39 @@ def test_paged_service(spark, tmp_path):
     df = spark.read.format("paged").schema("A string, B string").option("url", f"file://{tmp_path}/{{quarter}}-{{page}}.json").option("pagesize", "2").option("quarters", "20241,20242").load()
     assert df.rdd.getNumPartitions() == 2
     assert sorted((r.A, r.B) for r in df.collect()) == [("10", None), ("11", None), ("20", None)]
+    one = spark.read.format("paged").schema("A string").option("url", f"file://{tmp_path}/{{quarter}}-{{page}}.json").option("pagesize", "2").option("quarters", "20241,20242").option("parallel", "1").load()
+    assert one.rdd.getNumPartitions() == 1
+    assert one.count() == 3
+
+
+def test_newest_quarter_is_always_fetched(spark, tmp_path):
+    asked = []
+
+    def fetch(quarters):
+        asked.append(quarters)
+        return spark.createDataFrame([(q, len(asked)) for q in quarters if q != 20242], "quarter int, v int")
+
+    read = lambda *quarters: sorted(tuple(r) for r in readers.cached_quarters(spark, f"{tmp_path}/cache", list(quarters), fetch).collect())
+    assert read(20241, 20242, 20243) == [(20241, 1), (20243, 1)]
+    assert read(20241, 20242, 20243) == [(20241, 1), (20243, 2)]
+    assert read(20241, 20243, 20244) == [(20241, 1), (20243, 3), (20244, 3)]
+    assert asked == [[20241, 20242, 20243], [20243], [20243, 20244]]
+
+
+def test_services_have_types(spark):
+    raw = spark.createDataFrame([("20241", " 7 ", "12.5", "x")], "STDR_YYQU_CD string, TRDAR_CD string, TOT_FLPOP_CO string, more string")
+    assert [tuple(r) for r in readers.service_rows(raw, "foot_traffic").collect()] == [(20241, 7, 12.5)]
+    raw = spark.createDataFrame([("2024-03-01 00:00:00.0", "20240302", "a"), (None, "soon", None)], "strtdate string, END_DATE string, TITLE string")
+    got = readers.service_rows(raw, "events").collect()
+    assert [(str(r.start), str(r.end), r.name, r.lat) for r in got] == [("2024-03-01", "2024-03-02", "a", None), ("None", "None", None, None)]
+    for service in readers.SERVICES:
+        assert readers.service_rows(spark.createDataFrame([], readers.service_schema(service)), service).count() == 0
+
+
+def test_xml_rows(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<answer><n>2</n><row><A>1</A><B>x</B></row><row><A>2</A></row></answer>")
+    got = readers.xml_rows(spark, f"{tmp_path}/a.xml", "row", "A int, B string").collect()
+    assert sorted((r.A, r.B) for r in got) == [(1, "x"), (2, None)]
 
 
 def test_passages_need_their_vectors(spark, tmp_path):
@@ -86,6 +119,29 @@ def test_idempotent_inserts_and_upserts(spark, tmp_path):
     assert writers.promoted(v).first().version == 2
 
 
+def test_writers_take_turns(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    heads = spark.createDataFrame([("i1", 2.0), ("i2", 1.0)], "image string, total double")
+    items = spark.createDataFrame([("i1", "a")], "image string, item string")
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda _: writers.append_receipts(heads, items, f"{tmp_path}/h", f"{tmp_path}/i", ["total"]), range(3)))
+    assert sorted(r.receipt for r in spark.read.parquet(f"{tmp_path}/h").collect()) == [1, 2, 3, 4, 5, 6]
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda k: writers.upsert_into(spark.createDataFrame([(k, "x"), (9, str(k))], "k int, v string"), f"{tmp_path}/t", ["k"]), range(3)))
+    assert sorted(r.k for r in spark.read.parquet(f"{tmp_path}/t").collect()) == [0, 1, 2, 9]
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["h", "i", "t"]
+
+
+def test_a_held_table_is_refused(spark, tmp_path):
+    from quillmart.operators.storage import exclusive
+
+    with exclusive(spark, f"{tmp_path}/t"), pytest.raises(TimeoutError), exclusive(spark, f"{tmp_path}/t", wait=0.2):
+        pass
+    with exclusive(spark, f"{tmp_path}/t", wait=0.2):
+        pass
+
+
 def test_grounding(spark):
     out = spark.createDataFrame([("a", "매출 12% 증가 [d1]. 요약 끝. 안내"), ("b", "매출 13% [d9]. 요약"), ("c", "요약 없음안내")], "k string, text string")
     allowed = spark.createDataFrame([("a", "12 %", "d1"), ("b", "12%", "d1")], "k string, value string, doc string")
