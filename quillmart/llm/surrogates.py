@@ -5,7 +5,8 @@ numbers, and names after a form of address are found by one expression that neve
 surrogate is a function of a key, the entity's type and its canonical form (lower case, digits without separators
 or country code), so every mention of an entity, however written, gets the same one: coreference holds across all
 documents and no text has to move. It keeps the mention's format: separators, digits as digits, letters in their
-case and script, octets in range, a card's check digit if it had one, a name's gender.
+case and script, octets in range, a card's check digit if it had one, a name's gender. A surname is an entity of its own: alone
+("Mr Smith") or after a given name ("Mr John Smith") it is replaced alike, so a short mention still points to the long one.
 
 Collisions are looked for over all distinct entities: where two have one surrogate, or a surrogate is itself an
 entity of the documents, all but the least draw again, until none is left. The few that drew again are joined to
@@ -163,20 +164,38 @@ def _card(m, numbers):
     return let(_shaped(m, numbers), checked)
 
 
-def _name(m, numbers, attempt):
-    """The address stays; two words get a given name by gender and script, the last one becomes syllables."""
+#: A given name and a surname in a canonical form, and what goes to leave the surname.
+_FULL, _FIRST = r"^NAME:[^ ]+ [^ ]+$", rf"((?:{MALE}|{FEMALE}|{ANY})\.? )[^ ]+ ([^ ]+)"
+
+
+def surname(entity):
+    """The canonical form of a whole name's surname; null for any other entity."""
+    return F.when(entity.rlike(_FULL), F.concat(F.lit("NAME:"), F.substring_index(entity, " ", -1)))
+
+
+def _name(m, numbers, attempt, family, key: str):
+    """The address stays; two words get a given name by gender and script, the last one becomes syllables.
+
+    The syllables come from the last word alone, as often drawn as ``family`` says where another word stands before it.
+    """
+    of = lambda names, x: F.get(F.array(*map(F.lit, names)), x % len(names))
+    script = lambda word, make: F.when(word.rlike(r"^\p{IsCyrillic}"), make("cyrillic")).otherwise(make("latin"))
+
+    def last(word, x, draws):
+        return F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), 4 + draws), lambda i: script(word, lambda s: of(SYLLABLES[s], _at(x, i)))), ""))
 
     def named(p):
         address, words = p["address"], p["words"]
-        known = F.get(words, F.lit(0)).isin(*(n for (_, g), names in GIVEN.items() if g == "f" for n in names))
+        word, final = F.get(words, F.lit(0)), F.get(words, F.size(words) - 1)
+        known = word.isin(*(n for (_, g), names in GIVEN.items() if g == "f" for n in names))
         # after an address for either: a listed name, or the ending of most given names of women
-        likely = known | (F.get(words, F.lit(0)).rlike(r"(?:a|ah|ie|ine|elle|ette|а|я)$") & (F.size(words) > 1))
+        likely = known | (word.rlike(r"(?:a|ah|ie|ine|elle|ette|а|я)$") & (F.size(words) > 1))
         female = address.rlike(rf"^(?:{FEMALE})\.? $") | (address.rlike(rf"^(?:{ANY})\.? $") & likely)
-        script = lambda make: F.when(F.get(words, F.lit(0)).rlike(r"^\p{IsCyrillic}"), make("cyrillic")).otherwise(make("latin"))
-        of = lambda names, x: F.get(F.array(*map(F.lit, names)), x % len(names))
-        first = script(lambda s: F.when(female, of(GIVEN[s, "f"], _at(numbers, F.lit(0)))).otherwise(of(GIVEN[s, "m"], _at(numbers, F.lit(0)))))
-        last = F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), 4 + attempt), lambda i: script(lambda s: of(SYLLABLES[s], _at(numbers, i)))), ""))
-        return F.concat(address, F.when(F.size(words) > 1, F.concat(first, F.lit(" "))).otherwise(""), last)
+        given = lambda i: script(word, lambda s: F.when(female, of(GIVEN[s, "f"], _at(numbers, i))).otherwise(of(GIVEN[s, "m"], _at(numbers, i))))
+        # a given name gets a further part with every draw that collided
+        first = F.array_join(F.transform(F.sequence(F.lit(0), attempt), given), "-")
+        whole = F.concat(address, first, F.lit(" "), let(_bytes(key, F.concat(F.lit("NAME:"), final), family), lambda x: last(final, x, family)))
+        return F.when(F.size(words) > 1, whole).otherwise(F.concat(address, last(final, numbers, attempt)))
 
     def parted(address):
         return let(F.struct(address.alias("address"), F.split(F.substring(m, F.length(address) + 1, F.length(m)), " ").alias("words")), named)
@@ -184,15 +203,15 @@ def _name(m, numbers, attempt):
     return let(F.regexp_extract(m, rf"^(?:{MALE}|{FEMALE}|{ANY})\.? ", 0), parted)
 
 
-def surrogate(m, attempt, key: str):
-    """The replacement of a mention; ``attempt`` counts the draws of its entity that collided."""
+def surrogate(m, attempt, family, key: str):
+    """The replacement of a mention; ``attempt`` counts the draws of its entity that collided, ``family`` those of a whole name's surname."""
 
     def drawn(m, k, numbers):
         upper = (m == F.upper(m)) & m.rlike("[A-Z]")
         return (
             F.when(k == "EMAIL", let(_email(m, numbers, attempt, key), lambda x: F.when(upper, F.upper(x)).otherwise(x))).when(k == "SECRET", _shaped(m, numbers, 0, 6))
             .when(k == "IBAN", _iban(m, numbers)).when(k == "IP", _ip(m, numbers, attempt)).when(k == "PHONE", _phone(m, numbers)).when(k == "CARD", _card(m, numbers))
-            .when(k == "SSN", _shaped(m, numbers)).otherwise(_name(m, numbers, attempt))
+            .when(k == "SSN", _shaped(m, numbers)).otherwise(_name(m, numbers, attempt, family, key))
         )
 
     return let(m, lambda m: let(kind(m), lambda k: let(_bytes(key, F.concat_ws(":", k, _form(m, k)), attempt), lambda numbers: drawn(m, k, numbers))))
@@ -202,29 +221,42 @@ def _mentions(text):
     return F.when(text.rlike(_QUICK), F.regexp_extract_all(text, F.lit(ALL), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def collisions(mentions: DataFrame, key: str, rounds: int = 60) -> DataFrame:
-    """entity, attempt of the entities among ``mentions(m)`` whose first surrogate another one has, or is an entity itself.
-
-    Draws go on until no collision is left; forms with few surrogates widen. If ``rounds`` don't suffice it is an error.
-    """
-    # one mention stands for its entity: the least
-    entities = stored(mentions.select("m", canonical(F.col("m")).alias("entity")).groupBy("entity").agg(F.min("m").alias("m")), "entities")
-    given = entities.select("entity", "m", F.lit(0).alias("attempt"))
+def _apart(entities: DataFrame, key: str, rounds: int) -> DataFrame | None:
+    """entity, attempt of those of the distinct ``entities(entity, m, family)`` that have to draw again; None if none has."""
+    given = entities.withColumn("attempt", F.lit(0))
     moved = None
     for _ in range(rounds):
         # given names and addresses vary with the mention, so names are told apart by what stands for the entity
-        drawn = given.withColumn("s", canonical(surrogate(F.col("m"), F.col("attempt"), key)))
+        drawn = given.withColumn("s", canonical(surrogate(F.col("m"), F.col("attempt"), F.col("family"), key)))
         alike = drawn.groupBy("s").agg(F.count("*").alias("n"), F.min("entity").alias("least")).where("n > 1")
         taken = drawn.join(alike.select("s", "least"), "s").where("entity <> least").select("entity")
         real = drawn.join(entities.select(F.col("entity").alias("s")), "s", "left_semi").select("entity")
         again = stored(taken.union(real).distinct(), "collisions")
         if again.isEmpty():
-            break
-        given = stored(given.join(again.withColumn("more", F.lit(1)), "entity", "left").select("entity", "m", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")), "draws")
+            return moved
+        more = again.withColumn("more", F.lit(1))
+        given = stored(given.join(more, "entity", "left").select("entity", "m", "family", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")), "draws")
         moved = given.where("attempt > 0").select("entity", "attempt")
-    else:
-        raise RuntimeError(f"surrogates still collide after {rounds} draws")
-    return moved if moved is not None else given.where("attempt > 0").select("entity", "attempt").limit(0)
+    raise RuntimeError(f"surrogates still collide after {rounds} draws")
+
+
+def collisions(mentions: DataFrame, key: str, rounds: int = 60) -> DataFrame | None:
+    """entity, attempt of the entities among ``mentions(m)`` whose first surrogate another one has, or is an entity itself; None if there are none.
+
+    Draws go on until no collision is left; forms with few surrogates widen. If ``rounds`` don't suffice it is an error.
+    Surnames and all that isn't a whole name are settled first, then whole names with the surnames that came out.
+    """
+    # one mention stands for its entity: the least
+    entities = stored(mentions.select("m", canonical(F.col("m")).alias("entity")).groupBy("entity").agg(F.min("m").alias("m")), "entities")
+    whole = entities.withColumn("surname", surname(F.col("entity"))).where("surname is not null")
+    short = whole.select(F.col("surname").alias("entity"), F.regexp_replace("m", f"^{_FIRST}$", "$1$2").alias("m"))
+    single = entities.where(~F.col("entity").rlike(_FULL)).unionByName(short).groupBy("entity").agg(F.min("m").alias("m"))
+    moved = _apart(stored(single.withColumn("family", F.lit(0)), "entities"), key, rounds)
+    draws = whole.withColumn("family", F.lit(0))
+    if moved is not None:
+        draws = whole.join(moved.withColumnRenamed("entity", "surname"), "surname", "left").withColumn("family", F.coalesce("attempt", F.lit(0)))
+    draws = _apart(stored(draws.select("entity", "m", "family"), "entities"), key, rounds)
+    return draws if moved is None else moved if draws is None else moved.union(draws)
 
 
 def replace(docs: DataFrame, key: str, found: str = "_found") -> DataFrame:
@@ -237,13 +269,15 @@ def replace(docs: DataFrame, key: str, found: str = "_found") -> DataFrame:
     rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"), docs["doc_id"].alias("_doc"), text.alias("_text"))
     rows = rows.withColumn("_m", _mentions(F.col("_text")))
     moved = collisions(rows.select(F.explode("_m").alias("m")), key)
-    if moved.isEmpty():
-        fresh = F.transform("_m", lambda m: surrogate(m, F.lit(0), key))
+    if moved is None:
+        fresh = F.transform("_m", lambda m: surrogate(m, F.lit(0), F.lit(0), key))
     else:
         named = rows.select("_doc", F.explode(F.array_distinct("_m")).alias("m")).select("_doc", canonical(F.col("m")).alias("entity"))
+        named = named.select("_doc", F.explode(F.array_compact(F.array("entity", surname(F.col("entity"))))).alias("entity"))
         redrawn = named.join(moved, "entity").distinct().groupBy("_doc").agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias("_again"))
         rows = rows.join(redrawn.withColumnRenamed("_doc", "_key"), rows["_doc"].eqNullSafe(F.col("_key")), "left")
-        fresh = F.transform("_m", lambda m: surrogate(m, F.coalesce(F.element_at("_again", canonical(m)), F.lit(0)), key))
+        draws = lambda entity: F.coalesce(F.element_at("_again", F.coalesce(entity, F.lit(""))), F.lit(0))
+        fresh = F.transform("_m", lambda m: let(canonical(m), lambda e: surrogate(m, draws(e), draws(surname(e)), key)))
     between = F.split("_text", ALL)
     out = F.concat(F.get(between, F.lit(0)), F.array_join(F.transform(fresh, lambda s, i: F.concat(s, F.get(between, i + 1))), ""))
     new = F.when(F.size("_m") == 0, F.col("_row.text")).otherwise(out)

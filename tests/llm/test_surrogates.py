@@ -104,3 +104,15 @@ def test_a_form_that_is_used_up_widens(spark):
     rows = spark.createDataFrame([(i, f"{c}@example.com") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")], "doc_id long, text string")
     got = [r.text for r in surrogates.replace(rows, "k").collect()]
     assert len(set(got)) == 26 and not set(got) & {f"{c}@example.com" for c in "abcdefghijklmnopqrstuvwxyz"}
+
+
+def test_a_surname_alone_points_to_the_whole_name(spark):
+    """Many given names of one surname stay apart; the surname is replaced alike everywhere, and planted mentions go."""
+    first = [a + b for a in ("Bar", "Cor", "Dal", "Fen", "Gor") for b in ("an", "en", "in", "on", "un", "yn", "el", "il")]
+    texts = [f"Mr {f} Quandt met Mr. Quandt and Mrs {f[::-1].title()} Olmstead; Herr Olmstead left" for f in first]
+    out = replaced(spark, *texts)
+    got = [re.fullmatch(r"Mr ([\w-]+) (\w+) met Mr\. (\w+) and Mrs ([\w-]+) (\w+); Herr (\w+) left", t).groups() for t in out]
+    assert {(g[1], g[2]) for g in got} == {(got[0][1], got[0][1])} and {(g[4], g[5]) for g in got} == {(got[0][4], got[0][4])}
+    assert got[0][1] != got[0][4] and not {"Quandt", "Olmstead"} & {x for g in got for x in g}
+    assert len({g[0] for g in got}) == len({g[3] for g in got}) == len(first)
+    assert all(set(g[0].split("-")) <= set(surrogates.GIVEN["latin", "m"]) and set(g[3].split("-")) <= set(surrogates.GIVEN["latin", "f"]) for g in got)
