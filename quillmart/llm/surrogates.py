@@ -181,9 +181,6 @@ def _name(m, numbers, attempt, family, key: str):
     of = lambda names, x: F.get(F.array(*map(F.lit, names)), x % len(names))
     script = lambda word, make: F.when(word.rlike(r"^\p{IsCyrillic}"), make("cyrillic")).otherwise(make("latin"))
 
-    def last(word, x, draws):
-        return F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), 4 + draws), lambda i: script(word, lambda s: of(SYLLABLES[s], _at(x, i)))), ""))
-
     def named(p):
         address, words = p["address"], p["words"]
         word, final = F.get(words, F.lit(0)), F.get(words, F.size(words) - 1)
@@ -194,8 +191,11 @@ def _name(m, numbers, attempt, family, key: str):
         given = lambda i: script(word, lambda s: F.when(female, of(GIVEN[s, "f"], _at(numbers, i))).otherwise(of(GIVEN[s, "m"], _at(numbers, i))))
         # a given name gets a further part with every draw that collided
         first = F.array_join(F.transform(F.sequence(F.lit(0), attempt), given), "-")
-        whole = F.concat(address, first, F.lit(" "), let(_bytes(key, F.concat(F.lit("NAME:"), final), family), lambda x: last(final, x, family)))
-        return F.when(F.size(words) > 1, whole).otherwise(F.concat(address, last(final, numbers, attempt)))
+        # a surname alone is its own entity, so either way its draws are keyed by it
+        draws = F.when(F.size(words) > 1, family).otherwise(attempt)
+        syllables = lambda x: F.transform(F.sequence(F.lit(1), 4 + draws), lambda i: script(final, lambda s: of(SYLLABLES[s], _at(x, i))))
+        last = let(_bytes(key, F.concat(F.lit("NAME:"), final), draws), lambda x: F.initcap(F.array_join(syllables(x), "")))
+        return F.concat(address, F.when(F.size(words) > 1, F.concat(first, F.lit(" "))).otherwise(""), last)
 
     def parted(address):
         return let(F.struct(address.alias("address"), F.split(F.substring(m, F.length(address) + 1, F.length(m)), " ").alias("words")), named)
