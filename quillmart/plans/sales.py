@@ -302,14 +302,16 @@ def metric_changes(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH k AS (SELECT event_type || '-' || CAST(user_id % 40 AS VARCHAR) AS keyword, ts >= TIMESTAMP '2024-01-16' AS now FROM events WHERE user_id % 7 <> 3 OR ts >= TIMESTAMP '2024-01-16'),
+    """WITH k AS (SELECT CASE WHEN user_id % 7 = 3 AND ts < TIMESTAMP '2024-01-16' THEN 'past-' ELSE '' END || event_type || '-' || CAST(user_id % 40 AS VARCHAR) AS keyword, ts >= TIMESTAMP '2024-01-16' AS now FROM events),
 c AS (SELECT keyword, CAST(count(*) FILTER (now) AS BIGINT) AS n, CAST(count(*) FILTER (NOT now) AS BIGINT) AS before FROM k GROUP BY keyword)
 SELECT keyword, n, before, before = 0 AS is_new, CASE WHEN before > 0 THEN (n - before) / before * 100.0::DOUBLE END AS change_pct FROM c WHERE n > 0""",
     "change_pct",
 )
 def keyword_trends(t: Tables) -> DataFrame:
     """Counts of this stretch against the one before, new ones marked."""
-    rows = t.events.where("user_id % 7 <> 3 OR ts >= TIMESTAMP '2024-01-16'").select(F.concat_ws("-", "event_type", (F.col("user_id") % 40).cast("string")).alias("keyword"), (F.col("ts") >= F.lit("2024-01-16").cast("timestamp")).alias("now"))
+    now = F.col("ts") >= F.lit("2024-01-16").cast("timestamp")
+    past = F.when((F.col("user_id") % 7 == 3) & ~now, "past-").otherwise("")
+    rows = t.events.select(F.concat(past, "event_type", F.lit("-"), (F.col("user_id") % 40).cast("string")).alias("keyword"), now.alias("now"))
     count = lambda df: df.groupBy("keyword").agg(F.count("*").alias("n"))
     return effects.keyword_trend(count(rows.where("now")), count(rows.where("not now")))
 

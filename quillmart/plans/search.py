@@ -181,15 +181,16 @@ def hero_similarity(t: Tables) -> DataFrame:
     return leads.similarity(c, best, "lead", ["growth", "reviews"])
 
 
-REVIEWED = f"""{LEADS}, s AS (SELECT lead, growth_score, traffic_score, 50.0::DOUBLE AS similarity FROM scored), st AS (SELECT c_custkey AS lead, (c_custkey % 40)::DOUBLE AS review_count, 3 + c_custkey % 20 / 10.0::DOUBLE AS avg_rating, CASE WHEN c_custkey % 9 <> 0 THEN c_custkey % 90 END AS days_since, -(c_custkey % 13)::DOUBLE AS review_trend FROM customer WHERE c_custkey % 4 <> 0),
+REVIEWED = f"""{LEADS}, s AS (SELECT lead, growth_score, traffic_score, 50.0::DOUBLE AS similarity FROM scored), st AS (SELECT CASE WHEN c_custkey % 4 <> 0 THEN c_custkey ELSE -c_custkey END AS lead, (c_custkey % 40)::DOUBLE AS review_count, 3 + c_custkey % 20 / 10.0::DOUBLE AS avg_rating, CASE WHEN c_custkey % 9 <> 0 THEN c_custkey % 90 END AS days_since, -(c_custkey % 13)::DOUBLE AS review_trend FROM customer),
 j AS (SELECT s.*, st.review_count AS rc, coalesce(review_count, 0) AS a, coalesce(avg_rating, 0) AS b, -coalesce(days_since, (SELECT max(days_since) FROM st))::DOUBLE AS c, coalesce(review_trend, 0) AS d FROM s LEFT JOIN st ON s.lead = st.lead),
 k AS (SELECT *, 100 * (0.4 * {PCT.format("a")} + 0.3 * {PCT.format("b")} + 0.2 * {PCT.format("c")} + 0.1 * {PCT.format("d")}) AS review_score FROM j)"""
 
 
 @query(f"WITH {REVIEWED} SELECT lead, review_score, growth_score * 0.30 + traffic_score * 0.25 + review_score * 0.20 + similarity * 0.25 AS final_score FROM k WHERE rc IS NOT NULL", "review_score final_score")
 def reviewed_leads(t: Tables) -> DataFrame:
+    """Every fourth customer's reviews stand under a key that is no lead, so those leads have none."""
     k = F.col("c_custkey")
-    stats = t.customer.where("c_custkey % 4 <> 0").select(k.alias("lead"), (k % 40).cast("double").alias("review_count"), (3 + k % 20 / 10).alias("avg_rating"), F.when(k % 9 != 0, (k % 90)).alias("days_since"), (-(k % 13)).cast("double").alias("review_trend"))
+    stats = t.customer.select(F.when(k % 4 != 0, k).otherwise(-k).alias("lead"), (k % 40).cast("double").alias("review_count"), (3 + k % 20 / 10).alias("avg_rating"), F.when(k % 9 != 0, (k % 90)).alias("days_since"), (-(k % 13)).cast("double").alias("review_trend"))
     scored = _leads(t).select("lead", "growth_score", "traffic_score", F.lit(50.0).alias("similarity"))
     return leads.with_reviews(scored, stats, "lead").select("lead", "review_score", "final_score")
 
