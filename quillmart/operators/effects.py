@@ -95,10 +95,20 @@ def keyword_trend(now: DataFrame, before: DataFrame) -> DataFrame:
     return both.select("keyword", "n", "before", (F.col("before") == 0).alias("is_new"), (ratio(F.col("n") - F.col("before"), F.col("before")) * 100).alias("change_pct"))
 
 
-def reward(before: Column, after: Column, cost_before: Column, cost_after: Column, campaign: Column, days_before: Column, days_after: Column, floor: float = 100_000.0) -> Column:
-    """Relative change of contribution, the base at least ``floor``; null where something is missing or the stretches differ in length."""
+def reward(before: Column, after: Column, cost_before: Column, cost_after: Column, campaign: Column, days_before: Column, days_after: Column, floor: float = 1.0) -> Column:
+    """Relative change of contribution, the base at least ``floor``; null unless ``reward_status`` is complete."""
     base, now = before - cost_before, after - cost_after - campaign
-    return F.when(days_before == days_after, (now - base) / F.greatest(F.abs(base), F.lit(floor)))
+    whole = reward_status(before, after, cost_before, cost_after, campaign, days_before, days_after) == "complete"
+    return F.when(whole, (now - base) / F.greatest(F.abs(base), F.lit(floor)))
+
+
+def reward_status(before: Column, after: Column, cost_before: Column, cost_after: Column, campaign: Column, days_before: Column, days_after: Column) -> Column:
+    """complete; missing where an input is null; invalid for negative costs or stretches without days; unequal stretches."""
+    missing = F.lit(False)
+    for c in (before, after, cost_before, cost_after, campaign, days_before, days_after):
+        missing = missing | c.isNull()
+    invalid = (F.least(cost_before, cost_after, campaign) < 0) | (F.least(days_before, days_after) <= 0)
+    return F.when(missing, "missing").when(invalid, "invalid").when(days_before != days_after, "unequal").otherwise("complete")
 
 
 def aspects(logits: DataFrame, labels: list[str], none: str = "none") -> DataFrame:

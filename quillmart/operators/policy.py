@@ -138,11 +138,73 @@ def estimates(log: DataFrame, context: list[str], policy: dict[str, float] | str
     return rows.agg(F.avg("_dm").alias("dm"), F.avg("influence").alias("dr"))
 
 
+def recovered(log: DataFrame, truth: DataFrame, errors: float = 4.0) -> DataFrame:
+    """The value of always taking each action of ``truth(problem, arm, truth)``, as the log's weights have it.
+
+    Returns problem, arm, truth, n (decisions on the problem), taken, plain (mean reward where taken), ips, snips, ess, se
+    (of snips) and whether the truth lies within so many ``errors`` of snips. Each action's sums come from its own rows,
+    so the log is read once and no row is multiplied by the actions.
+    """
+    r, w = F.col("reward"), 1 / F.col("propensity")
+    own = log.groupBy("problem", "arm").agg(
+        F.count("*").alias("taken"), F.avg(r).alias("plain"), F.sum(w).alias("w"), F.sum(w * w).alias("ww"), F.sum(w * r).alias("wr"), F.sum(w * w * r).alias("wwr"), F.sum(w * w * r * r).alias("wwrr"),
+    )
+    total = own.groupBy("problem").agg(F.sum("taken").alias("n"))
+    rows = truth.join(own, ["problem", "arm"], "left").join(total, "problem", "left").withColumn("snips", ratio(F.col("wr"), F.col("w")))
+    spread = F.greatest(F.lit(0.0), F.col("wwrr") - 2 * F.col("snips") * F.col("wwr") + F.col("snips") * F.col("snips") * F.col("ww"))
+    rows = rows.withColumn("se", F.sqrt(spread) / F.col("w"))
+    return rows.select(
+        "problem", "arm", "truth", "n", F.coalesce("taken", F.lit(0)).alias("taken"), "plain", (F.col("wr") / F.col("n")).alias("ips"), "snips", (F.col("w") * F.col("w") / F.col("ww")).alias("ess"), "se",
+        (F.abs(F.col("snips") - F.col("truth")) <= errors * F.col("se")).alias("recovered"),
+    )
+
+
+def even_fold(folds: int) -> Column:
+    """A cluster's fold by a hash that other engines have too."""
+    return F.pmod(F.conv(F.substring(F.md5(F.col("cluster").cast("string")), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
+
+
+def recovered_robustly(log: DataFrame, truth: DataFrame, context: list[str], folds: int = 5, alpha: float = 0.1, errors: float = 4.0) -> DataFrame:
+    """Direct and doubly robust value of always taking each action of ``truth(problem, arm, truth)``.
+
+    Returns problem, arm, truth, n, dm, dr, se (of dr) and whether the truth lies within so many ``errors`` of dr. Residuals
+    come from models that haven't seen the row's cluster. A row adds to another action's estimate its modelled value
+    only, and that is linear in (1, context): its sum and sum of squares follow from the moments, so two passes over the log
+    serve all actions of all problems, and each row is counted with its own action alone.
+    """
+    d = len(context) + 1
+    sums: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+    for row in arm_moments(log.withColumn("_fold", even_fold(folds)), context, ["problem", "arm", "_fold"]).collect():
+        sums[row["problem"], row["arm"], row["_fold"]] = _matrices(row, d)
+    total, whole = {}, {}
+    for (p, a, _), (m, v) in sums.items():
+        total[p, a] = [x + y for x, y in zip(total.get((p, a), (0, 0)), (m, v), strict=True)]
+        whole[p] = whole.get(p, 0) + m
+    eye = alpha * np.eye(d)
+    models = {f"{p}|{a}": np.linalg.solve(m + eye, v) for (p, a), (m, v) in total.items()}
+    fits = {}
+    for (p, a), (m, v) in total.items():
+        for f in range(folds):
+            mine = sums.get((p, a, f), (0, 0))
+            fits[f"{p}|{a}|{f}"] = np.linalg.solve(m - mine[0] + eye, v - mine[1])
+    key = F.concat_ws("|", "problem", "arm")
+    rest = (F.col("reward") - _predicted(fits, F.concat_ws("|", key, even_fold(folds).cast("string")), context)) / F.col("propensity")
+    own = log.select("problem", "arm", rest.alias("r"), _predicted(models, key, context).alias("v")).groupBy("problem", "arm")
+    own = own.agg(F.sum("r").alias("r"), F.sum(F.col("r") * F.col("r")).alias("rr"), F.sum(F.col("r") * F.col("v")).alias("rv"))
+    known = [(*k.split("|"), float(m[0, 0]), float(t @ m[0]), float(t @ m @ t)) for k, t in models.items() for m in [whole[k.split("|")[0]]]]
+    known = log.sparkSession.createDataFrame(known, "problem string, arm string, n double, v double, vv double")
+    n, mean = F.col("n"), (F.col("v") + F.col("r")) / F.col("n")
+    rows = truth.join(known, ["problem", "arm"], "left").join(own, ["problem", "arm"], "left")
+    spread = F.greatest(F.lit(0.0), (F.col("vv") + 2 * F.col("rv") + F.col("rr") - n * mean * mean) / (n - 1))
+    rows = rows.withColumns({"dm": F.col("v") / n, "dr": mean, "se": F.sqrt(spread / n)})
+    return rows.select("problem", "arm", "truth", n.cast("long").alias("n"), "dm", "dr", "se", (F.abs(F.col("dr") - F.col("truth")) <= errors * F.col("se")).alias("recovered"))
+
+
 def poisson(cluster: Column, draw: Column, seed: int) -> Column:
     """A Poisson(1) count for a cluster and draw, from a hash: the same wherever and however often it is computed."""
     u = (F.pmod(F.xxhash64(F.lit(seed), draw, cluster), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     steps, p, total = [], float(np.exp(-1)), 0.0
-    for k in range(9):
+    for k in range(16):  # beyond 15 no step of u is left
         total += p
         steps.append(total)
         p /= k + 1
