@@ -75,7 +75,7 @@ NARROW = Scheme()
 #: Five-word shingles at a similarity of 0.8: the cosine of two sets is then 2 * 0.8 / 1.8 and 15.15 % of bits differ,
 #: 58.2 with a standard deviation of 7; 80 is three of them more. Equal blocks of 24 bits, 240 times, find candidates.
 WIDE = Scheme(words=5, blocks=240, width=24, radius=0, limit=80, bits=384, similarity=0.8)
-#: Two members of a small key group meet only if these few bits differ in no more than so many: 4.8 at 0.8, 16 by chance.
+#: Two members of a key group of whole blocks meet only if, of so many bits, no more than so many differ: 4.8 at 0.8, 16 by chance.
 SKETCH, SKETCHED = 32, 12
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -213,7 +213,10 @@ def _shared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _alike(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Shared rows but for those of small groups that are near no other of the group by their sketches."""
+    """Shared rows but for some that are near no other of their group by their sketches, and so can be in no pair.
+
+    Only whole small groups inside a frame are looked at; others are left to ``_linked``, which asks the same of pairs.
+    """
     for f in frames:
         key, sketch, keep = f["key"].to_numpy(), f["sketch"].to_numpy(), np.ones(len(f), bool)
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -239,7 +242,10 @@ def _linked(frames: Iterator[pd.DataFrame], scheme: Scheme) -> Iterator[pd.DataF
         a, b = [], []
 
         def near(i, j):  # noqa: B023
-            return (np.bitwise_count(lanes[i] ^ lanes[j]).sum(-1) <= scheme.limit) & ~((cleared[i] == 1) & (cleared[j] == 1)) & (ids[i] != ids[j])  # noqa: B023
+            differs = lanes[i] ^ lanes[j]  # noqa: B023
+            ok = (np.bitwise_count(differs).sum(-1) <= scheme.limit) & ~((cleared[i] == 1) & (cleared[j] == 1)) & (ids[i] != ids[j])  # noqa: B023
+            # the sketch decides pairs, so what ``_alike`` left out beforehand changes nothing
+            return ok if scheme.radius else ok & (np.bitwise_count(differs[..., 0] & np.uint64((1 << SKETCH) - 1)) <= SKETCHED)
 
         for n in np.unique(size[(size > 1) & (size <= SMALL)]):
             at = first[size == n]

@@ -169,3 +169,38 @@ def test_wide_scheme_counts_sets_not_repeats(spark):
         want |= {10 * i + k: 10 * i + 1 for k in (1, 2, 3)} | {10 * i + 4: 10 * i + 4}
     got = {r.doc_id: r.component_id for r in simhash.classes(frame(spark, rows), WIDE).collect()}
     assert got == want
+
+
+def test_links_are_the_same_however_frames_are_cut(spark, monkeypatch):
+    """Which pairs of wide fingerprints are candidates depends on the two alone: on no frame, batch or group size."""
+    draw = np.random.default_rng(11)
+    base = draw.integers(0, 2, (12, 384))
+    rows = []
+    for i in range(240):
+        bits = base[i % 12].copy()
+        flip = draw.permutation(np.arange(32, 384))[: draw.integers(5, 45)]
+        bits[np.concatenate([flip, draw.permutation(32)[: draw.integers(0, 16)]])] ^= 1
+        rows.append([i, *np.packbits(bits, bitorder="little").view("<i8").tolist()])
+    nodes = spark.createDataFrame(rows, "id long, " + ", ".join(f"f{k} long" for k in range(6)))
+    lanes = np.array([r[1:] for r in rows], np.int64).view(np.uint64)
+    bits = np.unpackbits(np.ascontiguousarray(lanes).view(np.uint8), axis=1, bitorder="little")
+    want = set()
+    for i in range(240):
+        for j in range(i):
+            block = any((bits[i][at] == bits[j][at]).all() for at in WIDE.places)
+            if block and (bits[i] != bits[j]).sum() <= WIDE.limit and (bits[i][:32] != bits[j][:32]).sum() <= simhash.SKETCHED:
+                want.add((i, j))
+
+    def reached(pairs):
+        root = list(range(240))
+        for a, b in sorted(pairs):
+            root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+        return root
+
+    assert len(want) > 200
+    for batch, small in (("2", 16), ("37", 16), ("10000", 16), ("10000", 3), ("5", 300)):
+        monkeypatch.setattr(simhash, "SMALL", small)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = {(max(r.a, r.b), min(r.a, r.b)) for r in simhash.links(nodes, WIDE).collect()}
+        assert reached(got) == reached(want) and (got == want or small < 300)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
