@@ -3,7 +3,8 @@
 Texts and items are compared as lower-cased words joined by single spaces. An item of m characters may differ by
 k = floor(rate * m) edits; cut into k + 1 pieces, at least one piece of it stands unchanged in any passage within
 k edits. An Aho-Corasick automaton finds all pieces of all items in one pass over a text, and Myers' bit-parallel
-distance, one machine-independent integer per item, decides each window that a piece points at.
+distance, one machine-independent integer per item, decides each window that a piece points at. An item of fewer than
+``WHOLE`` characters is found only as it stands, as whole words.
 
 Documents are streamed where they lie: nothing of them is shuffled. Items travel to the tasks in groups of at most
 about ``GROUP_CHARS`` characters, one pass over the documents a group, so what is sent stays bounded however long
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quillmart.llm.common import text_of
 
-RATE, MIN_CHARS, GROUP_CHARS = 0.08, 24, 4_000_000
+RATE, WHOLE, GROUP_CHARS = 0.08, 24, 4_000_000
 _GAP, _WORD = re.compile(r"[\W_]+"), re.compile(r"[^\W_]+")
 SCHEMA = "doc_id long, item_id long, distance int, start long, length long"
 
@@ -72,7 +73,7 @@ class Items:
         pieces: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             m = len(text)
-            k = int(rate * m)
+            k = int(rate * m) if m >= WHOLE else 0
             self.items.append((item_id, text, k, bits_of(text), bits_of(text[::-1])))
             cuts = [m * i // (k + 1) for i in range(k + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
@@ -93,6 +94,11 @@ class Items:
         for last, at in self.search.iter(words):
             for i, b in at:
                 _, item, k, bits, back = self.items[i]
+                if len(item) < WHOLE:
+                    s, e = last + 1 - len(item), last + 1
+                    if i not in best and (s == 0 or words[s - 1] == " ") and (e == len(words) or words[e] == " "):
+                        best[i] = (0, s, e)
+                    continue
                 diagonal = last + 1 - b
                 band = diagonal // (k + 1)
                 if (i, band) in done:
@@ -125,25 +131,27 @@ class Items:
         return sorted(out)
 
 
-def _groups(benchmark: DataFrame, min_chars: int) -> Iterator:
+def _groups(benchmark: DataFrame) -> Iterator:
     """Broadcast groups of (item_id, normalised text), each of a bounded size."""
     items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text"))
     n = 1 + int(items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) // GROUP_CHARS
     for g in range(n):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == g).distinct().collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(sorted((r.item_id, t) for r in part if len(t := normal(r.text)) >= min_chars))
+        yield benchmark.sparkSession.sparkContext.broadcast(sorted((r.item_id, t) for r in part if (t := normal(r.text))))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE) -> DataFrame:
     """One row per document and item within ``rate`` edits a character: doc_id, item_id, distance, start, length.
 
-    start and length give the best passage in the text, widened to whole words. Items with fewer than ``min_chars``
-    characters once normalised, null ones included, are no evidence and take no part. Null and empty texts match
-    nothing; rows with null or repeated doc_ids are searched as rows of their own; other columns are ignored.
+    start and length give the best passage in the text, of equal ones the first, widened to whole words; an item that
+    stands twice is one row, and items that match the same passage have a row each. Items of fewer than ``WHOLE``
+    characters once normalised match only whole words equal to them; items without any letter or digit, null ones
+    included, match nothing. Texts are searched whole, whatever their length; null and empty ones match nothing; rows
+    with null or repeated doc_ids are searched as rows of their own; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     out = None
-    for sent in _groups(benchmark, min_chars):
+    for sent in _groups(benchmark):
 
         def run(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             search = Items(sent.value, rate)
@@ -157,10 +165,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, min_ch
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE) -> DataFrame:
     """The rows of ``docs`` whose text holds no item's passage, all columns kept; texts don't move."""
     out = docs
-    for sent in _groups(benchmark, min_chars):
+    for sent in _groups(benchmark):
 
         def leaks(parts: Iterator[pd.Series], sent=sent) -> Iterator[pd.Series]:
             search = Items(sent.value, rate)

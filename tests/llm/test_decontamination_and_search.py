@@ -65,13 +65,21 @@ def test_op6_spans_and_odd_rows(spark):
     long = "filler words " * 60000
     docs = frame(spark, [(1, None), (2, ""), (3, "Before; THE QUICK--brown fox jumped over the lazy dog again! after"), (None, item), (5, long + item), (5, long + item), (6, "short one")])
     rows = d.matches(docs, bench).collect()
-    assert sorted((r.doc_id or 0, r.item_id, r.distance) for r in rows) == [(0, 1, 0), (3, 1, 2), (5, 1, 0), (5, 1, 0)]
+    assert sorted((r.doc_id or 0, r.item_id, r.distance) for r in rows) == [(0, 1, 0), (3, 1, 2), (5, 1, 0), (5, 1, 0), (6, 4, 0)]
     r = next(r for r in rows if r.doc_id == 3)
     assert (r.start, r.length) == (8, len("THE QUICK--brown fox jumped over the lazy dog again"))
     assert d.matches(docs.limit(0), bench).count() == 0 and d.matches(docs, bench.limit(0)).count() == 0
     assert d.clean(docs, bench.limit(0)).count() == 7
 
 
+def test_op6_finds_short_items_as_whole_words(spark):
+    bench = spark.createDataFrame([(1, "What is 17 times 23?"), (2, "two words"), (3, "?!"), (4, "17"), (5, "WHAT is 17 times 23")], "item_id long, text string")
+    docs = frame(spark, [(1, "So: what is 17 Times 23 ?"), (2, "what is 17 times 234"), (3, "no two  words, two wordsmiths"), (4, "two wordsmiths"), (5, "x17"), (6, "somewhat is 17 times 23")])
+    got = sorted((r.doc_id, r.item_id, r.distance, r.start, r.length) for r in d.matches(docs, bench).collect())
+    assert got == [(1, 1, 0, 4, 19), (1, 4, 0, 12, 2), (1, 5, 0, 4, 19), (2, 4, 0, 8, 2), (3, 2, 0, 3, 10), (6, 4, 0, 12, 2)]
+    assert sorted(r.doc_id for r in d.clean(docs, bench.where("item_id = 2")).collect()) == [1, 2, 4, 5, 6]
+
+
 def test_op6_finds_every_verbatim_item(spark, sf):
     got = {(r.doc_id, r.item_id) for r in queries.op6_edit_decontamination(spark, sf).collect()}
     items = [(r.item_id, d.normal(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
