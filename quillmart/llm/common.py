@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -51,15 +51,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
-    """``df`` written as a table bucketed by ``column``, so that later joins on it don't move its rows."""
+    """``df`` written in the shared folder as a table bucketed by ``column``, so that later joins on it don't move its rows."""
     spark = df.sparkSession
-    n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex}"
+    n, path = int(spark.conf.get("spark.sql.shuffle.partitions")), scratch(spark, name)
+    table = f"{name}_{path.rpartition('-')[2]}"
     with tidy(spark):
-        df.repartition(n, column).write.bucketBy(n, column).option("compression", "zstd").saveAsTable(table)
+        df.repartition(n, column).write.bucketBy(n, column).option("compression", "zstd").option("path", path).saveAsTable(table)
     _made.append(("table", table))
     return spark.table(table)
 
 
+def told_apart(rows: DataFrame, key: str, number: str) -> tuple[DataFrame, bool]:
+    """``rows`` with a column that numbers, from 0, the rows of each ``key`` that isn't null; and whether any key repeats.
+
+    Where none does the number is 0 and no row moves. Else the rows are stored first, so that each keeps its place, and
+    rows of a repeated key are numbered within each partition they were read in, after those of the partitions before:
+    no key's rows meet in one task.
+    """
+    repeated = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
+    if repeated.isEmpty():
+        return rows.withColumn(number, F.lit(0).cast("long")), False
+    kept = stored(rows.withColumn("_m", F.monotonically_increasing_id()), "rows")
+    some = kept.select(key, "_m", F.shiftright("_m", 33).alias("_p")).join(repeated, key, "left_semi")
+    before = Window.partitionBy(key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    first = some.groupBy(key, "_p").agg(F.count("*").alias("_c")).select(key, "_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_f"))
+    within = F.row_number().over(Window.partitionBy(key, "_p").orderBy("_m")) - 1
+    place = some.withColumn("_w", within).join(first, [key, "_p"]).select(key, "_m", (F.col("_f") + F.col("_w")).cast("long").alias(number))
+    return kept.join(place, [key, "_m"], "left").withColumn(number, F.coalesce(number, F.lit(0))).drop("_m"), True
+
+
 def release(spark: SparkSession) -> None:
     """Delete the scratch folders and tables of this process; results that still read them must have been written."""
     while _made:

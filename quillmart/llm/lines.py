@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmart.llm.common import components, free_name, stored
+from quillmart.llm.common import components, free_name, stored, told_apart
 
 SPAN, SIMILARITY = 5, 0.8
 #: The similarity of lines that have only common shingles in common, and the share of links that bands may miss at the threshold.
@@ -427,12 +427,15 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY, lines: str = "_lines"
     """``docs`` without repeated lines: all columns kept, and the columns ``lines``, ``removed`` count each row's lines.
 
     The text keeps its remaining lines as they were, joined by line breaks. A null text stays null and an empty one
-    empty; rows of a repeated doc_id are one document, whose equal places share a decision; rows with a null doc_id
-    take no part and stay whole. Columns of ``docs`` may have any names, but those of the two counts are replaced by
+    empty; rows of a repeated doc_id are documents of their own, the later ones after the first, in the order in which
+    they are read; rows with a null doc_id take no part and stay whole. Columns of ``docs`` may have any names, but those of the two counts are replaced by
     them. An empty table gives no rows.
     """
     named = docs.select(docs["doc_id"].alias("_doc"), F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"))
     text = F.coalesce(F.col("_row.text").cast("string"), F.lit(""))
+    named, again = told_apart(named, "_doc", "_copy")
+    if again:
+        named = named.withColumn("_doc", F.when(F.col("_doc").isNotNull(), F.struct(F.col("_doc").alias("id"), F.col("_copy").alias("copy"))))
     table = named.where("_doc is not null")
     gone = stored(_decided(table.select("_doc", text.alias("_text")), similarity), "repeats").groupBy("_doc").agg(F.collect_set("_pos").alias("_gone"))
     rows = table.join(gone, "_doc", "left").select("_row", "_gone").unionByName(named.where("_doc is null").select("_row"), allowMissingColumns=True)

@@ -18,7 +18,6 @@ memory. Places whose first digit is unique leave after the first pass.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmart.llm.common import stored, text_of
+from quillmart.llm.common import bucketed, stored, text_of, told_apart
 
 LENGTH, GRAM, STEP, STEP_BYTES, BATCH_BYTES = 100, 20, 9, 2 << 20, 40 << 20
+#: Bits of a place inside a text; the number of a text among those of its doc_id stands above them.
+PLACE_BITS = 32
 _ROWS = "kind byte, k1 long, k2 long, doc long, lo long, n long"
 PLACE, SPAN, ASKED = 0, 1, 2
 
@@ -66,13 +67,16 @@ def _least_places(h: np.ndarray, w: int) -> np.ndarray:
     return at
 
 
-def places(docs: list[tuple[int, bytes]], length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(k1, k2, doc, lo, n): rows of windows that share their first digit; n bytes from lo on hold n - length + 1 windows."""
-    docs = [(d, b) for d, b in docs if len(b) >= length]
+def places(docs: list[tuple[int, int, bytes]], length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(k1, k2, doc, lo, n): rows of windows that share their first digit; n bytes from lo on hold n - length + 1 windows.
+
+    ``docs`` are (doc, the place its text starts at, text).
+    """
+    docs = [x for x in docs if len(x[2]) >= length]
     if not docs:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
-    data = b"".join(b for _, b in docs)
-    size = np.array([len(b) for _, b in docs], np.int64)
+    data = b"".join(b for _, _, b in docs)
+    size = np.array([len(b) for _, _, b in docs], np.int64)
     first = np.cumsum(size) - size
     h = _gram_hashes(data)
     at = _least_places(h, length - GRAM + 1)
@@ -84,7 +88,8 @@ def places(docs: list[tuple[int, bytes]], length: int = LENGTH) -> tuple[np.ndar
     digest = xxhash.xxh3_64_intdigest
     k2 = np.fromiter((digest(data[a:b]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)), np.uint64, len(lo)).view(np.int64)
     k = np.searchsorted(first, lo, side="right") - 1
-    return h[place[starts]].view(np.int64), k2, np.array([d for d, _ in docs], np.int64)[k], lo - first[k], hi - lo
+    doc, base = (np.array([x[i] for x in docs], np.int64)[k] for i in (0, 1))
+    return h[place[starts]].view(np.int64), k2, doc, lo - first[k] + base, hi - lo
 
 
 def _frame(kind: int, doc, lo, n, k1=None, k2=None) -> pd.DataFrame:
@@ -159,9 +164,9 @@ def _first_pass(docs: DataFrame, length: int) -> DataFrame:
         got, size = [], 0
         step, n = [], 0
         for f in frames:
-            for d, t in zip(f["doc"].tolist(), f["text"], strict=True):
+            for d, base, t in zip(f["doc"].tolist(), f["base"].tolist(), f["text"], strict=True):
                 b = t.encode("utf-8", "surrogatepass")
-                step.append((d, b))
+                step.append((d, base, b))
                 n += len(b)
                 if n >= STEP_BYTES:
                     got.append(places(step, length))
@@ -175,9 +180,15 @@ def _first_pass(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInPandas(run, _ROWS)
 
 
-def _texts_of(table: DataFrame, asked: DataFrame) -> DataFrame:
-    by_doc = asked.groupBy("doc").agg(F.collect_set(F.struct("lo", "n")).alias("at"))
-    return table.join(by_doc, "doc").select("doc", "text", F.col("at.lo").alias("los"), F.col("at.n").alias("ns"))
+def _by_text(rows: DataFrame, keys: list[str], **lists) -> DataFrame:
+    """``lists`` gathered by text; ``lo`` counts from the text's own start there."""
+    base = F.col("lo").bitwiseAND(F.lit(-1 << PLACE_BITS))
+    return rows.withColumns({"base": base, "lo": F.col("lo") - base}).groupBy(*keys).agg(*(v.alias(k) for k, v in lists.items()))
+
+
+def _texts_of(table: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    found = _by_text(asked, keys, at=F.collect_set(F.struct("lo", "n")))
+    return table.join(found, keys).select("doc", "base", "text", F.col("at.lo").alias("los"), F.col("at.n").alias("ns"))
 
 
 def parts(docs: list[int], los: list[int], spans: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
@@ -204,15 +215,15 @@ def parts(docs: list[int], los: list[int], spans: list[bytes], length: int = LEN
     return k1.view(np.int64), k2.view(np.int64), np.array(docs, np.int64)[k], lo[k] + s0 - first[k], s1 - s0 + length
 
 
-def _middle_pass(table: DataFrame, asked: DataFrame, length: int) -> DataFrame:
+def _middle_pass(table: DataFrame, asked: DataFrame, keys: list[str], length: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         docs, starts, spans, got, size = [], [], [], [], 0
         for f in frames:
-            for d, t, los, ns in f.itertuples(index=False):
+            for d, base, t, los, ns in f.itertuples(index=False):
                 b = t.encode("utf-8", "surrogatepass")
                 for a, n in zip(np.asarray(los).tolist(), np.asarray(ns).tolist(), strict=True):
                     docs.append(d)
-                    starts.append(a)
+                    starts.append(base + a)
                     spans.append(b[a : a + n])
                 if len(spans) > 8_000:
                     got.append(parts(docs, starts, spans, length))
@@ -225,26 +236,26 @@ def _middle_pass(table: DataFrame, asked: DataFrame, length: int) -> DataFrame:
         if got:
             yield from _settled(*(np.concatenate(x) for x in zip(*got, strict=True)))
 
-    return _texts_of(table, asked).mapInPandas(run, _ROWS)
+    return _texts_of(table, asked, keys).mapInPandas(run, _ROWS)
 
 
-def _last_pass(table: DataFrame, asked: DataFrame, length: int) -> DataFrame:
+def _last_pass(table: DataFrame, asked: DataFrame, keys: list[str], length: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, doc, lo = [], [], []
+        digits, doc, lo = [], [], []
         digest = xxhash.xxh3_128_digest
         for f in frames:
-            for d, t, los, ns in f.itertuples(index=False):
+            for d, base, t, los, ns in f.itertuples(index=False):
                 b = t.encode("utf-8", "surrogatepass")
                 for a, n in zip(np.asarray(los).tolist(), np.asarray(ns).tolist(), strict=True):
-                    keys.extend(digest(b[s : s + length]) for s in range(a, a + n - length + 1))
-                    lo.extend(range(a, a + n - length + 1))
+                    digits.extend(digest(b[s : s + length]) for s in range(a, a + n - length + 1))
+                    lo.extend(range(base + a, base + a + n - length + 1))
                     doc.extend([d] * (n - length + 1))
                 if len(lo) > 400_000:
-                    yield from _flush(keys, doc, lo, length)
-                    keys, doc, lo = [], [], []
-        yield from _flush(keys, doc, lo, length)
+                    yield from _flush(digits, doc, lo, length)
+                    digits, doc, lo = [], [], []
+        yield from _flush(digits, doc, lo, length)
 
-    return _texts_of(table, asked).mapInPandas(run, _ROWS)
+    return _texts_of(table, asked, keys).mapInPandas(run, _ROWS)
 
 
 def _flush(keys: list[bytes], doc: list[int], lo: list[int], length: int) -> Iterator[pd.DataFrame]:
@@ -253,12 +264,15 @@ def _flush(keys: list[bytes], doc: list[int], lo: list[int], length: int) -> Ite
     yield from _settled(k[:, 0].copy(), k[:, 1].copy(), d, s, np.full(len(d), length, np.int64))
 
 
-def spans(table: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc, lo, n: spans of ``table(doc, text)`` that earlier strings of ``length`` bytes cover; they may overlap."""
+def spans(table: DataFrame, keys: list[str], length: int = LENGTH) -> DataFrame:
+    """doc, lo, n: spans of ``table(doc, base, text)`` that earlier strings of ``length`` bytes cover; they may overlap.
+
+    A text's places count from ``base``; ``keys`` tell its texts apart: doc, and base where a doc has several.
+    """
     asked = lambda rows: rows.where(F.col("kind") == ASKED).select("doc", "lo", "n")
     first = stored(_pass(_first_pass(table, length)), "places")
-    middle = stored(_pass(_middle_pass(table, asked(first), length)), "parts")
-    last = stored(_pass(_last_pass(table, asked(middle), length)), "windows")
+    middle = stored(_pass(_middle_pass(table, asked(first), keys, length)), "parts")
+    last = stored(_pass(_last_pass(table, asked(middle), keys, length)), "windows")
     return first.union(middle).union(last).where(F.col("kind") == SPAN).select("doc", "lo", "n")
 
 
@@ -266,18 +280,16 @@ def remove(docs: DataFrame, length: int = LENGTH, with_text: bool = True) -> Dat
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``with_text`` the remaining bytes as ``kept``.
 
     A byte goes if a string of ``length`` bytes over it also starts earlier: in a smaller doc_id or earlier in the
-    same document, judged on the input. A null text is empty. Rows of a repeated doc_id are one document: the same
-    place in two of them is one place, and what is found in either goes from both. Rows with a null doc_id take no
-    part and stay whole. Other columns are ignored; an empty table gives no rows.
+    same document, judged on the input. A null text is empty. Rows of a repeated doc_id are documents of their own, the
+    later ones after the first, in the order in which they are read. Rows with a null doc_id take no part and stay
+    whole. Texts are read whole, whatever their length; other columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), text_of().alias("text"))
-    name = f"repeats_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.where("doc is not null").repartition(n, "doc").write.bucketBy(n, "doc").option("compression", "zstd").saveAsTable(name)
-    table = spark.table(name)
-    by_doc = spans(table, length).groupBy("doc").agg(F.collect_list("lo").alias("los"), F.collect_list(F.col("lo") + F.col("n")).alias("ends"))
-    joined = table.join(by_doc, "doc", "left").unionByName(rows.where("doc is null"), allowMissingColumns=True)
+    rows, again = told_apart(docs.select(F.col("doc_id").cast("long").alias("doc"), text_of().alias("text")), "doc", "base")
+    rows = rows.withColumn("base", F.shiftleft("base", PLACE_BITS))
+    keys = ["doc", "base"] if again else ["doc"]
+    table = bucketed(rows.where("doc is not null"), "doc", "repeats")
+    by_text = _by_text(spans(table, keys, length), keys, los=F.collect_list("lo"), ends=F.collect_list(F.col("lo") + F.col("n")))
+    joined = table.join(by_text, keys, "left").unionByName(rows.where("doc is null"), allowMissingColumns=True)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -57,10 +57,31 @@ def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "short"), (None, text), (4, text), (4, text), (5, text)]
     got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans) for r in repeats.remove(frame(spark, rows)).collect())
     n = len(text)
-    assert got == [(0, n, 0, 0), (1, 0, 0, 0), (2, 0, 0, 0), (3, 5, 0, 0), (4, n, n - 3000, 1), (4, n, n - 3000, 1), (5, n, n, 1)]
+    assert got == [(0, n, 0, 0), (1, 0, 0, 0), (2, 0, 0, 0), (3, 5, 0, 0), (4, n, n - 3000, 1), (4, n, n, 1), (5, n, n, 1)]
     assert repeats.remove(frame(spark, [])).count() == 0
 
 
+def test_rows_of_one_doc_id_are_decided_apart(spark):
+    x, y, z = ("".join(random.Random(k).choices("abcdefgh ", k=300)) for k in range(3))
+    got = sorted((r.doc_id, bytes(r.kept).decode()) for r in repeats.remove(frame(spark, [(1, x), (2, x), (2, y)])).collect())
+    assert got == sorted([(1, x), (2, ""), (2, y)])
+    many = [(3, x + y)] * 30 + [(3, z), (4, y + z), (2, "short"), (2, "short")]
+    out = repeats.remove(frame(spark, many).repartition(5)).collect()
+    assert sum(r.n_removed for r in out) == 29 * 600 + 600
+    assert sorted("".join(bytes(r.kept).decode() for r in out)) == sorted(x + y + z + "short" * 2)
+
+
+def test_tables_are_in_the_shared_folder_and_go(spark):
+    from quillmart.llm.common import _made, release
+
+    before = {t.name for t in spark.catalog.listTables()}
+    repeats.remove(frame(spark, [(1, "abc" * 90)])).collect()
+    made = [name for kind, name in _made if kind == "table"]
+    assert made and all(spark.conf.get("spark.checkpoint.dir").removeprefix("file://") in str(spark.sql(f"DESCRIBE EXTENDED {t}").where("col_name = 'Location'").first().data_type) for t in made)
+    release(spark)
+    assert {t.name for t in spark.catalog.listTables()} <= before
+
+
 def test_compared_is_the_same_however_frames_are_cut():
     draw = np.random.default_rng(2)
     f = pd.DataFrame({"kind": 0, "k1": draw.integers(0, 6, 60), "k2": draw.integers(0, 3, 60), "doc": draw.integers(0, 9, 60), "lo": draw.integers(0, 5, 60) * 1000, "n": 120})
