@@ -29,7 +29,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand earlier; those left without any go.
 
-    Null and empty texts and rows with a null doc_id stay; rows of a repeated doc_id are one document.
+    Null and empty texts and rows with a null doc_id stay; rows of a repeated doc_id are documents of their own.
     """
     return lines.without_repeats(docs)
 
