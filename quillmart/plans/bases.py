@@ -64,3 +64,26 @@ SEARCHES = """counts AS (
   SELECT event_type || '-' || CAST(user_id % 5 AS VARCHAR) AS item, CAST(ts AS DATE) AS day, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY 1, 2),
 days AS (SELECT item, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM counts GROUP BY item),
 searches AS (SELECT d.item, d.day, coalesce(c.value, 0.0) AS value FROM days d LEFT JOIN counts c ON d.item = c.item AND d.day = c.day)"""
+
+
+RECEIPT_BOXES = """numbered AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount) AS i FROM lineitem),
+printed AS (SELECT l_orderkey AS receipt, i, p_type || CASE WHEN p_size % 9 = 0 THEN ' 원두' WHEN p_size % 5 = 0 THEN ' 박스' ELSE '' END AS name, CAST(l_quantity AS BIGINT) AS qty, CAST(floor(l_extendedprice) AS BIGINT) AS price,
+  CASE WHEN l_discount >= 0.08 THEN CAST(floor(l_extendedprice) AS BIGINT) // 20 END AS off, i % 3 = 0 AS split, (l_orderkey + i) % 4 AS kind FROM numbered JOIN part ON l_partkey = p_partkey),
+totals AS (SELECT receipt, CAST(sum(price) AS BIGINT) AS total, max(i) AS n FROM printed GROUP BY receipt),
+heads AS (SELECT receipt, total, total // 11 AS vat, n, o_orderdate, r_name FROM totals JOIN orders ON receipt = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+boxes AS (
+  SELECT receipt, CASE WHEN split THEN 3 + 3 * i ELSE 4 + 3 * i END AS slot, 0 AS place, 10.0 AS x0, 130.0 AS x1, name AS text FROM printed
+  UNION ALL SELECT receipt, 4 + 3 * i, 1, 200, 220, CAST(qty AS VARCHAR) FROM printed
+  UNION ALL SELECT receipt, 4 + 3 * i, 2, 300, 360, format('{:,}', price) || CASE WHEN kind = 0 AND price >= 1000 THEN '원' ELSE '' END FROM printed
+  UNION ALL SELECT receipt, 5 + 3 * i, 0, 10, 50, '할인' FROM printed WHERE off IS NOT NULL
+  UNION ALL SELECT receipt, 5 + 3 * i, 1, 300, 350, CASE kind WHEN 1 THEN format('{:,}', off) || '-' WHEN 2 THEN '(' || format('{:,}', off) || ')' ELSE '-' || format('{:,}', off) END FROM printed WHERE off IS NOT NULL
+  UNION ALL SELECT receipt, 0, 0, 10, 160, '가게 ' || r_name FROM heads
+  UNION ALL SELECT receipt, 1, 0, 100, 160, '영수증' FROM heads
+  UNION ALL SELECT receipt, 2, 0, 10, 160, strftime(o_orderdate, '%Y-%m-%d') || ' ' || lpad(CAST(receipt % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST(receipt % 60 AS VARCHAR), 2, '0') FROM heads
+  UNION ALL SELECT receipt, 3, 0, 10, 110, lpad(CAST(receipt % 1000 AS VARCHAR), 3, '0') || '-45-' || lpad(CAST(receipt % 100000 AS VARCHAR), 5, '0') FROM heads
+  UNION ALL SELECT receipt, 5, 0, 10, 70, '상품명' FROM heads
+  UNION ALL SELECT receipt, 6 + 3 * n + j, 0, 10, 10 + [80, 60, 80][j + 1], ['과세금액', '부가세', '합계금액'][j + 1] FROM heads, (SELECT unnest([0, 1, 2]) AS j)
+  UNION ALL SELECT receipt, 6 + 3 * n + j, 1, 300, 360, format('{:,}', [total - vat, vat, total][j + 1]) FROM heads, (SELECT unnest([0, 1, 2]) AS j)
+  UNION ALL SELECT receipt, 9 + 3 * n, 0, 10, 90, ['카카오페이', '신용카드', '현금결제'][receipt % 3 + 1] FROM heads),
+placed AS (SELECT CAST(receipt AS VARCHAR) AS image, receipt, CAST(slot AS BIGINT) AS slot, place, CAST(x0 AS DOUBLE) AS x0, CAST(x1 AS DOUBLE) AS x1, text, receipt * 31 + slot * 17 + place * 7 AS turn,
+  CAST(dense_rank() OVER (PARTITION BY receipt ORDER BY slot) - 1 AS BIGINT) AS row, CAST(row_number() OVER (PARTITION BY receipt, slot ORDER BY place) - 1 AS BIGINT) AS seat FROM boxes)"""

@@ -5,7 +5,7 @@ Each projection is a plain DataFrame with the columns an operator asks for; oper
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmart.functions.columns import exact_sum, quarter_of, serial, shift_quarter
@@ -150,3 +150,50 @@ def searches(t: Tables) -> DataFrame:
     span = counts.groupBy("item").agg(F.min("day").alias("first"), F.max("day").alias("last"))
     days = span.select("item", F.explode(F.sequence("first", "last")).alias("day"))
     return days.join(counts, ["item", "day"], "left").select("item", "day", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+def receipt_lines(t: Tables) -> DataFrame:
+    """Printed lines of receipts: image, i (from 1), name, qty, price (whole), off (a discount, null without), split (the name on a line of its own), kind."""
+    i = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount"))
+    rows = t.lineitem.select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", i.alias("i")).join(t.part.select("p_partkey", "p_type", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    suffix = F.when(F.col("p_size") % 9 == 0, " 원두").when(F.col("p_size") % 5 == 0, " 박스").otherwise("")
+    price = F.floor("l_extendedprice").cast("long")
+    return rows.select(
+        F.col("l_orderkey").alias("receipt"), "i", F.concat("p_type", suffix).alias("name"), F.col("l_quantity").cast("long").alias("qty"), price.alias("price"),
+        F.when(F.col("l_discount") >= 0.08, F.floor(price / 20).cast("long")).alias("off"), (F.col("i") % 3 == 0).alias("split"), ((F.col("l_orderkey") + F.col("i")) % 4).alias("kind"),
+    )
+
+
+def receipt_boxes(t: Tables) -> DataFrame:
+    """Text boxes as recognition finds them on a printed receipt: image, slot (the printed line), place, x0, y0, x1, y1, text, prob.
+
+    Boxes of a printed line are up to three pixels apart in height; a line is twelve high and twenty from the next.
+    """
+    lines = receipt_lines(t)
+    shown = lambda c: F.format_number(c, 0)
+    box = lambda slot, place, x, width, text, when=None: F.when(F.lit(True) if when is None else when, F.struct(slot.cast("long").alias("slot"), F.lit(place).alias("place"), F.lit(float(x)).alias("x0"), F.lit(float(x + width)).alias("x1"), text.alias("text")))
+    at = 6 + 3 * (F.col("i") - 1)
+    off = F.when(F.col("kind") == 1, F.concat(shown(F.col("off")), F.lit("-"))).when(F.col("kind") == 2, F.concat(F.lit("("), shown(F.col("off")), F.lit(")"))).otherwise(F.concat(F.lit("-"), shown(F.col("off"))))
+    has_off = F.col("off").isNotNull()
+    printed = lines.select(F.col("receipt"), F.explode(F.array_compact(F.array(
+        box(F.when(F.col("split"), at).otherwise(at + 1), 0, 10, 120, F.col("name")), box(at + 1, 1, 200, 20, F.col("qty").cast("string")),
+        box(at + 1, 2, 300, 60, F.concat(shown(F.col("price")), F.when((F.col("kind") == 0) & (F.col("price") >= 1000), "원").otherwise(""))),
+        box(at + 2, 0, 10, 40, F.lit("할인"), has_off), box(at + 2, 1, 300, 50, off, has_off),
+    ))).alias("b"))
+    total = lines.groupBy("receipt").agg(F.sum("price").alias("total"), F.max("i").alias("n"))
+    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    heads = total.join(o.select("o_orderkey", "o_orderdate", "r_name"), F.col("receipt") == F.col("o_orderkey"))
+    k, vat, end = F.col("receipt"), F.floor(F.col("total") / 11).cast("long"), 6 + 3 * F.col("n")
+    day = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" "), F.lpad((k % 24).cast("string"), 2, "0"), F.lit(":"), F.lpad((k % 60).cast("string"), 2, "0"))
+    number = F.concat_ws("-", F.lpad((k % 1000).cast("string"), 3, "0"), F.lit("45"), F.lpad((k % 100000).cast("string"), 5, "0"))
+    first = lambda n: F.lit(n)
+    framed = heads.select("receipt", F.explode(F.array(
+        box(first(0), 0, 10, 150, F.concat(F.lit("가게 "), F.col("r_name"))), box(first(1), 0, 100, 60, F.lit("영수증")), box(first(2), 0, 10, 150, day), box(first(3), 0, 10, 100, number),
+        box(first(5), 0, 10, 60, F.lit("상품명")), box(end, 0, 10, 80, F.lit("과세금액")), box(end, 1, 300, 60, shown(F.col("total") - vat)), box(end + 1, 0, 10, 60, F.lit("부가세")), box(end + 1, 1, 300, 60, shown(vat)),
+        box(end + 2, 0, 10, 80, F.lit("합계금액")), box(end + 2, 1, 300, 60, shown(F.col("total"))), box(end + 3, 0, 10, 80, F.when(k % 3 == 0, "카카오페이").when(k % 3 == 1, "신용카드").otherwise("현금결제")),
+    )).alias("b"))
+    rows = printed.unionByName(framed).select(k.cast("string").alias("image"), "receipt", "b.*")
+    turn = k * 31 + F.col("slot") * 17 + F.col("place") * 7
+    height = F.when(F.col("slot") == 0, 16.0).otherwise(12.0)
+    top = F.col("slot") * 20.0 + (turn % 7 - 3) * 0.5
+    return rows.select("image", "slot", "place", "x0", top.alias("y0"), "x1", (top + height).alias("y1"), "text", (0.5 + turn % 5 / 10.0).alias("prob"), turn.alias("turn"))
