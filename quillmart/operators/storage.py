@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import re
 import tempfile
-import time
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,51 +28,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def exclusive(spark: SparkSession, path: str, wait: float = 60.0) -> Iterator[None]:
-    """Hold ``<path>.lock``, a name that only one writer at a time can create, while a table is read and written back.
-
-    Others wait up to ``wait`` seconds, then get a TimeoutError. A writer that dies leaves the lock, which then has to be
-    deleted by hand: nobody can tell from outside whether it still writes.
-    """
-    lock = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".lock")
-    files = lock.getFileSystem(spark._jsc.hadoopConfiguration())
-    local = files.getUri().getScheme() == "file"
-    until = time.monotonic() + wait
-    while True:
-        try:
-            files.mkdirs(lock.getParent())
-            if local:
-                os.close(os.open(lock.toUri().getPath(), os.O_CREAT | os.O_EXCL))
-            else:
-                files.create(lock, False).close()
-            break
-        except Exception as e:
-            if not (isinstance(e, FileExistsError) or "AlreadyExists" in str(e)):
-                raise
-            if time.monotonic() > until:
-                raise TimeoutError(f"{lock} is held by another writer") from e
-            time.sleep(0.05)
-    try:
-        yield
-    finally:
-        files.delete(lock, False)
-
-
-def replace(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
-    """The table at ``path`` replaced by ``df``, which may be made from it; the old folder goes last, so no failure loses both. Hold ``exclusive`` meanwhile."""
-    path = path.rstrip("/")
-    at = lambda name: spark._jvm.org.apache.hadoop.fs.Path(name)
-    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.parquet(new)
-    there = files.exists(at(path))
-    if there and not files.rename(at(path), at(old)):
-        raise OSError(f"{path} can't be moved")
-    if not files.rename(at(new), at(path)):
-        raise OSError(f"{new} can't be moved to {path}")
-    if there:
-        files.delete(at(old), True)
-    return spark.read.schema(df.schema).parquet(path)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quillmart.operators.checks import insert_ignore, upsert
-from quillmart.operators.storage import exclusive, replace, stored
+from quillmart.operators.storage import stored
+from quillmart.sources.snapshots import Snapshots, Version
 
 
 def csv_with_mark(df: DataFrame, path: str) -> None:
@@ -16,15 +17,6 @@ def csv_with_mark(df: DataFrame, path: str) -> None:
     df.select(F.col(f"`{first}`").alias("﻿" + first), *(F.col(f"`{c}`") for c in rest)).write.option("header", True).mode("overwrite").csv(path)
 
 
-def _present(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], schema)
-        raise
-
-
 def append(df: DataFrame, path: str) -> None:
     """New files beside the old ones; the commit protocol makes the append whole or nothing."""
     df.write.mode("append").parquet(path)
@@ -43,38 +35,44 @@ def with_ids(df: DataFrame, key: str, last: int, order: list[str]) -> DataFrame:
     return ranged.withColumn("_r", row).join(F.broadcast(base), "_p").withColumn(key, F.col("_base") + F.col("_r") + F.lit(last)).drop("_p", "_r", "_base")
 
 
-def append_receipts(heads: DataFrame, items: DataFrame, head_path: str, item_path: str, order: list[str]) -> DataFrame:
+def append_receipts(heads: DataFrame, items: DataFrame, store: Snapshots, order: list[str]) -> DataFrame:
     """Append receipts and their items under running ids, one after the largest that is there; returns the heads with ids.
 
-    ``heads`` and ``items`` share the column ``image``. Items are written first: a failure between the two leaves items
-    without a receipt, which readers that join from receipts never see. The lock of ``head_path`` is held throughout, so
-    two writers never give one id.
+    ``heads`` and ``items`` share the column ``image``. Both tables of the store, ``receipts`` and ``items``, change in one
+    version: no reader sees one without the other, and a writer that dies leaves neither.
     """
-    spark = heads.sparkSession
-    with exclusive(spark, head_path):
-        known = _present(spark, head_path, StructType.fromDDL("receipt long"))
+    numbered = None
+
+    def work(at: Version):
+        nonlocal numbered
+        known = store.read("receipts", StructType.fromDDL("receipt long"), at)
         last = known.agg(F.max("receipt").alias("m")).first()["m"] or 0
         numbered = stored(with_ids(heads, "receipt", last, order), "receipts")
         kept = items.join(numbered.select("image", "receipt"), "image").drop("image")
-        append(kept, item_path)
-        append(numbered, head_path)
+        return {"receipts": ("add", numbered), "items": ("add", kept)}
+
+    store.change(work)
     return numbered
 
 
-def upsert_into(new: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """The table at ``path`` with the new rows in place of those of their keys, under its lock; returns it read back."""
-    with exclusive(spark := new.sparkSession, path):
-        return replace(spark, upsert(_present(spark, path, new.schema), new, keys), path)
+def upsert_into(new: DataFrame, store: Snapshots, table: str, keys: list[str]) -> DataFrame:
+    """The table with the new rows in place of those of their keys, as its next version; returns it read back."""
+    after = store.change(lambda at: {table: ("set", upsert(store.read(table, new.schema, at), new, keys))})
+    return store.read(table, new.schema, after)
+
 
+def insert_new(new: DataFrame, store: Snapshots, table: str, keys: list[str]) -> int:
+    """Append the rows whose key isn't in the table yet; the number appended. Delivering a batch again appends nothing."""
+    n = 0
 
-def insert_new(new: DataFrame, path: str, keys: list[str]) -> int:
-    """Append the rows whose key isn't at ``path`` yet, under its lock; the number appended. Delivering a batch again appends nothing."""
-    with exclusive(new.sparkSession, path):
-        base = _present(new.sparkSession, path, new.schema)
+    def work(at: Version):
+        nonlocal n
+        base = store.read(table, new.schema, at)
         fresh = stored(insert_ignore(base.limit(0), new.join(base.select(*keys).distinct(), keys, "left_anti"), keys), "fresh")
         n = fresh.count()
-        if n:
-            append(fresh, path)
+        return {table: ("add", fresh)} if n else {}
+
+    store.change(work)
     return n
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillmart.operators import leads, retrieval
 from quillmart.operators.checks import InputError
 from quillmart.sources import readers, writers
+from quillmart.sources.snapshots import Snapshots
 from quillmart.streaming import windows
 
 
@@ -103,18 +104,20 @@ def test_passages_need_their_vectors(spark, tmp_path):
 def test_receipts_get_running_ids(spark, tmp_path):
     heads = spark.createDataFrame([("i1", 2.0), ("i2", 1.0)], "image string, total double")
     items = spark.createDataFrame([("i1", "a"), ("i2", "b"), ("i2", "c")], "image string, item string")
+    store = Snapshots(spark, f"{tmp_path}/s")
     for _ in range(2):
-        writers.append_receipts(heads, items, f"{tmp_path}/h", f"{tmp_path}/i", ["total"])
-    got = spark.read.parquet(f"{tmp_path}/h").orderBy("receipt").collect()
+        writers.append_receipts(heads, items, store, ["total"])
+    got = store.read("receipts").orderBy("receipt").collect()
     assert [(r.receipt, r.image) for r in got] == [(1, "i2"), (2, "i1"), (3, "i2"), (4, "i1")]
-    assert spark.read.parquet(f"{tmp_path}/i").where("receipt = 3").count() == 2
+    assert store.read("items").where("receipt = 3").count() == 2 and store.version().number == 2
 
 
 def test_idempotent_inserts_and_upserts(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "k int, v string")
-    assert [writers.insert_new(rows, f"{tmp_path}/t", ["k"]) for _ in range(2)] == [2, 0]
+    store = Snapshots(spark, f"{tmp_path}/s")
+    assert [writers.insert_new(rows, store, "t", ["k"]) for _ in range(2)] == [2, 0]
     newer = spark.createDataFrame([(2, "z")], "k int, v string")
-    assert sorted((r.k, r.v) for r in writers.upsert_into(newer, f"{tmp_path}/t", ["k"]).collect()) == [(1, "a"), (2, "z")]
+    assert sorted((r.k, r.v) for r in writers.upsert_into(newer, store, "t", ["k"]).collect()) == [(1, "a"), (2, "z")]
     v = spark.createDataFrame([("m", 1, "promoted"), ("m", 2, "promoted"), ("m", 3, "rolled_back")], "model string, version int, status string")
     assert writers.promoted(v).first().version == 2
 
@@ -124,22 +127,14 @@ def test_writers_take_turns(spark, tmp_path):
 
     heads = spark.createDataFrame([("i1", 2.0), ("i2", 1.0)], "image string, total double")
     items = spark.createDataFrame([("i1", "a")], "image string, item string")
+    own = lambda: Snapshots(spark, f"{tmp_path}/s")
     with ThreadPoolExecutor(3) as pool:
-        list(pool.map(lambda _: writers.append_receipts(heads, items, f"{tmp_path}/h", f"{tmp_path}/i", ["total"]), range(3)))
-    assert sorted(r.receipt for r in spark.read.parquet(f"{tmp_path}/h").collect()) == [1, 2, 3, 4, 5, 6]
+        list(pool.map(lambda _: writers.append_receipts(heads, items, own(), ["total"]), range(3)))
+    assert sorted(r.receipt for r in own().read("receipts").collect()) == [1, 2, 3, 4, 5, 6]
     with ThreadPoolExecutor(3) as pool:
-        list(pool.map(lambda k: writers.upsert_into(spark.createDataFrame([(k, "x"), (9, str(k))], "k int, v string"), f"{tmp_path}/t", ["k"]), range(3)))
-    assert sorted(r.k for r in spark.read.parquet(f"{tmp_path}/t").collect()) == [0, 1, 2, 9]
-    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["h", "i", "t"]
-
-
-def test_a_held_table_is_refused(spark, tmp_path):
-    from quillmart.operators.storage import exclusive
-
-    with exclusive(spark, f"{tmp_path}/t"), pytest.raises(TimeoutError), exclusive(spark, f"{tmp_path}/t", wait=0.2):
-        pass
-    with exclusive(spark, f"{tmp_path}/t", wait=0.2):
-        pass
+        list(pool.map(lambda k: writers.upsert_into(spark.createDataFrame([(k, "x"), (9, str(k))], "k int, v string"), own(), "t", ["k"]), range(3)))
+    assert sorted(r.k for r in own().read("t").collect()) == [0, 1, 2, 9]
+    assert own().version().number == 6
 
 
 def test_grounding(spark):
