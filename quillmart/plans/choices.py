@@ -185,6 +185,22 @@ def _targets(t: Tables) -> DataFrame:
     return tables.panel(t).where(F.col("quarter") == AS_OF).select("district", "industry", F.col("q").alias("as_of"))
 
 
+SIMILAR = f"""WITH {PANEL}, t AS (SELECT district AS target, industry, 8003 AS as_of, district_type AS kind FROM panel WHERE quarter = {AS_OF}),
+p AS (SELECT t.target, t.industry, t.as_of, p.district AS donor, count(DISTINCT p.q) AS n, any_value(p.district_type = t.kind) AS same FROM t JOIN panel p ON p.industry = t.industry AND p.district <> t.target AND p.q <= t.as_of GROUP BY ALL),
+c AS (SELECT *, count(*) FILTER (same) OVER (PARTITION BY target, industry) AS peers FROM p WHERE n >= 6),
+pool AS (SELECT target, industry, as_of, donor FROM c WHERE peers < 20 OR same),
+y AS (SELECT t.target, t.industry, t.as_of, p.q, ln(1 + p.sales) AS y, count(*) OVER (PARTITION BY t.target, t.industry) AS quarters FROM t JOIN panel p ON p.district = t.target AND p.industry = t.industry AND p.q <= t.as_of),
+b AS (SELECT y.target, y.industry, y.as_of, pool.donor, y.y, ln(1 + d.sales) AS x, quarters FROM y JOIN pool ON pool.target = y.target AND pool.industry = y.industry JOIN panel d ON d.district = pool.donor AND d.industry = y.industry AND d.q = y.q WHERE quarters >= 6),
+r AS (SELECT target, industry, as_of, donor, round_even(CASE WHEN var_pop(x) > 1e-13 AND var_pop(y) > 1e-13 THEN corr(y, x) ELSE -1 END, 9) AS r FROM b GROUP BY target, industry, as_of, donor, quarters HAVING count(*) = quarters)
+SELECT target, industry, as_of, donor, r FROM (SELECT *, row_number() OVER (PARTITION BY target, industry ORDER BY r DESC, donor) AS k FROM r) WHERE k <= 10"""
+
+
+@query(SIMILAR, "r")
+def similar_donors(t: Tables) -> DataFrame:
+    """Of each cell's pool the ten that moved most like it, from blocked products of series."""
+    return counterfactual.similar_donors(tables.panel(t), _targets(t), k=10)
+
+
 @query()
 def synthetic_baselines(t: Tables) -> DataFrame:
     """Next quarter's sales of every cell had nothing changed, from weighted donors."""

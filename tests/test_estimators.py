@@ -130,6 +130,56 @@ def test_simplex_weights():
     assert (got >= 0).all()
 
 
+def donors_by_hand(f, targets, k):
+    """Pool, whole series and correlation target by target."""
+    out = set()
+    for target, industry, as_of in targets:
+        g = f[(f.industry == industry) & (f.q <= as_of)]
+        own = g[g.district == target].set_index("q").sales
+        counts = g[g.district != target].groupby("district").q.nunique()
+        pool = list(counts[counts >= 6].index)
+        kinds = f.groupby("district").district_type.max()
+        same = [d for d in pool if kinds[d] == kinds[target]]
+        pool = same if len(same) >= 20 else pool
+        if len(own) < 6:
+            continue
+        scored = []
+        for d in pool:
+            x = g[g.district == d].set_index("q").sales.reindex(own.index)
+            if not x.isna().any():
+                y, z = np.log1p(own), np.log1p(x)
+                scored.append((-round(np.corrcoef(y, z)[0, 1], 9) if z.std() > 1e-12 and y.std() > 1e-12 else 1.0, d))
+        out |= {(target, industry, as_of, d) for _, d in sorted(scored)[:k]}
+    return out
+
+
+def test_donors_from_blocks_are_those_of_every_pair(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    rows = []
+    for industry, n in (("x", 60), ("y", 14)):
+        for d in range(n):
+            level = 10 + r.normal(0, 0.2, 12).cumsum() if d % 9 else np.full(12, 10.0)
+            rows += [(d, d % 2, industry, 8000 + q, float(np.expm1(level[q]))) for q in range(12) if d % 7 or q % 5 != 3]
+    f = pd.DataFrame(rows, columns=["district", "district_type", "industry", "q", "sales"])
+    targets = [(d, i, q) for i, n in (("x", 60), ("y", 14)) for d in range(n) for q in (8004, 8008, 8011) if (d + q) % 3]
+    panel, asked = spark.createDataFrame(f), spark.createDataFrame(targets, "district long, industry string, as_of long")
+    for block in (7, 256):
+        monkeypatch.setattr(counterfactual, "BLOCK", block)
+        got = counterfactual.similar_donors(panel, asked, k=5).collect()
+        assert {(x.target, x.industry, x.as_of, x.donor) for x in got} == donors_by_hand(f, targets, 5)
+    assert counterfactual.similar_donors(panel, asked.limit(0)).count() == 0
+    assert counterfactual.similar_donors(panel.limit(0), asked).count() == 0
+
+
+def test_mean_effect_by_cell_or_industry(spark):
+    found = spark.createDataFrame([(d, "x", 8000 + k, 0.1 * d + 0.01 * k, k % 2 == 0) for d in (1, 2) for k in range(30)], "district int, industry string, as_of int, effect double, good boolean")
+    one = counterfactual.mean_effect(found, F.col("district") == 1).first()
+    assert (one.scope, one.n, one.good_share) == ("cell", 30, 0.5) and one.mean == pytest.approx(0.1 + 0.145)
+    assert one.low < one.mean < one.high and one.high - one.low == pytest.approx(4 * 0.01 * np.std(range(30)) / np.sqrt(30), rel=0.3)
+    every = counterfactual.mean_effect(found, F.col("district") == 9).first()
+    assert (every.scope, every.n) == ("industry", 60) and every.mean == pytest.approx(0.295)
+
+
 def test_counterfactual_of_a_mixture(spark):
     r = np.random.default_rng(5)
     logs = 10 + r.normal(0, 0.1, (9, 5)).cumsum(0)
