@@ -129,6 +129,11 @@ def log_difference(value: str, cell: list[str], serial: str, floor: bool = True)
     return F.when(x.isNotNull() & before.isNotNull(), F.log1p(hold(x.cast("double"))) - F.log1p(hold(before.cast("double"))))
 
 
+def _combination(controls: list[str]) -> Column:
+    """One text for each combination of values, nulls among them."""
+    return F.to_json(F.struct(*controls), {"ignoreNullFields": "false"}) if controls else F.lit("")
+
+
 def factor_effect(days: DataFrame, factor: str, target: str, controls: list[str], cluster: str = "day") -> dict | None:
     """coef, se, p, effect_pct, n of log1p(target) on a factor with dummies for the combinations of ``controls``.
 
@@ -140,7 +145,7 @@ def factor_effect(days: DataFrame, factor: str, target: str, controls: list[str]
         return None
     binary = not row["other"]
     x = F.col(factor).cast("double") if binary else (F.col(factor) - row["m"]) / row["s"]
-    rows = known.select(F.log1p(target).alias("_y"), x.alias("_x"), F.concat_ws("|", *controls).alias("_g"), cluster)
+    rows = known.select(F.log1p(target).alias("_y"), x.alias("_x"), _combination(controls).alias("_g"), cluster)
     found = fit(rows, "_y", ["_x"], "_g", cluster)
     b, se = float(found.coef[0]), float(found.se[0])
     return {"factor": factor, "coef": b, "se": se, "p": float(found.p[0]), "effect_pct": math.expm1(b) * 100, "low_pct": math.expm1(b - 1.959963984540054 * se) * 100, "high_pct": math.expm1(b + 1.959963984540054 * se) * 100, "n": found.n, "unit": "binary" if binary else "deviation", "sd": row["s"]}
@@ -151,7 +156,7 @@ def validation_gain(days: DataFrame, factor: str, target: str, controls: list[st
 
     Training moments of a split are sums over the blocks of days before it, so one pass gives every split's model.
     """
-    known = days.where(F.col(factor).isNotNull() & F.col(target).isNotNull()).select("day", F.log1p(target).alias("_y"), F.col(factor).cast("double").alias("_x"), F.concat_ws("|", *controls).alias("_g"))
+    known = days.where(F.col(factor).isNotNull() & F.col(target).isNotNull()).select("day", F.log1p(target).alias("_y"), F.col(factor).cast("double").alias("_x"), _combination(controls).alias("_g"))
     dates = known.select("day").distinct()
     n = dates.count()
     if n < 60:

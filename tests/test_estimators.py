@@ -213,6 +213,131 @@ def test_cox_recovers_the_hazard(spark):
     assert survival.contributions(df.limit(5), m).count() >= 0
 
 
+def test_trees_draw_from_all_rows_the_same_way(spark):
+    r = np.random.default_rng(2)
+    df = spark.createDataFrame(pd.DataFrame(r.normal(size=(5000, 2)), columns=["a", "b"]).assign(k=range(5000)))
+    for n, trees, sample in ((5000, 8, 64), (5000, 40, 256), (300, 20, 256), (100, 5, 256)):
+        rows = df.where(f"k < {n}")
+        got = anomaly.drawn(rows, ["a", "b"], trees, sample, 1).toPandas()
+        assert got.groupby("tree").size().tolist() == [min(n, sample)] * trees
+        again = anomaly.drawn(rows.repartition(7), ["a", "b"], trees, sample, 1).toPandas()
+        key = ["tree", "_r"]
+        assert got.sort_values(key).reset_index(drop=True).equals(again.sort_values(key).reset_index(drop=True))
+        assert not got.duplicated(["tree", "a", "b"]).any()
+    wide = anomaly.drawn(df, ["a", "b"], 40, 256, 1).toPandas()
+    assert wide.drop_duplicates(["a", "b"]).shape[0] > 4000 and abs(wide.a.mean()) < 0.05
+    copies = spark.range(3000).select((F.col("id") < 1000).cast("double").alias("a"), F.col("id"))
+    share = anomaly.drawn(copies, ["a"], 30, 128, 3).agg(F.avg("a")).first()[0]
+    assert share == pytest.approx(1 / 3, abs=0.04)
+    one, two = anomaly.fit(df, ["a", "b"], 10, 64), anomaly.fit(df.repartition(5), ["a", "b"], 10, 64)
+    assert all(np.array_equal(getattr(one, c), getattr(two, c)) for c in ("roots", "feature", "cut", "left", "depth"))
+    assert len(anomaly.fit(df.limit(0), ["a", "b"], 10, 64).roots) == 0
+
+
+def factor_days(n=200, seed=6):
+    r = np.random.default_rng(seed)
+    day = pd.date_range("2024-01-01", periods=n)
+    g, h = r.choice(["a", "b", None], n), r.choice(["a", "b", None], n)
+    x, rain = r.normal(100, 20, n), r.integers(0, 2, n)
+    base = np.array([hash_of(i, j) for i, j in zip(g, h, strict=True)])
+    y = np.expm1(8 + 0.01 * x - 0.2 * rain + base + r.normal(0, 0.05, n))
+    return pd.DataFrame({"day": day.date, "traffic": x, "rain": rain, "g": g, "h": h, "revenue": y})
+
+
+def hash_of(i, j):
+    return {"a": 0.0, "b": 0.7, None: -0.4}[i] + {"a": 0.0, "b": -0.9, None: 0.3}[j] * 1.3
+
+
+def frame_of(spark, f):
+    rows = [tuple(None if v is None else v for v in r) for r in f.astype(object).where(f.notna(), None).itertuples(index=False)]
+    return spark.createDataFrame(rows, "day date, traffic double, rain int, g string, h string, revenue double")
+
+
+def dummies(f):
+    return pd.get_dummies(f.g.fillna("-") + "|" + f.h.fillna("-"), dtype=float)
+
+
+def test_factor_effect_against_dummies(spark):
+    f = factor_days()
+    df = frame_of(spark, f)
+    d = dummies(f).to_numpy()
+    for name, x, unit in (("rain", f.rain.to_numpy(float), "binary"), ("traffic", ((f.traffic - f.traffic.mean()) / f.traffic.std(ddof=0)).to_numpy(), "deviation")):
+        z = np.column_stack([x, d])
+        want = np.linalg.lstsq(z, np.log1p(f.revenue), rcond=None)[0][0]
+        got = regression.factor_effect(df, name, "revenue", ["g", "h"])
+        assert got["coef"] == pytest.approx(want) and got["unit"] == unit and got["n"] == len(f) and got["effect_pct"] == pytest.approx(np.expm1(want) * 100)
+        assert got["low_pct"] < got["effect_pct"] < got["high_pct"]
+    assert regression.factor_effect(df.limit(20), "rain", "revenue", ["g"]) is None
+    assert regression.factor_effect(df.where("rain = 1"), "rain", "revenue", []) is None
+
+
+def gain_by_hand(f, factor, splits=3):
+    y, x, d = np.log1p(f.revenue.to_numpy()), f[factor].to_numpy(float), (f.g.fillna("-") + "|" + f.h.fillna("-")).to_numpy()
+    size, n = len(f) // (splits + 1), len(f)
+    base, full = [], []
+    for k in range(splits):
+        a = n - (splits - k) * size
+        train, test = np.arange(a), np.arange(a, a + size)
+        my, mx = {}, {}
+        for g in set(d[train]):
+            my[g], mx[g] = y[train][d[train] == g].mean(), x[train][d[train] == g].mean()
+        cy, cx = (np.array([m.get(g, v[train].mean()) for g in d]) for m, v in ((my, y), (mx, x)))
+        beta = ((x - cx)[train] @ (y - cy)[train]) / ((x - cx)[train] @ (x - cx)[train])
+        base.append(np.abs(y - cy)[test].mean())
+        full.append(np.abs(y - cy - beta * (x - cx))[test].mean())
+    return (np.mean(base) - np.mean(full)) / np.mean(base) * 100
+
+
+def test_validation_gain_against_a_loop(spark):
+    f = factor_days()
+    df = frame_of(spark, f)
+    for factor in ("traffic", "rain"):
+        assert regression.validation_gain(df, factor, "revenue", ["g", "h"]) == pytest.approx(gain_by_hand(f, factor))
+    assert regression.validation_gain(df, "traffic", "revenue", ["g", "h"]) > 20
+    assert regression.validation_gain(df.limit(59), "traffic", "revenue", ["g"]) == 0.0
+
+
+def test_period_attribution_of_planted_factors(spark):
+    f = factor_days()
+    f["traffic"] += np.where(np.arange(len(f)) >= 150, 15.0, 0.0)
+    f["revenue"] *= np.exp(0.01 * np.where(np.arange(len(f)) >= 150, 15.0, 0.0))
+    df = frame_of(spark, f)
+    cut = F.lit(f.day[150])
+    got = {r.factor: r for r in regression.period_attribution(df, ["traffic", "rain"], F.col("day") < cut, F.col("day") >= cut, ["g", "h"]).collect()}
+    r, e = got["traffic"], regression.factor_effect(df, "traffic", "revenue", ["g", "h"])
+    before, after = f.traffic[:150].mean(), f.traffic[150:].mean()
+    effect = np.expm1(e["coef"] * (after - before) / f.traffic.std(ddof=0))
+    assert (r.before, r.after, r.effect_pct) == (pytest.approx(before), pytest.approx(after), pytest.approx(effect * 100))
+    assert r.amount == pytest.approx(f.revenue[:150].sum() * effect) and r.direction == "positive" and r.join_rate == 1 and r.p < 1e-6
+    assert r.effect_pct == pytest.approx(np.expm1(0.01 * (after - before)) * 100, rel=0.15)
+    assert r.gain_pct == pytest.approx(gain_by_hand(f, "traffic")) and max(x.adjusted_p for x in got.values()) == pytest.approx(max(x.p for x in got.values()))
+
+
+def test_verdicts_tell_a_cause_from_what_follows_it(spark):
+    r = np.random.default_rng(12)
+    rows = []
+    for cell in range(40):
+        x, noise = r.normal(size=14), r.normal(size=14)
+        late = np.concatenate([[0.0], noise[:-1]])  # noise's next value moves with today's sales
+        for q in range(14):
+            rows.append((cell, "i", q, float(x[q]), float(late[q]), float(r.normal()), float(0.5 * x[q] + 0.5 * noise[q] + 0.1 * r.normal())))
+    df = spark.createDataFrame(rows, "district int, industry string, q int, cause double, follows double, nothing double, y double")
+    how = ([], "q", "district", ["district", "industry"], "q")
+    got = {n: regression.verdicts(df, "y", [n], *how, min_rows=30).first() for n in ("cause", "follows", "nothing")}
+    assert got["cause"].usable and got["cause"].coef == pytest.approx(0.5, abs=0.06) and got["cause"].placebo_p > 0.05 and got["cause"].sign_stability == 1
+    assert not got["follows"].usable and got["follows"].placebo_p < 0.01
+    assert not got["nothing"].usable and got["nothing"].p > 0.05
+    few = regression.verdicts(df.limit(20), "y", ["cause"], *how, min_rows=30).first()
+    assert few.coef is None and not few.usable and few.n == 20
+
+
+def test_risk_position_counts_lower_risks(spark):
+    r = np.random.default_rng(3)
+    risk = [float(x) for x in r.integers(0, 12, 150)] + [0.5]
+    got = survival.risk_position(spark.createDataFrame(list(enumerate(risk)), "cell int, risk double")).collect()
+    assert all(x.safer_pct == pytest.approx(100 * sum(y < risk[x.cell] for y in risk) / len(risk)) for x in got) and len(got) == len(risk)
+
+
 def test_isolation_finds_planted_rows(spark):
     r = np.random.default_rng(7)
     x = r.normal(size=(800, 3))
