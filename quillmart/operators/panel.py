@@ -202,8 +202,10 @@ def warnings(panel: DataFrame) -> DataFrame:
     order = Window.partitionBy(*CELL).orderBy("q")
     rows = panel.withColumn("_gap", (F.col("q") - F.lag("q").over(order)) != 1)
     wide = ["industry", "quarter"]
-    sizes = rows.withColumns({"_wide": F.count(F.lit(1)).over(Window.partitionBy(*wide)) - 1, "_narrow": F.count(F.lit(1)).over(Window.partitionBy(*wide, "district_type")) - 1})
-    medians = ranking._median_of_others(ranking._median_of_others(sizes, "sales", wide, "district", "_mw"), "sales", [*wide, "district_type"], "district", "_mn")
+    sizes = rows
+    for name, by in (("_wide", wide), ("_narrow", [*wide, "district_type"])):
+        sizes = ranking._joined(sizes, rows.groupBy(*by).agg((F.count("*") - 1).alias(name)), by)
+    medians = ranking._median_of_others(ranking._median_of_others(sizes, "sales", wide, "_mw"), "sales", [*wide, "district_type"], "_mn")
     near = F.col("_narrow") >= MIN_PEERS
     made = medians.withColumns({"_peers": F.when(near, F.col("_narrow")).otherwise(F.col("_wide")), "_median": F.when(near, F.col("_mn")).otherwise(F.col("_mw"))})
     last = made.groupBy(*CELL).agg(F.count("*").alias("n"), F.coalesce(F.max("_gap"), F.lit(False)).alias("gap"), *(F.max_by(c, "q").alias(c) for c in ("txns", "stores", "sales", "_peers", "_median")))
@@ -258,7 +260,7 @@ def compared(panel: DataFrame, value: str, scopes: dict[str, list[str]]) -> Data
     """Cell, quarter, its own value, and ``<scope>_median`` over each coarser group of the quarter."""
     out = panel.select(*CELL, "district_type", "quarter", value)
     for name, by in scopes.items():
-        out = out.join(panel.groupBy(*by, "quarter").agg(F.median(value).alias(f"{name}_median")), [*by, "quarter"], "left")
+        out = out.join(ranking.medians(panel, value, [*by, "quarter"], f"{name}_median").drop(f"{name}_median_n"), [*by, "quarter"], "left")
     return out.select(*CELL, "quarter", value, *(f"{n}_median" for n in scopes))
 
 

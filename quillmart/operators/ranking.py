@@ -169,16 +169,76 @@ def peer_z(df: DataFrame, values: list[str], wide: list[str], narrow: list[str],
     return out.withColumns(made).select(*df.columns, "peers", *(f"{v}_z" for v in values))
 
 
-def _median_of_others(df: DataFrame, value: str, by: list[str], key: str, out: str) -> DataFrame:
-    """``df`` with the median of the other rows' values: the order statistics around the middle decide, no pairs are made."""
-    w = Window.partitionBy(*by)
-    ranked = df.withColumns({"_r": F.row_number().over(w.orderBy(value, key)), "_n": F.count(F.lit(1)).over(w)})
-    k1, k2 = F.floor(F.col("_n") / 2), F.floor((F.col("_n") + 1) / 2)  # of n - 1 values
-    at = lambda k: F.max(F.when(F.col("_r") == k, F.col(value))).over(w)
-    mids = ranked.withColumns({"_a": at(k1), "_b": at(k1 + 1), "_c": at(k2), "_d": at(k2 + 1)})
-    first = F.when(k1 < F.col("_r"), F.col("_a")).otherwise(F.col("_b"))
-    second = F.when(k2 < F.col("_r"), F.col("_c")).otherwise(F.col("_d"))
-    return mids.withColumn(out, F.when(F.col("_n") > 1, (first + second) / 2)).drop("_r", "_n", "_a", "_b", "_c", "_d")
+#: Groups of fewer rows are looked at whole.
+BRACKETED = 10_000
+
+
+def _joined(df: DataFrame, groups: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """``df`` with the columns of ``groups``, a row a group; null keys make groups like any other."""
+    groups = groups.withColumnsRenamed({c: f"_of_{c}" for c in by})
+    return df.join(groups, reduce(lambda x, y: x & y, (df[c].eqNullSafe(groups[f"_of_{c}"]) for c in by)), how).drop(*(f"_of_{c}" for c in by))
+
+
+def middles(df: DataFrame, value: str, by: list[str], ranks: dict[str, Column], accuracy: int = BRACKETED) -> DataFrame:
+    """(by, _n, ranks): of each group the number of values and those at the given ranks, from 1, next to the middle.
+
+    Ranks are expressions of ``_n`` within two of half of it. No group is sorted or gathered: an approximate pass brackets the
+    middle, what lies below is counted, and of what lies inside, some ``4 / accuracy`` of a large group, the distinct
+    values with their counts are put in order. Nulls are ignored; a rank outside of 1 to ``_n`` gives null.
+    """
+    known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    near = F.percentile_approx("_v", [0.5 - 2 / accuracy, 0.5 + 2 / accuracy], accuracy)
+    groups = known.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), near.alias("_b"))
+    small = F.col("_n") < BRACKETED
+    groups = groups.select(*by, "_n", F.when(small, F.col("_lo")).otherwise(F.col("_b")[0]).alias("_lo"), F.when(small, F.col("_hi")).otherwise(F.col("_b")[1]).alias("_hi"))
+    inside = _joined(known, groups, by).where("_v <= _hi").withColumn("_v", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")))
+    counts = inside.groupBy(*by, "_v").agg(F.count("*").alias("_k"), F.first("_n").alias("_n"))
+    upto = counts.withColumn("_upto", F.sum("_k").over(Window.partitionBy(*by).orderBy(F.col("_v").asc_nulls_first())))
+    at = [F.min(F.when((F.col("_upto") >= r) & (r >= 1), F.struct("_upto", "_v"))).alias(c) for c, r in ranks.items()]
+    found = upto.groupBy(*by).agg(F.first("_n").alias("_n"), *at)
+    # the approximation is good for one in ``accuracy``; a rank outside of the bracket would mean that it isn't
+    missed = F.lit(False)
+    for c, r in ranks.items():
+        missed = missed | ((r >= 1) & (r <= F.col("_n")) & F.col(f"{c}._v").isNull())
+    return found.where(F.when(missed, F.raise_error(F.lit("a middle lies outside of its bracket"))).isNull()).select(*by, "_n", *(F.col(f"{c}._v").alias(c) for c in ranks))
+
+
+def medians(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
+    """(by, ``out``, ``out``_n): each group's exact median, null without values, and the number of its values."""
+    n = F.col("_n")
+    found = middles(df, value, by, {"_a": F.floor((n + 1) / 2), "_b": F.floor(n / 2) + 1})
+    some = found.select(*by, ((F.col("_a") + F.col("_b")) / 2).alias(out), n.alias(f"{out}_n"))
+    every = df.select(*by).distinct()
+    return _joined(every, some, by, "left").withColumn(f"{out}_n", F.coalesce(f"{out}_n", F.lit(0)))
+
+
+def _median_of_others(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
+    """``df`` with the median of the other rows' values, from the order statistics around the group's middle.
+
+    The k-th of the others is the group's k-th where the row's own value is above that, else the next one.
+    """
+    n = F.col("_n")
+    k1, k2 = F.floor(n / 2), F.floor((n + 1) / 2)  # of n - 1 values
+    both = _joined(df, middles(df, value, by, {"_a": k1, "_b": k1 + 1, "_c": k2, "_d": k2 + 1}), by)
+    first = F.when(F.col(value) > F.col("_a"), F.col("_a")).otherwise(F.col("_b"))
+    second = F.when(F.col(value) > F.col("_c"), F.col("_c")).otherwise(F.col("_d"))
+    return both.withColumn(out, F.when(n > 1, (first + second) / 2)).drop("_n", "_a", "_b", "_c", "_d")
+
+
+def counts_upto(df: DataFrame, value: str, by: list[str], out: str, size: str, parts: int = 64) -> DataFrame:
+    """``df`` with ``out``, the number of the group's values at most the row's own, and ``size``, that of all its values.
+
+    A group's distinct values are dealt over up to ``parts`` ranges of it, counted within each and put after those before.
+    """
+    known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    edges = known.groupBy(*by).agg(F.count("*").alias("_size"), F.percentile_approx("_v", [i / parts for i in range(1, parts)], 1000).alias("_edges"))
+    counts = _joined(known.groupBy(*by, "_v").agg(F.count("*").alias("_k")), edges, by)
+    counts = counts.withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col("_v")))).drop("_edges")
+    w = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.groupBy(*by, "_part").agg(F.sum("_k").alias("_s")).select(*by, "_part", F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_before"))
+    within = counts.withColumn("_within", F.sum("_k").over(Window.partitionBy(*by, "_part").orderBy("_v")))
+    found = _joined(within, before, [*by, "_part"]).select(*by, F.col("_v").alias(value), (F.col("_before") + F.col("_within")).alias(out), F.col("_size").alias(size))
+    return _joined(df, found, [*by, value], "left")
 
 
 def robust_z(df: DataFrame, value: str, by: list[str], key: str, least: int = 20) -> DataFrame:
@@ -187,14 +247,11 @@ def robust_z(df: DataFrame, value: str, by: list[str], key: str, least: int = 20
     A group has few distinct medians of others (three at most), so deviations are made once for each of them: the work
     is in proportion to the rows. Rows with fewer than ``least`` others are left out; a MAD near 0 gives 0.
     """
-    w = Window.partitionBy(*by)
     rows = df.where(F.col(value).isNotNull()).select(*by, key, F.col(value).alias("_v"))
-    rows = _median_of_others(rows, "_v", by, key, "_med")
-    upto = F.count(F.lit(1)).over(w.orderBy("_v").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumns({"_size": F.count(F.lit(1)).over(w), "_upto": upto}).where(F.col("_size") > least)
+    rows = counts_upto(_median_of_others(rows, "_v", by, "_med"), "_v", by, "_upto", "_size").where(F.col("_size") > least)
     medians = rows.select(*by, F.col("_med").alias("_of")).distinct()
-    spread = rows.join(medians, by).withColumn("_dev", F.abs(F.col("_v") - F.col("_of")))
-    spread = _median_of_others(spread, "_dev", [*by, "_of"], key, "_mad").where(F.col("_of") == F.col("_med"))
+    spread = _joined(rows, medians, by).withColumn("_dev", F.abs(F.col("_v") - F.col("_of")))
+    spread = _median_of_others(spread, "_dev", [*by, "_of"], "_mad").where(F.col("_of") == F.col("_med"))
     z = F.when(F.col("_mad") > 1e-9, 0.6745 * (F.col("_v") - F.col("_med")) / F.col("_mad")).otherwise(0.0)
     return spread.select(*by, key, F.col("_v").alias(value), F.least(F.greatest(z, F.lit(-10.0)), F.lit(10.0)).alias("robust_z"), ((F.col("_upto") - 1) / (F.col("_size") - 1) * 100).alias("percentile"))
 

@@ -136,11 +136,12 @@ def neighbour_changes(changes: DataFrame, places: DataFrame, place: str, radius:
     ``changes(place, quarter, change)``.
     """
     from quillmart.functions.classify import regional_pattern
+    from quillmart.operators.ranking import medians
 
     other = f"_{place}"
     pairs = radius_join(places.select(place, "x", "y"), places.select(F.col(place).alias(other), "x", "y"), radius).where(F.col(place) != F.col(other)).select(place, other)
     theirs = changes.select(F.col(place).alias(other), "quarter", F.col("change").alias("_c")).where("_c is not null")
-    around = pairs.join(theirs, other).groupBy(place, "quarter").agg(F.median("_c").alias("around"), F.count("*").alias("n_around"))
+    around = medians(pairs.join(theirs, other), "_c", [place, "quarter"], "around").withColumnRenamed("around_n", "n_around")
     out = changes.join(around, [place, "quarter"], "left").withColumn("n_around", F.coalesce("n_around", F.lit(0)))
     return out.select(place, "quarter", "change", "around", "n_around", regional_pattern(F.col("change"), F.col("around"), F.col("n_around")).alias("pattern"))
 
