@@ -61,12 +61,12 @@ PLAIN = simulated.World()
 
 
 @query(
-    f"WITH {log_sql(PLAIN)} SELECT decision_id, problem, district, industry, quarter, treated_quarter, cluster, x1, x2, x3, x4, x5, x6, arm, propensity, forced, round_even(sales_before, 2) AS sales_before, round_even(sales_after, 2) AS sales_after, hour, reward FROM decided",
-    "x1 x2 x3 x4 x5 x6 propensity reward sales_before sales_after",
+    f"WITH {log_sql(PLAIN)} SELECT decision_id, problem, district, industry, quarter, treated_quarter, cluster, x1, x2, x3, x4, x5, x6, arm, propensity, forced, ln(sales_before) AS log_before, ln(sales_after) AS log_after, hour, reward FROM decided",
+    "x1 x2 x3 x4 x5 x6 propensity reward log_before log_after",
 )
 def simulated_log(t: Tables) -> DataFrame:
     rows = simulated.log(tables.panel(t), PLAIN).drop("candidates", "probabilities", "cost_before", "cost_after", "campaign_cost", "days")
-    return rows.withColumns({c: F.bround(c, 2) for c in ("sales_before", "sales_after")})
+    return rows.select("*", F.ln("sales_before").alias("log_before"), F.ln("sales_after").alias("log_after")).drop("sales_before", "sales_after")
 
 
 @query(
