@@ -134,81 +134,110 @@ def _combination(controls: list[str]) -> Column:
     return F.to_json(F.struct(*controls), {"ignoreNullFields": "false"}) if controls else F.lit("")
 
 
-def factor_effect(days: DataFrame, factor: str, target: str, controls: list[str], cluster: str = "day") -> dict | None:
-    """coef, se, p, effect_pct, n of log1p(target) on a factor with dummies for the combinations of ``controls``.
+def factor_fits(days: DataFrame, factors: list[str], target: str, controls: list[str], cluster: str = "day", splits: int = 3) -> list[dict]:
+    """coef, se, p, effect_pct, low_pct, high_pct, n, unit, sd, gain_pct of log1p(target) on each factor by itself, with dummies for the combinations of ``controls``.
+
+    A factor of 0 and 1 is used as it is, any other in standard deviations. ``gain_pct``: by how many percent the factor
+    lowers the absolute error on later days, over expanding splits; 0 with fewer than 60 days. Factors with fewer than
+    30 rows, one value, or none that varies within a combination are left out, and rows without target, factor, day or
+    cluster take no part.
 
-    A factor of 0 and 1 is used as it is, any other in standard deviations. None with fewer than 30 rows or one value.
+    Factors are rows, so all of them share two passes: moments by factor, combination and block of days, whose prefix
+    sums are every split's model and, over all blocks, the whole one; then scores by cluster and errors by block. One
+    row a factor reaches the driver.
     """
-    known = days.where(F.col(factor).isNotNull() & F.col(target).isNotNull())
-    row = known.agg(F.count("*").alias("n"), F.min(factor).alias("lo"), F.max(factor).alias("hi"), F.avg(factor).alias("m"), F.stddev_pop(factor).alias("s"), F.sum((~F.col(factor).isin(0, 1)).cast("int")).alias("other")).first()
-    if row["n"] < 30 or row["lo"] == row["hi"] or not row["s"]:
-        return None
-    binary = not row["other"]
-    x = F.col(factor).cast("double") if binary else (F.col(factor) - row["m"]) / row["s"]
-    rows = known.select(F.log1p(target).alias("_y"), x.alias("_x"), _combination(controls).alias("_g"), cluster)
-    found = fit(rows, "_y", ["_x"], "_g", cluster)
-    b, se = float(found.coef[0]), float(found.se[0])
-    return {"factor": factor, "coef": b, "se": se, "p": float(found.p[0]), "effect_pct": math.expm1(b) * 100, "low_pct": math.expm1(b - 1.959963984540054 * se) * 100, "high_pct": math.expm1(b + 1.959963984540054 * se) * 100, "n": found.n, "unit": "binary" if binary else "deviation", "sd": row["s"]}
+    from quillmart.operators.storage import stored
+
+    each = F.array(*(F.struct(F.lit(f).alias("factor"), F.col(f).cast("double").alias("_x")) for f in factors))
+    long = days.select(F.log1p(target).alias("_y"), _combination(controls).alias("_g"), F.col(cluster).alias("_c"), F.col("day").alias("_day"), F.explode(each).alias("_f"))
+    long = long.select("_f.factor", "_f._x", "_y", "_g", "_c", "_day").where("_x is not null and _y is not null and _c is not null and _day is not null")
+    long = stored(long, "factors")
+    other = F.sum((~F.col("_x").isin(0, 1)).cast("int"))
+    stats = long.groupBy("factor").agg(F.count("*").alias("rows"), F.stddev_pop("_x").alias("sd"), (other == 0).alias("binary")).where("rows >= 30 and sd > 0")
+
+    # one row a factor and day
+    by_day = Window.partitionBy("factor")
+    dates = long.select("factor", "_day").distinct().withColumns({"_r": F.row_number().over(by_day.orderBy("_day")) - 1, "_days": F.count("*").over(by_day)})
+    size = F.greatest(F.lit(1), F.floor(F.col("_days") / (splits + 1)))
+    block = F.greatest(F.lit(0), splits - F.floor((F.col("_days") - 1 - F.col("_r")) / size)).cast("int")
+    rows = long.join(dates.select("factor", "_day", "_days", block.alias("_block")), ["factor", "_day"])
+
+    x, y, whole = F.col("_x"), F.col("_y"), splits + 1
+    moments = rows.groupBy("factor", "_g", "_block").agg(F.count("*").alias("n"), F.sum(y).alias("y"), F.sum(x).alias("x"), F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"))
+    models = moments.withColumn("k", F.explode(F.sequence(F.col("_block") + 1, F.lit(whole)))).groupBy("factor", "k", "_g").agg(*(F.sum(c).alias(c) for c in ("n", "y", "x", "xy", "xx")))
+    n = F.col("n")
+    sxx, sxy = F.sum(F.col("xx") - F.col("x") ** 2 / n), F.sum(F.col("xy") - F.col("x") * F.col("y") / n)
+    beta = F.when(sxx > 1e-12 * F.sum("xx"), sxy / sxx)
+    slopes = models.groupBy("factor", "k").agg(beta.alias("beta"), sxx.alias("sxx"), F.sum("n").alias("n"), F.count("*").alias("groups"), (F.sum("y") / F.sum("n")).alias("y"), (F.sum("x") / F.sum("n")).alias("x"))
+    keyed = lambda *value: F.map_from_entries(F.collect_list(F.struct("k", F.struct(*value))))
+    slopes = slopes.groupBy("factor").agg(keyed("beta", "sxx", "n", "groups", "y", "x").alias("_fit"))
+    means = models.groupBy("factor", "_g").agg(keyed((F.col("y") / n).alias("y"), (F.col("x") / n).alias("x")).alias("_mean"))
+
+    at = lambda column, k: F.element_at(column, k)
+    total, mean = at("_fit", F.lit(whole)), at("_mean", F.lit(whole))
+    xc = x - mean["x"]
+    score = (y - mean["y"] - total["beta"] * xc) * xc
+    model, seen = at("_fit", F.col("_block")), at("_mean", F.col("_block"))
+    my, mx = F.coalesce(seen["y"], model["y"]), F.coalesce(seen["x"], model["x"])
+    plain, fitted = F.abs(y - my), F.abs(y - my - F.coalesce(model["beta"], F.lit(0.0)) * (x - mx))
+    scored = rows.join(means, ["factor", "_g"]).join(slopes, "factor").withColumns({"_u": score, "_plain": plain, "_fitted": fitted})
+    within = lambda k, value: F.sum(F.when(F.col("_block") == k, value))
+    ks = range(1, whole)
+    errors = [e.alias(f"{name}{k}") for k in ks for name, e in (("n", within(k, 1)), ("p", within(k, F.col("_plain"))), ("f", within(k, F.col("_fitted"))))]
+    clusters = scored.groupBy("factor", "_c").agg(F.sum("_u").alias("u"), F.first("_fit").alias("_fit"), F.first("_days").alias("_days"), *errors)
+    sums = [F.sum(f"{name}{k}").alias(f"{name}{k}") for k in ks for name in "npf"]
+    result = clusters.groupBy("factor").agg(F.count("*").alias("clusters"), F.sum(F.col("u") ** 2).alias("meat"), F.first("_fit").alias("_fit"), F.first("_days").alias("days"), *sums)
+    result = result.join(stats, "factor").select("*", total.alias("_all")).drop("_fit")
+
+    found = {}
+    for r in result.collect():
+        a, g = r["_all"], r["clusters"]
+        if a["beta"] is None:
+            continue
+        unit = 1.0 if r["binary"] else r["sd"]
+        k = 1 + a["groups"]
+        scale = g / (g - 1) * (a["n"] - 1) / (a["n"] - k) if g > 1 and a["n"] > k else math.nan
+        b, se = a["beta"] * unit, math.sqrt(max(r["meat"] * scale, 0.0)) / a["sxx"] * unit if scale == scale else math.nan
+        gain = 0.0
+        if r["days"] >= 60:
+            before, after = (float(np.mean([r[f"{name}{k}"] / r[f"n{k}"] for k in ks])) for name in "pf")
+            gain = (before - after) / before * 100 if before else 0.0
+        p = math.erfc(abs(b / se) / math.sqrt(2)) if se > 0 else math.nan
+        percent = lambda v: math.expm1(v) * 100
+        reach = 1.959963984540054 * se
+        found[r["factor"]] = {"factor": r["factor"], "coef": b, "se": se, "p": p, "effect_pct": percent(b), "low_pct": percent(b - reach), "high_pct": percent(b + reach), "n": a["n"], "unit": "binary" if r["binary"] else "deviation", "sd": r["sd"], "gain_pct": gain}
+    return [found[f] for f in factors if f in found]
 
 
-def validation_gain(days: DataFrame, factor: str, target: str, controls: list[str], splits: int = 3) -> float:
-    """By how many percent a factor lowers the absolute error of log1p(target) on later days, over expanding splits; 0 with fewer than 60 days.
+def factor_effect(days: DataFrame, factor: str, target: str, controls: list[str], cluster: str = "day") -> dict | None:
+    """The one factor's row of ``factor_fits``, or None."""
+    return next(iter(factor_fits(days, [factor], target, controls, cluster)), None)
 
-    Training moments of a split are sums over the blocks of days before it, so one pass gives every split's model.
-    """
-    known = days.where(F.col(factor).isNotNull() & F.col(target).isNotNull()).select("day", F.log1p(target).alias("_y"), F.col(factor).cast("double").alias("_x"), _combination(controls).alias("_g"))
-    dates = known.select("day").distinct()
-    n = dates.count()
-    if n < 60:
-        return 0.0
-    size = n // (splits + 1)
-    # one row a day
-    ordered = dates.withColumn("_r", F.row_number().over(Window.orderBy("day")) - 1)
-    block = F.greatest(F.lit(0), splits - F.floor((n - 1 - F.col("_r")) / size)).cast("int")
-    rows = known.join(F.broadcast(ordered.select("day", block.alias("_block"))), "day")
-    sums: dict[tuple[int, str], np.ndarray] = {}
-    agg = rows.groupBy("_block", "_g").agg(F.count("*").alias("n"), F.sum("_y").alias("y"), F.sum("_x").alias("x"), F.sum(F.col("_x") * F.col("_y")).alias("xy"), F.sum(F.col("_x") * F.col("_x")).alias("xx"))
-    for r in agg.collect():
-        sums[r["_block"], r["_g"]] = np.array([r["n"], r["y"], r["x"], r["xy"], r["xx"]], float)
-    base, full = [], []
-    for k in range(1, splits + 1):
-        train: dict[str, np.ndarray] = {}
-        for (b, g), v in sums.items():
-            if b < k:
-                train[g] = train.get(g, np.zeros(5)) + v
-        sxx = sum(v[4] - v[2] ** 2 / v[0] for v in train.values())
-        sxy = sum(v[3] - v[2] * v[1] / v[0] for v in train.values())
-        beta = sxy / sxx if sxx else 0.0
-        whole = sum(train.values())
-        means = F.create_map(*(x for g, v in train.items() for x in (F.lit(g), F.array(F.lit(float(v[1] / v[0])), F.lit(float(v[2] / v[0]))))))
-        at = F.coalesce(F.element_at(means, F.col("_g")), F.array(F.lit(float(whole[1] / whole[0])), F.lit(float(whole[2] / whole[0]))))
-        test = rows.where(F.col("_block") == k)
-        e = test.agg(F.avg(F.abs(F.col("_y") - at[0])).alias("b"), F.avg(F.abs(F.col("_y") - at[0] - beta * (F.col("_x") - at[1]))).alias("f")).first()
-        base.append(e["b"])
-        full.append(e["f"])
-    return (np.mean(base) - np.mean(full)) / np.mean(base) * 100 if np.mean(base) else 0.0
+
+def validation_gain(days: DataFrame, factor: str, target: str, controls: list[str], splits: int = 3) -> float:
+    """The one factor's ``gain_pct`` of ``factor_fits``; 0 where it is left out."""
+    return next((r["gain_pct"] for r in factor_fits(days, [factor], target, controls, "day", splits)), 0.0)
 
 
 def period_attribution(days: DataFrame, factors: list[str], base: Column, current: Column, controls: list[str]) -> DataFrame:
     """factor, before, after, effect_pct, amount, p, adjusted_p, join_rate, gain_pct, confidence, direction: what a factor's move between two stretches goes along with.
 
-    Associations, not causes. Factors are few; each is one regression job.
+    Associations, not causes. All factors' means come from one aggregate and their fits from the passes of ``factor_fits``.
     """
     from quillmart.functions.classify import effect_confidence
     from quillmart.operators.ranking import adjusted_p
 
-    revenue = days.agg(F.sum(F.when(base, F.col("revenue"))).alias("r")).first()["r"] or 0.0
+    means = [m for i, f in enumerate(factors) for m in (F.avg(F.when(base, F.col(f).cast("double"))).alias(f"b{i}"), F.avg(F.when(current, F.col(f).cast("double"))).alias(f"c{i}"), F.avg(F.col(f).isNotNull().cast("double")).alias(f"j{i}"))]
+    row = days.agg(F.sum(F.when(base, F.col("revenue"))).cast("double").alias("revenue"), *means).first()
+    fits = {r["factor"]: r for r in factor_fits(days, factors, "revenue", controls)}
     out = []
-    for f in factors:
-        got = factor_effect(days, f, "revenue", controls)
-        if got is None:
-            continue
-        row = days.agg(F.avg(F.when(base, F.col(f).cast("double"))).alias("b"), F.avg(F.when(current, F.col(f).cast("double"))).alias("c"), F.avg(F.col(f).isNotNull().cast("double")).alias("j")).first()
-        if row["b"] is None or row["c"] is None:
+    for i, f in enumerate(factors):
+        got, before, after = fits.get(f), row[f"b{i}"], row[f"c{i}"]
+        if got is None or before is None or after is None:
             continue
-        delta = row["c"] - row["b"] if got["unit"] == "binary" else (row["c"] - row["b"]) / got["sd"]
+        delta = (after - before) / (1.0 if got["unit"] == "binary" else got["sd"])
         effect = math.expm1(got["coef"] * delta) * 100
-        out.append((f, row["b"], row["c"], effect, revenue * effect / 100, got["p"], row["j"], float(validation_gain(days, f, "revenue", controls))))
+        out.append((f, before, after, effect, (row["revenue"] or 0.0) * effect / 100, got["p"], row[f"j{i}"], got["gain_pct"]))
     df = days.sparkSession.createDataFrame(out, "factor string, before double, after double, effect_pct double, amount double, p double, join_rate double, gain_pct double")
     a = F.col("amount")
     return adjusted_p(df, "p", "factor", "adjusted_p").withColumns({"confidence": effect_confidence(F.col("adjusted_p"), F.col("join_rate"), F.col("gain_pct")), "direction": F.when(a > 0, "positive").when(a < 0, "negative").otherwise("neutral")})

@@ -297,6 +297,37 @@ def test_validation_gain_against_a_loop(spark):
     assert regression.validation_gain(df.limit(59), "traffic", "revenue", ["g"]) == 0.0
 
 
+def test_factors_together_are_the_factors_one_by_one(spark):
+    f = factor_days(160, 11)
+    f.loc[::7, "traffic"] = None
+    df = frame_of(spark, f).withColumns({"flat": F.lit(3), "by_group": (F.col("g") == "a").cast("int"), "none": F.lit(None).cast("double")})
+    known = f[f.traffic.notna()]
+    d = pd.get_dummies(known.g.fillna("-") + "|" + known.h.fillna("-"), dtype=float).to_numpy()
+    raw = known.traffic.astype(float)
+    z, y = np.column_stack([(raw - raw.mean()) / raw.std(ddof=0), d]), np.log1p(known.revenue).to_numpy()
+    b = np.linalg.lstsq(z, y, rcond=None)[0]
+    bread, u = np.linalg.inv(z.T @ z), z * (y - z @ b)[:, None]
+    n, k = len(y), z.shape[1]
+    se = np.sqrt((bread @ (u.T @ u) @ bread)[0, 0] * n / (n - 1) * (n - 1) / (n - k))
+    got = {r["factor"]: r for r in regression.factor_fits(df, ["traffic", "rain", "flat", "by_group", "none"], "revenue", ["g", "h"])}
+    # one value, one within every combination, nothing known: left out
+    assert set(got) == {"traffic", "rain"} and got["traffic"]["n"] == n
+    assert got["traffic"]["coef"] == pytest.approx(b[0]) and got["traffic"]["se"] == pytest.approx(se)
+    assert got["traffic"]["gain_pct"] == pytest.approx(gain_by_hand(known.reset_index(drop=True), "traffic"))
+    for name in got:
+        one = regression.factor_effect(df.repartition(7), name, "revenue", ["g", "h"])
+        assert all(one[c] == (pytest.approx(v) if isinstance(v, float) else v) for c, v in got[name].items())
+    assert regression.factor_fits(df.limit(0), ["traffic", "rain"], "revenue", ["g", "h"]) == []
+
+
+def test_clusters_may_span_blocks_of_days(spark):
+    df = frame_of(spark, factor_days()).withColumn("team", F.dayofmonth("day") % 9)
+    got = regression.factor_effect(df, "rain", "revenue", ["g", "h"], "team")
+    rows = df.select(F.log1p("revenue").alias("y"), F.col("rain").cast("double").alias("x"), regression._combination(["g", "h"]).alias("c"), "team")
+    want = regression.fit(rows, "y", ["x"], "c", "team")
+    assert (got["coef"], got["se"], got["p"]) == (pytest.approx(want.coef[0]), pytest.approx(want.se[0]), pytest.approx(want.p[0]))
+
+
 def test_period_attribution_of_planted_factors(spark):
     f = factor_days()
     f["traffic"] += np.where(np.arange(len(f)) >= 150, 15.0, 0.0)
