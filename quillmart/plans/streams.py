@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quillmart.plans.registry import query
 from quillmart.sources.tables import Tables
-from quillmart.streaming import windows
+from quillmart.streaming import keyed, windows
 
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double"
 
@@ -76,3 +76,27 @@ def stream_running_totals(t: Tables) -> DataFrame:
     for more in path[1:]:
         out = out.union(more)
     return out.groupBy("event_type").agg(F.max_by("n", F.struct("_batch", "n")).alias("n"), F.max_by("total", F.struct("_batch", "n")).alias("total"))
+
+
+@query(
+    """WITH l AS (SELECT event_type AS arm, value AS reward, (user_id % 10) / 10.0::DOUBLE AS x FROM events), s AS (SELECT arm, CAST(count(*) AS BIGINT) AS n, count(*) + 1.0 AS a, sum(x) AS b, sum(x * x) + 1.0 AS d, sum(reward) AS p, sum(reward * x) AS q FROM l WHERE reward IS NOT NULL AND x IS NOT NULL GROUP BY arm)
+SELECT arm, n, (d * p - b * q) / (a * d - b * b) AS constant, (a * q - b * p) / (a * d - b * b) AS slope FROM s""",
+    "constant slope",
+)
+def stream_arm_models(t: Tables) -> DataFrame:
+    """Each arm's ridge model, kept in state and updated by the batch that brings its rows."""
+    log = _stream(t).select(F.col("event_type").alias("arm"), F.col("value").alias("reward"), (F.col("user_id") % 10 / 10).alias("x"))
+    m = keyed.latest_models(keyed.run(keyed.arm_models(log, ["x"]), "arm-models"))
+    return m.select("arm", "n", F.col("theta")[0].alias("constant"), F.col("theta")[1].alias("slope"))
+
+
+@query(
+    """WITH m AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR AS w FROM events),
+s AS (SELECT user_id, ts, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' ELSE 'done' END AS state FROM events WHERE ts <= (SELECT w FROM m)),
+n AS (SELECT *, ts + CASE state WHEN 'queued' THEN INTERVAL 6 HOUR WHEN 'running' THEN INTERVAL 12 HOUR END AS failed, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, state) AS next FROM s)
+SELECT CAST(user_id AS VARCHAR) AS job, state, ts AS since, failed FROM n WHERE failed <= (SELECT w FROM m) AND (next IS NULL OR next > failed)"""
+)
+def stream_stale_jobs(t: Tables) -> DataFrame:
+    """Jobs that stayed queued for six hours or ran for twelve, each failed by its own timer."""
+    state = F.when(F.col("event_type") == "view", "queued").when(F.col("event_type") == "click", "running").otherwise("done")
+    return keyed.run(keyed.stale(_stream(t), "user_id", "ts", state, {"queued": 360, "running": 720}, "1 hour"), "stale-jobs")
