@@ -1,9 +1,11 @@
 """Personal data replaced by keyed surrogates, in DataFrame functions only.
 
-E-mail addresses, secrets (long hexadecimal keys), IBANs, IPv4 addresses, phone, social-security and payment-card
-numbers, and names after a form of address are found by one expression that never backtracks over a long run. A
+E-mail addresses, secrets (long hexadecimal keys, keys with a known prefix, long mixtures of digits and both cases),
+IBANs, IPv4 and IPv6 addresses, phone numbers (international, North American, national with a leading zero),
+social-security and payment-card numbers, and names (after a form of address or a phrase that announces one, or with a
+well-known given name) are found by one expression that never backtracks over a long run. A
 surrogate is a function of a key, the entity's type and its canonical form (lower case, digits without separators
-or country code), so every mention of an entity, however written, gets the same one: coreference holds across all
+country code or trunk zero; mixed keys as written), so every mention of an entity, however written, gets the same one: coreference holds across all
 documents and no text has to move. It keeps the mention's format: separators, digits as digits, letters in their
 case and script, octets in range, a card's check digit if it had one, a name's gender. A surname is an entity of its own: alone
 ("Mr Smith") or after a given name ("Mr John Smith") it is replaced alike, so a short mention still points to the long one.
@@ -30,20 +32,37 @@ GIVEN = {
     ("cyrillic", "f"): ["Алла", "Вера", "Дарья", "Елена", "Жанна", "Ирина", "Лидия", "Нина"],
 }
 SYLLABLES = {"latin": "ba be bo da do fa ga ka ko la le lo ma mi na no ra ri sa ta to va ve wi".split(), "cyrillic": "ба бе бо ва во га да до за ка ко ла ле ло ма ми на но ра ри са та то фа".split()}
+#: Given names that announce a name by themselves, beside those above. Fixed values.
+WELL_KNOWN = {
+    "m": "Alexander Andrew Anthony Benjamin Brian Charles Christopher Daniel Donald Edward Eric Frank Gary George Gregory Hans Henry Jacob James Jason Jeffrey John Jonathan Joseph Joshua Juan Kenneth Kevin Klaus Larry Luca Luis Matthew Michael Nicholas Patrick Peter Pierre Richard Robert Ronald Ryan Samuel Scott Stefan Stephen Steven Thomas Timothy William Wolfgang Александр Андрей Дмитрий Иван Михаил Николай Павел Сергей".split(),
+    "f": "Alice Amanda Amy Angela Anna Barbara Betty Brenda Carol Catherine Christine Cynthia Deborah Donna Dorothy Elizabeth Emily Heather Jane Janet Jennifer Jessica Karen Katherine Kathleen Kimberly Linda Lisa Margaret Marie Martha Mary Melissa Michelle Nancy Nicole Pamela Patricia Rachel Rebecca Ruth Sandra Sarah Sharon Sophie Stephanie Susan Teresa Ursula Анна Екатерина Мария Наталья Ольга Светлана Татьяна".split(),
+}
+#: Phrases that announce a whole name. Fixed values.
+ANNOUNCED = r"[Mm]y name is|[Ii]ch heiße|[Jj]e m’appelle|[Mm]e llamo|[Мм]еня зовут|[Ss]igned(?: by)?:?|[Ww]ritten by|[Ss]incerely,|[Rr]egards,"
 _NAME = r"\p{Lu}[\p{L}'’-]++"
+_KNOWN = "|".join(sorted({n for names in GIVEN.values() for n in names} | {n for names in WELL_KNOWN.values() for n in names}))
+_TITLE = rf"(?:{MALE}|{FEMALE}|{ANY})\.?"
+#: What may stand before a name as part of its mention.
+_BEFORE = rf"(?:{_TITLE}|{ANNOUNCED}) "
+_PREFIX = r"(?:AKIA|ASIA|AIza|eyJ|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[spr]k[-_](?:(?:live|test|proj)[-_])?)"
 PATTERNS = {
     "EMAIL": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
     "SECRET": _B + r"(?=[a-fA-F]{0,31}[0-9])[0-9a-fA-F]{32,}+" + _E,
+    # forms with hyphens begin where their run begins, so no run is gone through more than once
+    "KEY": _B + r"(?:(?<![_-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|(?:gh[pousr]_|github_pat_|glpat-|[spr]k[-_](?:(?:live|test|proj)[-_])?)(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{16,}+|xox[abprs]-[A-Za-z0-9-]{16,}+|AIza[A-Za-z0-9_-]{35}"
+    + r"|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)|(?=(?:[A-Za-z]*+[0-9]){3})(?=[0-9a-z]*+[A-Z])(?=[0-9A-Z]*+[a-z])[A-Za-z0-9]{24,}+)" + _E,
     "IBAN": _B + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _E,
     "IP": _B + r"(?<!\.)(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?[0-9])" + _E,
-    "PHONE": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})" + _E,
+    "IP6": r"(?<![\p{L}\p{N}:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]{0,39}[0-9])[0-9A-Fa-f]{3,4}(?::[0-9A-Fa-f]{1,4}){0,5}::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})(?![\p{L}\p{N}:])",
+    "PHONE": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}"
+    + r"|0[0-9](?:[ .][0-9]{2}){4}|(?=(?:[()/ -]{0,2}[0-9]){9,13}(?![0-9]))\(?0(?:0[0-9]{1,3} [0-9]{2,5}|[0-9]{2,5})\)?[ /-][0-9]{3,8}(?:[ -][0-9]{2,5}){0,3})" + _E,
     "CARD": _B + r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})" + _E,
     "SSN": _B + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _E,
-    "NAME": _B + rf"(?:{MALE}|{FEMALE}|{ANY})\.? {_NAME}(?: {_NAME})?",
+    "NAME": _B + rf"(?:{_TITLE} {_NAME}(?: {_NAME})?|(?:{ANNOUNCED}) (?!{_TITLE} ){_NAME} {_NAME}|(?=\p{{Lu}})(?:{_KNOWN}) {_NAME})",
 }
 ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What any of the patterns needs: a text without it is passed by at once.
-_QUICK = rf"[0-9@]|(?:{MALE}|{FEMALE}|{ANY})\.? \p{{Lu}}"
+_QUICK = rf"[0-9@]|{_BEFORE}\p{{Lu}}|(?=\p{{Lu}})(?:{_KNOWN}) \p{{Lu}}"
 
 
 def let(value, body):
@@ -54,15 +73,15 @@ def let(value, body):
 def kind(m):
     """The type of a mention that the expression found."""
     out = F.lit("NAME")
-    for name in ("SSN", "CARD", "PHONE", "IP", "IBAN", "SECRET", "EMAIL"):
+    for name in ("SSN", "CARD", "PHONE", "IP6", "IP", "IBAN", "KEY", "SECRET", "EMAIL"):
         out = F.when(m.rlike(f"^(?:{PATTERNS[name]})$"), F.lit(name)).otherwise(out)
     return out
 
 
 def _form(m, k):
-    digits = F.regexp_replace(F.regexp_replace(m, r"^\+[0-9]{1,3}(?=[^0-9])", ""), r"[^0-9]", "")
-    form = F.when(k.isin("PHONE", "CARD", "SSN"), digits).when(k == "IBAN", F.regexp_replace(m, " ", ""))
-    return form.when(k == "NAME", F.regexp_replace(m, rf"^(?:{MALE}|{FEMALE}|{ANY})\.? ", "")).otherwise(F.lower(m))
+    digits = F.regexp_replace(F.regexp_replace(m, r"^(?:\+|00)[0-9]{1,3}(?=[^0-9])", ""), r"[^0-9]", "")
+    form = F.when(k == "PHONE", F.regexp_replace(digits, "^0", "")).when(k.isin("CARD", "SSN"), digits).when(k == "KEY", m).when(k == "IBAN", F.regexp_replace(m, " ", ""))
+    return form.when(k == "NAME", F.regexp_replace(m, rf"^{_BEFORE}", "")).otherwise(F.lower(m))
 
 
 def canonical(m):
@@ -149,8 +168,13 @@ def _iban(m, numbers):
 
 
 def _phone(m, numbers):
-    """The country code stays."""
-    return let(F.regexp_extract(m, r"^(?:\+[0-9]{1,3}(?=[^0-9]))?", 0), lambda code: F.concat(code, _shaped(F.substring(m, F.length(code) + 1, F.length(m)), numbers)))
+    """The country code and a leading zero stay."""
+    return let(F.regexp_extract(m, r"^(?:(?:\+|00)[0-9]{1,3}(?=[^0-9])[ .-]?)?\(?0?\)?", 0), lambda code: F.concat(code, _shaped(F.substring(m, F.length(code) + 1, F.length(m)), numbers)))
+
+
+def _key(m, numbers):
+    """A known prefix stays."""
+    return let(F.regexp_extract(m, rf"^{_PREFIX}?", 0), lambda prefix: F.concat(prefix, _shaped(F.substring(m, F.length(prefix) + 1, F.length(m)), numbers)))
 
 
 def _card(m, numbers):
@@ -165,7 +189,7 @@ def _card(m, numbers):
 
 
 #: A given name and a surname in a canonical form, and what goes to leave the surname.
-_FULL, _FIRST = r"^NAME:[^ ]+ [^ ]+$", rf"((?:{MALE}|{FEMALE}|{ANY})\.? )[^ ]+ ([^ ]+)"
+_FULL, _FIRST = r"^NAME:[^ ]+ [^ ]+$", rf"({_BEFORE})?[^ ]+ ([^ ]+)"
 
 
 def surname(entity):
@@ -174,7 +198,7 @@ def surname(entity):
 
 
 def _name(m, numbers, attempt, family, key: str):
-    """The address stays; two words get a given name by gender and script, the last one becomes syllables.
+    """What stands before the name stays; two words get a given name by gender and script, the last one becomes syllables.
 
     The syllables come from the last word alone, as often drawn as ``family`` says where another word stands before it.
     """
@@ -184,10 +208,10 @@ def _name(m, numbers, attempt, family, key: str):
     def named(p):
         address, words = p["address"], p["words"]
         word, final = F.get(words, F.lit(0)), F.get(words, F.size(words) - 1)
-        known = word.isin(*(n for (_, g), names in GIVEN.items() if g == "f" for n in names))
-        # after an address for either: a listed name, or the ending of most given names of women
-        likely = known | (word.rlike(r"(?:a|ah|ie|ine|elle|ette|а|я)$") & (F.size(words) > 1))
-        female = address.rlike(rf"^(?:{FEMALE})\.? $") | (address.rlike(rf"^(?:{ANY})\.? $") & likely)
+        known = lambda sex: word.isin(*(n for (_, g), names in GIVEN.items() if g == sex for n in names), *WELL_KNOWN[sex])
+        # where no address tells: a listed name, or the ending of most given names of women
+        likely = known("f") | (word.rlike(r"(?:a|ah|ie|ine|elle|ette|а|я)$") & (F.size(words) > 1) & ~known("m"))
+        female = address.rlike(rf"^(?:{FEMALE})\.? $") | (~address.rlike(rf"^(?:{MALE})\.? $") & likely)
         given = lambda i: script(word, lambda s: F.when(female, of(GIVEN[s, "f"], _at(numbers, i))).otherwise(of(GIVEN[s, "m"], _at(numbers, i))))
         # a given name gets a further part with every draw that collided
         first = F.array_join(F.transform(F.sequence(F.lit(0), attempt), given), "-")
@@ -200,7 +224,7 @@ def _name(m, numbers, attempt, family, key: str):
     def parted(address):
         return let(F.struct(address.alias("address"), F.split(F.substring(m, F.length(address) + 1, F.length(m)), " ").alias("words")), named)
 
-    return let(F.regexp_extract(m, rf"^(?:{MALE}|{FEMALE}|{ANY})\.? ", 0), parted)
+    return let(F.regexp_extract(m, rf"^(?:{_BEFORE})?", 0), parted)
 
 
 def surrogate(m, attempt, family, key: str):
@@ -209,7 +233,7 @@ def surrogate(m, attempt, family, key: str):
     def drawn(m, k, numbers):
         upper = (m == F.upper(m)) & m.rlike("[A-Z]")
         return (
-            F.when(k == "EMAIL", let(_email(m, numbers, attempt, key), lambda x: F.when(upper, F.upper(x)).otherwise(x))).when(k == "SECRET", _shaped(m, numbers, 0, 6))
+            F.when(k == "EMAIL", let(_email(m, numbers, attempt, key), lambda x: F.when(upper, F.upper(x)).otherwise(x))).when(k.isin("SECRET", "IP6"), _shaped(m, numbers, 0, 6)).when(k == "KEY", _key(m, numbers))
             .when(k == "IBAN", _iban(m, numbers)).when(k == "IP", _ip(m, numbers, attempt)).when(k == "PHONE", _phone(m, numbers)).when(k == "CARD", _card(m, numbers))
             .when(k == "SSN", _shaped(m, numbers)).otherwise(_name(m, numbers, attempt, family, key))
         )
