@@ -145,3 +145,18 @@ def test_op1_odd_rows(spark):
     assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows)
     assert [r.held_out for r in rows if r.doc_id is None] == [False]
     assert quality.classify(docs.limit(0), labels).count() == 0
+
+
+@pytest.mark.parametrize(("name", "spaces"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_a_word_is_encoded_once_whatever_follows_it(name, spaces):
+    """Punctuation, and capitals where they don't count, cost no call; nor does a word met again after the memory has turned over."""
+    c = Chunks(public_tokenizers.path(name), spaces)
+    asked = []
+    add = c._add_words
+    c._add_words = lambda words: (asked.extend(words), add(words))[1]
+    texts = ["so, Élan anor; anor. anor:, «anor» x-y\nElan, elan Anor!? 3rd\nanor"] * 2
+    for t, got in zip(texts, c.each(texts), strict=True):
+        assert c.library.encode(t, add_special_tokens=False).ids == got.tolist()
+    c.old, c.memory = c.memory, encoding._Memory()
+    assert next(c.each(texts)).tolist() == c.library.encode(texts[0], add_special_tokens=False).ids
+    assert asked.count("anor") == 1 and len(asked) == len(set(asked))
