@@ -160,3 +160,23 @@ def test_a_word_is_encoded_once_whatever_follows_it(name, spaces):
     c.old, c.memory = c.memory, encoding._Memory()
     assert next(c.each(texts)).tolist() == c.library.encode(texts[0], add_special_tokens=False).ids
     assert asked.count("anor") == 1 and len(asked) == len(set(asked))
+
+
+def test_op5_words_that_open_lines_need_no_whole_call(monkeypatch):
+    """After a line break a word is merged as it stands; only other chunks go through the whole library."""
+    c = Chunks(public_tokenizers.path("byte_bpe_50k.json"), True)
+    texts = ["First line, of words.\nSecond: and\nÉlan\nlast.", "\nopen", "First\n3rd x-y\n?!"]
+    want = [c.library.encode(t, add_special_tokens=False).ids for t in texts]
+    asked = []
+    whole = c.library
+
+    class Counted:
+        model = whole.model
+
+        def encode_batch_fast(self, x, **k):
+            asked.extend(x)
+            return whole.encode_batch_fast(x, **k)
+
+    c.library = Counted()
+    assert [x.tolist() for x in c.each(texts)] == want
+    assert not [x for x in asked if x.strip().rstrip(".,:").isalpha()]
