@@ -220,7 +220,7 @@ class Chunks:
         if part:
             yield first, *self._part(part)
 
-    def each(self, texts: list[str]) -> Iterator[np.ndarray]:
+    def each(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         for _, ids, bounds in self.encode(texts):
             for i in range(len(bounds) - 1):
                 yield ids[bounds[i] : bounds[i + 1]]

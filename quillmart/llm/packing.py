@@ -17,14 +17,16 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from quillmart.llm.common import text_of
+from quillmart.llm.common import given_back, text_of
 from quillmart.llm.encoding import chunks
 
 CAPACITY, BLOCK_TOKENS = 1024, 4_000_000
+#: Pieces that go back to Spark at once.
+ROWS = 2_048
 
 
 def assign(lengths: list[int], capacity: int = CAPACITY, linear: float = 1.0, quadratic: float = 1.0 / CAPACITY) -> list[list[tuple[int, int]]]:
@@ -53,17 +55,19 @@ def assign(lengths: list[int], capacity: int = CAPACITY, linear: float = 1.0, qu
     return out
 
 
-def _blocks(frames: Iterator[pd.DataFrame], path: str, end_id: int, block_tokens: int) -> Iterator[list[tuple[object, np.ndarray]]]:
+def _blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int, block_tokens: int) -> Iterator[list[tuple[object, np.ndarray]]]:
     block, n = [], 0
     coder = chunks(path, spaces=True)
     end = np.array([end_id], "<u4")
-    for f in frames:
-        for doc_id, ids in zip(f["doc_id"], coder.each(f["text"].tolist()), strict=True):
-            block.append((doc_id, np.concatenate([ids, end])))
+    for b in batches:
+        # texts leave the batch as they are encoded, so there is no second copy of it
+        for doc_id, ids in zip(b.column("doc_id"), coder.each(x.as_py() for x in b.column("text")), strict=True):
+            block.append((doc_id.as_py(), np.concatenate([ids, end])))
             n += len(ids) + 1
             if n >= block_tokens:
                 yield block
                 block, n = [], 0
+                given_back()
     if block:
         yield block
 
@@ -78,35 +82,39 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: i
     every executor.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given_back()  # the worker may have served another stage
         sequence = TaskContext.get().partitionId() << 40
-        for block in _blocks(frames, tokenizer, end_id, block_tokens):
+        for block in _blocks(batches, tokenizer, end_id, block_tokens):
             rows = []
             tails = []
-            for k, (doc_id, ids) in enumerate(block):
+            for k, (_, ids) in enumerate(block):
                 whole = len(ids) // capacity * capacity
                 for s in range(0, whole, capacity):
-                    rows.append((doc_id, s, capacity, k, sequence, 0))
+                    rows.append((s, capacity, k, sequence, 0))
                     sequence += 1
                 if whole < len(ids):
                     tails.append((k, whole))
             used: dict[int, int] = {}
             for (k, start), parts in zip(tails, assign([len(block[k][1]) - s for k, s in tails], capacity), strict=True):
                 for q, take in parts:
-                    rows.append((block[k][0], start, take, k, sequence + q, used.get(q, 0)))
+                    rows.append((start, take, k, sequence + q, used.get(q, 0)))
                     used[q] = used.get(q, 0) + take
                     start += take
             sequence += len(used)
-            f = pd.DataFrame(rows, columns=["doc_id", "start", "length", "k", "sequence_id", "offset"])
-            pieces = [block[k][1][s : s + n] for s, n, k in zip(f["start"], f["length"], f["k"], strict=True)]
-            f["ids_crc32"] = [zlib.crc32(p) for p in pieces]
-            f["doc_tokens"] = [len(block[k][1]) for k in f.pop("k")]
-            f["doc_id"] = f["doc_id"].astype("Int64")
-            if with_ids:
-                f["ids"] = [p.astype(np.int32) for p in pieces]
-            yield f
+            for at in range(0, len(rows), ROWS):
+                start, length, which, sequences, offset = np.array(rows[at : at + ROWS], np.int64).T
+                pieces = [block[k][1][s : s + n] for s, n, k in zip(start, length, which, strict=True)]
+                columns = [
+                    pa.array([block[k][0] for k in which], pa.int64()), pa.array(start), pa.array(length), pa.array(sequences), pa.array(offset),
+                    pa.array([zlib.crc32(p) for p in pieces], pa.int64()), pa.array([len(block[k][1]) for k in which], pa.int64()),
+                ]
+                if with_ids:
+                    ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(pieces).view(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "sequence_id", "offset", "ids_crc32", "doc_tokens", "ids"][: len(columns)])
+            del block
 
     schema = "doc_id long, start long, length long, sequence_id long, offset long, ids_crc32 long, doc_tokens long"
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInPandas(run, schema + ", ids array<int>" * with_ids)
-
+    return rows.mapInArrow(run, schema + ", ids array<int>" * with_ids)

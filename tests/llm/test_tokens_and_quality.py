@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 import zlib
 from pathlib import Path
 
@@ -115,6 +118,52 @@ def test_op5_odd_rows(spark):
     assert packing.pack(frame(spark, []), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
+_PEAK = """
+import random, re, sys, threading, time, types
+import pyarrow as pa, public_tokenizers
+from quillmart.llm import encoding, packing
+
+def now():
+    return int(re.search(r"Pss_Anon: +([0-9]+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+
+def watch():
+    while True:
+        peak.append(now())
+        time.sleep(0.02)
+
+path = public_tokenizers.path("byte_bpe_50k.json")
+encoding.chunks(path, True)
+draw = random.Random(4)
+words = ["".join(draw.choices("abcdefghijklmnop", k=draw.randrange(3, 10))) for _ in range(60_000)]
+batch = pa.record_batch({"doc_id": list(range(10_000)), "text": [" ".join(draw.choices(words, k=450)) for _ in range(10_000)]})
+del words
+runs = []
+packing.TaskContext = types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0))
+packing.text_of = lambda: types.SimpleNamespace(alias=lambda name: None)
+rows = types.SimpleNamespace(mapInPandas=lambda run, schema: runs.append((run, pa.RecordBatch.to_pandas)), mapInArrow=lambda run, schema: runs.append((run, lambda b: b)))
+class Docs:
+    def __getitem__(self, name):
+        return types.SimpleNamespace(cast=lambda kind: types.SimpleNamespace(alias=lambda name: None))
+    def select(self, *columns):
+        return rows
+packing.pack(Docs(), path)
+run, given = runs[0]
+pa.default_memory_pool().release_unused()
+pa.system_memory_pool().release_unused()
+peak = [before := now()]
+threading.Thread(target=watch, daemon=True).start()
+pieces = sum(len(f) if hasattr(f, "iloc") else f.num_rows for f in run(map(given, [batch])))
+print(pieces, max(peak) - before)
+"""
+
+
+def test_packing_takes_little_memory_beside_its_batch():
+    """One worker, a batch of 10,000 texts: the MB it takes beside them, at most, while it packs them."""
+    out = subprocess.run([sys.executable, "-c", _PEAK], capture_output=True, text=True, env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)})
+    pieces, more = map(int, out.stdout.split()) if out.stdout else pytest.fail(out.stderr)
+    assert pieces > 10_000 and more < 75
+
+
 def test_assign_goes_to_the_lowest_cost():
     got = packing.assign([6, 5, 4, 3, 2], capacity=10)
     assert got == [[(0, 6)], [(1, 5)], [(1, 4)], [(0, 3)], [(1, 1), (0, 1)]]
