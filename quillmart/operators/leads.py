@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,10 +78,10 @@ def similarity(candidates: DataFrame, best: DataFrame, key: str, numbers: list[s
     """(key, similarity): mean cosine of the ``k`` most similar hero stores, on a scale from 0 to 100; 0 without heroes.
 
     A row's vector is one-hot industry and city and the percentiles of ``numbers`` over both tables, null read as 0. A
-    one-hot product is an equality, so vectors are never widened. Every candidate meets every hero: heroes are dealt
-    over blocks of 512 and candidates over groups of 65,536, and a block meets a group in one task, whatever the sizes.
+    one-hot product is an equality, so vectors are never widened. Equal vectors are compared once, a hero's standing for
+    up to ``k`` of its kind. Every other candidate meets every hero: heroes are dealt over blocks of 512 and candidates
+    over groups of 65,536, and a block meets a group in one task that hands on a candidate's ``k`` best of the block.
     """
-    h_key = "_hero"
     a = candidates.select(F.col(key).cast("string").alias("_id"), F.lit(False).alias("_is"), "industry", "city", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numbers))
     b = best.select(F.monotonically_increasing_id().cast("string").alias("_id"), F.lit(True).alias("_is"), "industry", "city", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numbers))
     rows = stored(a.union(b), "vectors")
@@ -87,23 +89,41 @@ def similarity(candidates: DataFrame, best: DataFrame, key: str, numbers: list[s
         rows = ranking.global_percentile(rows, c, f"_{c}")
     norm = F.sqrt(F.lit(2.0) + sum((F.col(f"_{c}") * F.col(f"_{c}") for c in numbers), F.lit(0.0)))
     rows = stored(rows.select("_id", "_is", F.coalesce("industry", F.lit(UNKNOWN)).alias("_i"), F.coalesce("city", F.lit(UNKNOWN)).alias("_c"), F.array(*(f"_{c}" for c in numbers)).alias("_v"), norm.alias("_n")), "vectors")
-    size = rows.agg(F.count(F.when(F.col("_is"), 1)).alias("heroes"), F.count("*").alias("all")).first()
+    # one row a vector, with how many of it count
+    kinds = rows.groupBy("_is", "_i", "_c", "_v", "_n").agg(F.least(F.count("*"), F.lit(k)).alias("_times"))
+    kinds = stored(kinds.withColumn("_at", F.monotonically_increasing_id()), "vectors")
+    size = kinds.agg(F.count(F.when(F.col("_is"), 1)).alias("heroes"), F.count("*").alias("all")).first()
     if not (n := size["heroes"]):
         return candidates.select(key, F.lit(0.0).alias("similarity"))
     blocks, groups = max(1, n // 512), max(1, (size["all"] - n) // 65_536)
-    dealt = lambda k: F.pmod(F.xxhash64("_id"), F.lit(k)).cast("int")
+    dealt = lambda k: F.pmod(F.xxhash64("_at"), F.lit(k)).cast("int")
     copied = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    left = rows.where("not _is").select("_id", "_i", "_c", "_v", "_n", dealt(groups).alias("_g"), copied(blocks).alias("_b"))
-    right = rows.where("_is").select(F.col("_id").alias(h_key), F.col("_i").alias("_hi"), F.col("_c").alias("_hc"), F.col("_v").alias("_hv"), F.col("_n").alias("_hn"), dealt(blocks).alias("_b"), copied(groups).alias("_g"))
-    both = left.join(right, ["_b", "_g"])
-    dot = (F.col("_i") == F.col("_hi")).cast("double") + (F.col("_c") == F.col("_hc")).cast("double") + sum((F.col("_v")[i] * F.col("_hv")[i] for i in range(len(numbers))), F.lit(0.0))
-    sims = both.select("_id", (dot / (F.col("_n") * F.col("_hn"))).alias("_s"))
-    # the k best of a candidate as a bounded sum: ranks by window within the candidate
-    top = sims.withColumn("_r", F.row_number().over(Window.partitionBy("_id").orderBy(F.col("_s").desc()))).where(F.col("_r") <= k)
-    means = top.groupBy("_id").agg(((F.avg("_s") + 1) / 2 * 100).alias("similarity"))
+    left = kinds.where("not _is").select("*", dealt(groups).alias("_g"), copied(blocks).alias("_b"))
+    right = kinds.where("_is").select("*", copied(groups).alias("_g"), dealt(blocks).alias("_b"))
+    sims = left.unionByName(right).groupBy("_b", "_g").applyInArrow(lambda cell: _nearest(cell, k), "_at long, _s double")
+    top = sims.withColumn("_r", F.row_number().over(Window.partitionBy("_at").orderBy(F.col("_s").desc()))).where(F.col("_r") <= k)
+    means = top.groupBy("_at").agg(((F.avg("_s") + 1) / 2 * 100).alias("similarity"))
+    means = kinds.where("not _is").join(means, "_at").select("_i", "_c", "_v", "similarity")
+    means = rows.where("not _is").join(means, ["_i", "_c", "_v"]).groupBy("_id").agg(F.max("similarity").alias("similarity"))
     return candidates.select(key).join(means, F.col(key).cast("string") == F.col("_id"), "left").select(key, F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
+def _nearest(t: pa.Table, k: int) -> pa.Table:
+    """(_at, _s): the ``k`` greatest cosines of each candidate with the heroes of one block."""
+    hero = t["_is"].to_numpy()
+    a, b = np.flatnonzero(~hero), np.repeat(np.flatnonzero(hero), t["_times"].to_numpy()[hero])
+    same = [np.unique(np.array(t[c].to_pylist(), object), return_inverse=True)[1] for c in ("_i", "_c")]
+    v, norm = np.array(t["_v"].to_pylist(), float).reshape(len(t), -1).T, t["_n"].to_numpy()
+    m = min(k, len(b))
+    best = [np.zeros((0, m))]
+    for part in np.array_split(a, len(a) * len(b) // 1_000_000 + 1):
+        x = part[:, None]
+        s = sum(((c[x] == c[b]).astype(float) for c in same), 0.0)
+        s = s + sum((c[x] * c[b] for c in v), 0.0)
+        best.append(np.partition(s / (norm[x] * norm[b]), len(b) - m, axis=1)[:, len(b) - m :] if m else np.zeros((len(part), 0)))
+    return pa.table({"_at": np.repeat(t["_at"].to_numpy()[a], m), "_s": np.concatenate(best).ravel()})
+
+
 def preliminary(growth: Column, traffic: Column, similar: Column) -> Column:
     """Without reviews, the other weights make up the whole."""
     whole = WEIGHTS["growth"] + WEIGHTS["traffic"] + WEIGHTS["similarity"]
